@@ -5,19 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, packing
+from . import dac, licenses, media, packing, quality, urls
 from .base import table
 from .tokens import vocabulary_path
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_token_files": op2_token_files, "op5_packing": op5_packing}
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.inspect(media.store_texts(table(spark, sf_dir, "documents")))
+    feature = F.format_string("%s corrected=%s samples=%d blocks=%d mean=%.6f embedded=%s", "detected", "corrected", "body_bytes", (F.col("body_bytes") / media.BLOCK).cast("long"), "sample_mean", F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.kind, e.offset, e.length)), "|"))
+    return found.select("doc_id", "n_bytes", F.col("body_bytes").alias("payload_bytes"), F.col("body_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media)}
 ORACLE_SQL: dict[str, str] = {}
