@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, licenses, media, packing, quality, urls
+from . import dac, decontaminate, licenses, media, packing, quality, simhash, urls
 from .base import table
 from .tokens import vocabulary_path
 
@@ -39,5 +39,13 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.col("body_bytes").alias("payload_bytes"), F.col("body_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media, op8_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
