@@ -138,7 +138,7 @@ def write_ids(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, file_id
         where.create_dir(base, recursive=True)
         task = TaskContext.get()
         part, attempt, seg = task.partitionId(), task.taskAttemptId(), 0
-        encoder, tail = ChunkEncoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, tail = ChunkEncoder.shared(vocabulary), np.array([end_id], "<u4").tobytes()
         held, ids, n = [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -70,7 +70,7 @@ def pack(docs: DataFrame, vocabulary: str, *, most: int = 4096, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, tail = ChunkEncoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, tail = ChunkEncoder.shared(vocabulary), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []
         n = 0

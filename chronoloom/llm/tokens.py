@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -16,16 +15,23 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII signs that a chunk may end in; not the apostrophe, which begins contractions.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
 class ChunkEncoder:
     """Encodes texts as the tokenizers library does, chunk by chunk.
 
     The vocabulary's normaliser and pre-tokenizer never look across white space and drop it, so a text's ids are
     those of its chunks, joined. Chunks are split at space and line feed only (other white space stays inside a
-    chunk, for the library to handle). Ids are kept as little-endian unsigned 32-bit bytes: joining them is the
-    encoding, and also what checksums are taken of. The memory is bounded: at ``most`` chunks it starts anew.
+    chunk, for the library to handle). A chunk that ends in signs after an ASCII letter or digit is the chunk without
+    them and then the signs, since a pre-token never holds both. Ids are kept as little-endian unsigned 32-bit bytes:
+    joining them is the encoding, and also what checksums are taken of. Chunks are remembered within a bound: at
+    ``most`` of them the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,24 +39,46 @@ class ChunkEncoder:
         self.most = most
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    @classmethod
+    def shared(cls, path: str) -> ChunkEncoder:
+        """One encoder for this process: what a worker has learnt serves its later tasks."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def _learn(self, chunks: set[str], long: dict[str, bytes]) -> None:
+        known, cut, whole = self.known, [], set()
+        for c in chunks:
+            base = c.rstrip(_SIGNS)
+            if base and len(base) < len(c) and "<|" not in c and (e := base[-1]).isascii() and e.isalnum():
+                cut.append((c, base, c[len(base) :]))
+                whole.update(cut[-1][1:])
+            else:
+                whole.add(c)
+        missing = [c for c in whole if c not in known]
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in run(chunks, add_special_tokens=False)]
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for chunk, e in zip(part, run(part, add_special_tokens=False)):
+                (known if len(chunk) <= 64 else long)[chunk] = array("I", e.ids).tobytes()
+        for c, base, signs in cut:
+            ids = (known.get(base) or long.get(base, b"")) + (known.get(signs) or long.get(signs, b""))
+            (known if len(c) <= 64 else long)[c] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit bytes, without an end id."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = []
+        for t in texts:
+            # the normaliser lower-cases each character by itself; Python's final sigma and special tokens differ
+            if t and "<|" not in t and "\u03a3" not in t:
+                t = t.lower()
+            split.append((t or "").replace("\n", " ").split(" "))
         if len(self.known) > self.most:
             self.known = {"": b""}
         known, long = self.known, {}
-        missing = list({c for chunks in split for c in chunks if c not in known})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for chunk, ids in zip(part, self._encode(part)):
-                (known if len(chunk) <= 64 else long)[chunk] = ids
-        if long:
-            known = {**known, **long} if len(long) * 4 > len(known) else _Chain(known, long)
-        get = known.__getitem__
+        if missing := set().union(*split).difference(known):
+            self._learn(missing, long)
+        get = _Chain(known, long).__getitem__ if long else known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
