@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, licenses, media, packing, quality, simhash, urls
+from . import dac, decontaminate, licenses, lines, media, packing, quality, simhash, urls
 from .base import table
 from .tokens import vocabulary_path
 
@@ -43,9 +43,34 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"), F.md5("text").alias("kept_md5"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media, op8_decontamination, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media, op8_decontamination, op9_line_dedup, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {
+    # pairs within one edit share a first or last half; Levenshtein distance decides
+    "op9_line_dedup": """
+        with split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+        norm as (select doc_id, pos, line, lower(trim(translate(line, chr(9) || chr(13), '  '), ' ')) as n from split),
+        firsts as (select n, length(n) as len, min((doc_id, pos)) as place from norm where length(n) >= 20 group by n),
+        halves as (
+            select *, len as of_len, 1 as side, left(n, len // 2) as half from firsts
+            union all select *, len, 2, right(n, len - len // 2) from firsts
+            union all select *, len - 1, 1, left(n, (len - 1) // 2) from firsts
+            union all select *, len - 1, 2, right(n, len - 1 - (len - 1) // 2) from firsts),
+        near as (select distinct b.n from halves a join halves b using (of_len, side, half) where a.place < b.place and abs(a.len - b.len) <= 1 and levenshtein(a.n, b.n) <= 1),
+        judged as (
+            select doc_id, pos, line, length(norm.n) < 20 or (near.n is null and (doc_id, pos) = firsts.place) as keep
+            from norm left join firsts on norm.n = firsts.n left join near on norm.n = near.n)
+        select d.doc_id, cast(coalesce(j.n_lines, 0) as bigint) as n_lines, cast(coalesce(j.n_kept, 0) as bigint) as n_kept,
+            case when d.text is null then null when j.n_lines = j.n_kept then md5(d.text) else md5(coalesce(j.kept, '')) end as kept_md5
+        from documents d left join (
+            select doc_id, count(*) as n_lines, count(*) filter (keep) as n_kept, string_agg(line, chr(10) order by pos) filter (keep) as kept
+            from judged group by doc_id) j using (doc_id)""",
+}
