@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, licenses, lines, media, packing, quality, simhash, urls
+from . import dac, decontaminate, editcounts, licenses, lines, media, packing, quality, simhash, urls
 from .base import table
 from .tokens import vocabulary_path
 
@@ -33,6 +33,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after four edits each, at places that their ids and lengths give."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1)
+    words = F.array(*map(F.lit, ("new", " word", "'s", " two words ", "\n", "ing,")))
+    made = [(place(1), F.lit(0), F.get(words, F.pmod("doc_id", F.lit(6)).cast("int"))), (place(2), F.pmod(F.xxhash64("doc_id"), F.lit(40)), F.lit("")), (place(3), F.lit(3), F.lit("changed")), (n, F.lit(0), F.lit(" the end"))]
+    edits = F.array(*[F.struct(a.cast("long").alias("at"), d.cast("long").alias("delete"), i.alias("insert")) for a, d, i in made])
+    return editcounts.counts(docs.select("doc_id", "text", edits.alias("edits")), vocabulary_path())
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.inspect(media.store_texts(table(spark, sf_dir, "documents")))
     feature = F.format_string("%s corrected=%s samples=%d blocks=%d mean=%.6f embedded=%s", "detected", "corrected", "body_bytes", (F.col("body_bytes") / media.BLOCK).cast("long"), "sample_mean", F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.kind, e.offset, e.length)), "|"))
@@ -52,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op7_media, op8_decontamination, op9_line_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op6_token_counts, op7_media, op8_decontamination, op9_line_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {
     # pairs within one edit share a first or last half; Levenshtein distance decides
     "op9_line_dedup": """

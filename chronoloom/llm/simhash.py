@@ -38,18 +38,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, *, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint's bits as a signed long. Null or wordless text: 0."""
+    """(doc_id, tie, fp) of each row; fp: the fingerprint's bits as a signed long; tie: a hash of the text, for equal doc_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64)
-            yield batch(_FP, {"doc_id": b.column(0), "fp": fps.view(np.int64)})
+            yield batch(_FP, {"doc_id": b.column(0), "tie": b.column(2), "fp": fps.view(np.int64)})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")), run, "doc_id long, tie long, fp long")
 
 
 def _upper(fp: Column) -> Column:
@@ -130,6 +130,18 @@ def components(edges: DataFrame) -> DataFrame:
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _members(docs: DataFrame, size: int, hot: int) -> DataFrame:
+    fps = materialize(fingerprints(docs, size=size), "fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    member = components(links(distinct, hot=hot))
+    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # only fingerprints that have links need their roots' names; others keep their own first document
+    linked = member.select(F.col("node").alias("fp"), "root").join(named, "root").select("fp", "root", "component_id")
+    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return fps.join(by_fp, "fp")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs(doc_id, text)``.
 
@@ -138,22 +150,19 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) ->
     unless all of its component's are null (then null). Repeated rows are kept. Empty table: no rows. Other columns
     are ignored. Copies share a row of the table of distinct fingerprints, so their number makes no pairs.
     """
-    fps = materialize(fingerprints(docs, size=size), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    member = components(links(distinct, hot=hot))
-    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # only fingerprints that have links need their roots' names; others keep their own first document
-    linked = member.select(F.col("node").alias("fp"), "root").join(named, "root").select("fp", "component_id")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _members(docs, size, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """One document of each component: the rows whose doc_id names it; with all columns.
+    """One document of each component, with all its columns: the one whose doc_id names it.
 
-    Rows with null doc_id go, unless their whole component has none. Of repeated rows with the same doc_id all stay.
+    If several rows of a component bear that doc_id, the one with the smallest text hash stays, and one row of equal
+    texts. Rows with null doc_id go, unless their whole component has none.
     """
-    found = near_duplicates(docs, size=size, hot=hot)
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    named = _members(docs, size, hot).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(named.groupBy("root").agg(F.min("doc_id").alias("__keep"), F.min("tie").alias("__tie"), F.count("*").alias("__n")).drop("root"), "kept")
+    own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__own": F.xxhash64("text")})
+    out = own.join(keep, F.col("__doc").eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__tie")), "left_semi")
+    if not keep.where("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__doc", "__own"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
