@@ -13,14 +13,19 @@ _LOW = 0xFFFFFFFFFF
 
 
 def normal(line: Column) -> Column:
-    """What lines are compared by: trimmed of spaces and tabs, lower-cased."""
-    return F.lower(F.trim(F.translate(line, "\t\r", "  ")))
+    """What lines are compared by: without spaces, tabs and carriage returns at their ends, lower-cased."""
+    return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def _exploded(docs: DataFrame, *more: str) -> DataFrame:
-    """Every line with its place (document, its tie-breaker, number); tie: a hash of the text, for equal doc_ids."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("pos", "line"), *more)
-    return rows.select("*", normal("line").alias("n")).withColumn("len", F.length("n"))
+def _document() -> tuple[Column, Column]:
+    """A document's place in order, and a hash of its text for equal doc_ids; null doc_ids come last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("tie")
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """Every line with its place (document, its tie-breaker, number)."""
+    rows = docs.select(*_document(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.select("doc", "tie", "pos", normal(F.col("line")).alias("n")).withColumn("len", F.length("n"))
 
 
 def _key(n: Column) -> Column:
@@ -28,16 +33,21 @@ def _key(n: Column) -> Column:
     return F.struct(F.xxhash64(n).alias("x"), F.xxhash64(n, F.lit("line")).alias("y"))
 
 
-def _halves(n: Column, length: Column) -> Column:
-    """Hashes that two lines within one edit share one of: the first or last half, split as the shorter line is.
+def _without(n: Column, length: Column, at: Column | int, of: int) -> Column:
+    """A hash of the line without block ``at`` of ``of``; blocks are cut as a line of ``length`` characters is.
 
-    A line is the shorter one (or of equal length) of a pair, or the longer one, whose partner has one character less.
+    Two lines within one edit are equal but for one block, if both are cut as the shorter one is: each line gives the
+    hashes for its own length, and those for one character less.
     """
-    own, less = F.floor(length / 2), F.floor((length - 1) / 2)
-    return F.array(
-        F.xxhash64(F.lit(1), length, F.left(n, own)), F.xxhash64(F.lit(2), length, F.right(n, length - own)),
-        F.xxhash64(F.lit(1), length - 1, F.left(n, less)), F.xxhash64(F.lit(2), length - 1, F.right(n, length - 1 - less)),
-    )
+    start, end = F.floor(length * at / of), F.floor(length * (at + 1) / of)
+    return F.xxhash64(length, F.lit(at) if isinstance(at, int) else at, F.left(n, start), F.right(n, length - end))
+
+
+def _sharing(lines: DataFrame, hashes: Column) -> DataFrame:
+    """The keys of those ``lines(key, ...)`` that share one of ``hashes`` (an array) with a different line."""
+    each = lines.select("key", F.explode(hashes).alias("hash"))
+    shared = each.groupBy("hash").agg(F.min("key.x").alias("lo"), F.max("key.x").alias("hi")).where("lo <> hi").select("hash")
+    return each.join(shared, "hash", "left_semi").select("key").distinct()
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -88,34 +98,40 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc, tie, drop): the numbers of the lines of each text that an earlier line repeats, exactly or within one edit."""
-    lines = _exploded(docs).where(F.col("len") >= least_chars)
-    place = F.struct("doc", "tie", "pos")
-    distinct = materialize(lines.groupBy(_key(F.col("n")).alias("key")).agg(F.min(place).alias("place"), F.first("len").alias("len"), F.first(_halves(F.col("n"), F.col("len"))).alias("halves")), "lines")
-
-    # only lines that share a half with another can have a neighbour within one edit
-    half = distinct.select("key", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("half")
-    likely = materialize(half.join(shared, "half").select("key").distinct().join(distinct, "key").select("key", "place"), "likely")
+    """(doc, tie, drop): the numbers of the lines of each text that an earlier line repeats, exactly or within one edit.
+
+    Before the neighbourhoods are made, two filters that lose nothing leave the lines that can have a neighbour: by
+    halves over all distinct lines, by sixteenths over what that leaves.
+    """
+    n, length, place = F.col("n"), F.col("len"), F.struct("doc", "tie", "pos")
+    exploded = _exploded(docs).where(F.col("len") >= least_chars)
+    halves = F.array(*[_without(n, length - less, at, 2) for less in (0, 1) for at in (0, 1)])
+    lines = materialize(exploded.select("doc", "tie", "pos", _key(n).alias("key"), halves.alias("halves")), "lines")
+    distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct-lines")
+
+    likely = materialize(_sharing(distinct, F.col("halves")).join(distinct, "key").select("key", "place", "place.doc", "place.tie"), "likely")
     # their texts, from where each first stands
     if likely.count() <= BROADCAST_ROWS:
         likely = F.broadcast(likely)
-    texts = materialize(_exploded(docs).where(F.col("len") >= least_chars).withColumn("place", place).join(likely, "place").select("key", "place", "n", F.col("len")).dropDuplicates(["key"]), "likely-texts")
+    doc, tie = _document()
+    some = docs.where("text is not null").select("doc_id", "text", doc, tie).join(likely.select("doc", "tie").distinct(), ["doc", "tie"], "left_semi")
+    texts = materialize(_exploded(some).withColumn("place", place).join(likely.select("key", "place"), "place").select("key", "place", "n", "len").dropDuplicates(["key"]), "likely-texts")
+    sixteenths = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda at: F.array(_without(n, length, at, 16), _without(n, length - 1, at, 16))))
+    texts = materialize(texts.join(_sharing(texts, sixteenths), "key", "left_semi"), "near-texts")
 
     pairs = near_earlier(texts)
-    own, other = texts.select("key", F.col("n").alias("n1")), texts.select(F.col("key").alias("other"), F.col("n").alias("n2"))
+    own, other = texts.select("key", n.alias("n1")), texts.select(F.col("key").alias("other"), n.alias("n2"))
     near = pairs.join(own, "key").join(other, "other").where(F.levenshtein("n1", "n2", 1).between(0, 1)).select("key", F.lit(True).alias("near"))
     # a line's first place goes too if it is near an earlier line; all later places go in any case
-    state = materialize(distinct.select("key", "place").join(near, "key", "left").select("key", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "first-lines")
-    all_lines = lines.select(_key(F.col("n")).alias("key"), "doc", "tie", "pos")
-    gone = all_lines.join(state, "key").where(F.col("near") | (F.struct("doc", "tie", "pos") != F.col("first")))
+    state = distinct.select("key", F.col("place").alias("first")).join(materialize(near, "near"), "key", "left")
+    gone = lines.select("key", "doc", "tie", "pos").join(state, "key").where(F.col("near") | (place != F.col("first")))
     return gone.groupBy("doc", "tie").agg(F.collect_set("pos").alias("drop"))
 
 
 def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts: all columns, and ``__lines``, ``__kept`` (their numbers).
 
-    A line (split at line feeds; compared trimmed and lower-cased) goes if an equal line, or one within one inserted,
+    A line (split at line feeds; compared without blanks at its ends, lower-cased) goes if an equal line, or one within one inserted,
     deleted or replaced character, stands earlier, in the order of doc_id, text hash and line number; that earlier
     line needs not be kept itself. Lines shorter than ``least_chars`` stay. A document none of whose lines go keeps
     its text as it is; one all of whose lines go keeps an empty text. Null text: stays null, with no lines. Null
@@ -123,7 +139,7 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     occurrence of a line stays in each. Empty table: no rows.
     """
     drop = duplicates(docs, least_chars=least_chars)
-    doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")
+    doc, tie = _document()
     rows = docs.withColumns({"__doc": doc, "__tie": tie}).join(drop.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("drop").alias("__drop")), ["__doc", "__tie"], "left")
     # numbers of kept lines by hash, not by a search per line; __split serves twice, so it isn't evaluated per line
     rows = rows.withColumn("__split", F.split("text", "\n"))

@@ -68,7 +68,7 @@ ORACLE_SQL: dict[str, str] = {
     # pairs within one edit share a first or last half; Levenshtein distance decides
     "op9_line_dedup": """
         with split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-        norm as (select doc_id, pos, line, lower(trim(translate(line, chr(9) || chr(13), '  '), ' ')) as n from split),
+        norm as (select doc_id, pos, line, lower(trim(line, ' ' || chr(9) || chr(13))) as n from split),
         firsts as (select n, length(n) as len, min((doc_id, pos)) as place from norm where length(n) >= 20 group by n),
         halves as (
             select *, len as of_len, 1 as side, left(n, len // 2) as half from firsts

@@ -23,7 +23,7 @@ def brute(docs, least=20):
             continue
         own, kept = t.split("\n"), []
         for x in own:
-            n = x.replace("\t", " ").replace("\r", " ").strip(" ").lower()
+            n = x.strip(" \t\r").lower()
             if len(n) < least:
                 kept.append(x)
                 continue
