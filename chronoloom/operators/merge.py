@@ -77,3 +77,50 @@ def provenance(existing: DataFrame, writer: str, mode: str, touched: Column, wri
     """The provenance table and one entry per track more; the analyzer's version is stamped only when it analyses."""
     entry = existing.groupBy(TRACK).agg(F.max("n").alias("n")).select(TRACK, (F.col("n") + 1).alias("n"), F.lit(writer).alias("writer"), written_at.alias("written_at"), F.when(F.lit(mode == "analyze"), F.lit(version)).alias("version"), touched.alias("fields"))
     return existing.unionByName(entry)
+
+
+SCHEMA, VERSION = "timeline", "3.0"
+DOCUMENT = "track_id long, schema string, version string, analyzer_version string, auto_generated boolean, generated_by string, energy string, extras map<string,string>"
+
+
+def fields_touched() -> Column:
+    """Which blocks a payload row (n_chapters, n_stanzas, energy) fills."""
+    flags = F.array(*[F.when(c, F.lit(n)) for n, c in (("chapters", F.col("n_chapters") > 0), ("stanzas", F.col("n_stanzas") > 0), ("energy", F.coalesce(F.col("energy") != "{}", F.lit(False))))])
+    return F.filter(flags, lambda x: x.isNotNull())
+
+
+def normalise_documents(docs: DataFrame) -> DataFrame:
+    """Defaults of older documents: a schema name, version 1.0."""
+    return docs.withColumns({"schema": F.coalesce("schema", F.lit(SCHEMA)), "version": F.coalesce("version", F.lit("1.0"))})
+
+
+def normalise_records(records: DataFrame, docs: DataFrame) -> DataFrame:
+    """Old user-edited documents (auto_generated false at the top) latch each record that says nothing itself; tone "none" is none."""
+    latched = docs.where(~F.col("auto_generated")).select(TRACK, F.lit(True).alias("__edited")).distinct()
+    r = records.join(latched, TRACK, "left")
+    blank = F.transform_values("fields", lambda k, v: F.when((k == "tone") & (v == "none"), F.lit("")).otherwise(v))
+    add = F.col("__edited") & ~F.map_contains_key("fields", F.lit("auto_generated"))
+    return r.select(*[F.when(add, F.map_concat(blank, F.create_map(F.lit("auto_generated"), F.lit("false")))).otherwise(blank).alias("fields") if c == "fields" else F.col(c) for c in records.columns])
+
+
+def merge_documents(existing: DataFrame, incoming: DataFrame, mode: str, analyzer_version: str = "1") -> DataFrame:
+    """Top-level merge of one row per track (DOCUMENT): fresh where there was none, else field by field.
+
+    The schema's version is set; edit clears auto_generated; the first generated_by stays; energy is replaced as a
+    whole if given; unknown fields of the incoming row overwrite; only analyze stamps the analyzer's version.
+    Documents that the incoming rows don't name stay as they are.
+    """
+    if mode not in ("analyze", "edit"):
+        raise ValueError(f"unknown mode {mode!r}")
+    o, n = normalise_documents(existing).alias("o"), incoming.alias("n")
+    both = o.join(n, F.col(f"o.{TRACK}") == F.col(f"n.{TRACK}"), "full_outer")
+    old, new = F.col(f"o.{TRACK}").isNotNull(), F.col(f"n.{TRACK}").isNotNull()
+    empty = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce("o.extras", empty), F.coalesce("n.extras", empty)
+    extras = F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    auto = F.when(~old, F.coalesce("n.auto_generated", F.lit(True))).when(new & F.lit(mode == "edit"), F.lit(False)).otherwise(F.col("o.auto_generated"))
+    return both.select(
+        F.coalesce(f"o.{TRACK}", f"n.{TRACK}").alias(TRACK), F.when(new, F.lit(SCHEMA)).otherwise(F.col("o.schema")).alias("schema"), F.when(new, F.lit(VERSION)).otherwise(F.col("o.version")).alias("version"),
+        F.when(new & F.lit(mode == "analyze"), F.lit(analyzer_version)).otherwise(F.col("o.analyzer_version")).alias("analyzer_version"), auto.alias("auto_generated"), F.coalesce("o.generated_by", "n.generated_by").alias("generated_by"),
+        F.coalesce("n.energy", "o.energy").alias("energy"), extras.alias("extras"),
+    )

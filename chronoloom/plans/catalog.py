@@ -714,5 +714,49 @@ _shell("clip_plan", "select p_partkey as id, coalesce(nullif(regexp_replace(trim
 _shell("cache_key", "select o_orderkey as id, substr(sha256(concat_ws('|', '/media/' || o_orderkey || '.mp4', cast(epoch_us(o_orderdate) * 1000 as varchar), cast(o_custkey as varchar), '22050', '1')), 1, 16) as cache_key from orders", lambda spark, d: shell.cache_keys(spark.read.parquet(f"{d}/orders.parquet")))
 _shell("eta_ema", f"with recursive {CTE['beats']}, e as (select track_id, seq, cast(at_ms as double) as ema from beats where seq = 0 union all select b.track_id, b.seq, 0.3e0 * b.at_ms + (1e0 - 0.3e0) * e.ema from e join beats b on b.track_id = e.track_id and b.seq = e.seq + 1) select track_id, arg_max(ema, seq) as ema from e group by track_id", lambda spark, d: shell.ema(load_beats(spark, d)))
 _shell("cfr_direct_play", "select l_orderkey, l_linenumber, abs(l_quantity - l_quantity / (1 + l_discount)) <= 0.01e0 * l_quantity as cfr, l_linenumber <= 3 and l_quantity <= 40 and abs(l_quantity - l_quantity / (1 + l_discount)) <= 0.01e0 * l_quantity as direct from lineitem", lambda spark, d: shell.direct_play(spark.read.parquet(f"{d}/lineitem.parquet")))
+
+
+def _signals(spark: SparkSession, sf_dir: str, sr: int = 2205) -> DataFrame:
+    """A click per beat of each track, as loud as its energy: one chunk of samples a track (there are no recordings)."""
+    import numpy as np
+    import pandas as pd
+
+    b = load_beats(spark, sf_dir).groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("at_ms", "energy"))).alias("b"))
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for track, beats in zip(f[TRACK], f.b):
+                y = np.zeros(int((beats[-1]["at_ms"] + 500) * sr / 1000), np.float32)
+                for x in beats:
+                    i = int(x["at_ms"] * sr / 1000)
+                    y[i : i + 11] += np.linspace(x["energy"], 0, 11, dtype=np.float32)
+                rows.append((track, 0, sr, 0, y.tobytes()))
+            yield pd.DataFrame(rows, columns=[TRACK, "chunk_idx", "sr", "start_ms", "data"])
+
+    return b.mapInPandas(run, "track_id long, chunk_idx int, sr int, start_ms long, data binary")
+
+
+@query()
+def dsp_beats(spark, sf_dir):
+    from chronoloom.dsp import plans as dsp
+
+    return dsp.beats(_signals(spark, sf_dir))
+
+
+@query()
+def dsp_textures(spark, sf_dir):
+    from chronoloom.dsp import plans as dsp
+
+    return dsp.textures(_signals(spark, sf_dir))
+
+
+@query()
+def dsp_limiter_regions(spark, sf_dir):
+    from chronoloom.dsp import plans as dsp
+
+    return dsp.limited(_signals(spark, sf_dir))
+
+
 QUERIES["patterns_catalog"] = lambda spark, d: shell.patterns(spark)
 QUERIES["detectors"] = lambda spark, d: shell.detectors(spark)

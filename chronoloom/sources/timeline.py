@@ -58,3 +58,48 @@ def probe_chapters(docs: DataFrame) -> DataFrame:
 def resolve_chapters(sources: DataFrame) -> DataFrame:
     """The first source (by priority) that has a list at all, even an empty one, gives a track's chapters."""
     return sources.where("chapters is not null").groupBy("track_id").agg(F.min_by("source", "priority").alias("source"), F.min_by("chapters", "priority").alias("chapters"))
+
+
+CHAPTER = "struct<at_ms:bigint,start_ms:bigint,at:bigint,end_ms:bigint,name:string,intent:string,intent_proposal:string,content_type:string,tone:string,confidence:double,evidence:array<string>>"
+#: Older names of textures.
+LEGACY_TEXTURES = {"music": "driving", "ambient": "calm", "mixed": "varied"}
+
+
+def _chapter_rows(chapters: DataFrame) -> DataFrame:
+    """(track_id, chapters array) to one row per chapter that has a time, by its spellings."""
+    c = chapters.select("track_id", F.posexplode("chapters").alias("idx", "c")).select("track_id", "idx", "c.*")
+    at = F.coalesce("at_ms", "start_ms", "at")
+    texture = F.col("content_type")
+    for old, new in LEGACY_TEXTURES.items():
+        texture = F.when(F.col("content_type") == old, F.lit(new)).otherwise(texture)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return c.select("track_id", "idx", at.alias("at_ms"), "end_ms", blank("name").alias("name"), blank(F.coalesce(F.nullif("intent", F.lit("")), F.col("intent_proposal"))).alias("intent"), blank(texture).alias("content_type"), blank(F.nullif("tone", F.lit("none"))).alias("tone"), "confidence", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")).where("at_ms is not null")
+
+
+def document_chapters(docs: DataFrame) -> DataFrame:
+    """Chapters of JSON documents (column doc): an object with a list, or the bare list. Unreadable text: none."""
+    array = F.coalesce(F.from_json("doc", f"struct<chapters:array<{CHAPTER}>>")["chapters"], F.when(F.ltrim("doc").startswith("["), F.from_json("doc", f"array<{CHAPTER}>")))
+    return _chapter_rows(docs.select("track_id", array.alias("chapters")))
+
+
+def analysis_chapters(docs: DataFrame) -> DataFrame:
+    """Chapters of analysis documents: confirmed ones, where there are any, else the proposals."""
+    d = F.from_json("doc", f"struct<metadata:struct<chapters:array<{CHAPTER}>>,chapter_proposals:array<{CHAPTER}>>")
+    confirmed = d["metadata"]["chapters"]
+    return _chapter_rows(docs.select("track_id", F.when(F.size(confirmed) > 0, confirmed).otherwise(d["chapter_proposals"]).alias("chapters")))
+
+
+def recipe_bundles(docs: DataFrame) -> DataFrame:
+    """Bundles' chapters and recipes, paired by place; a bundle whose lists differ in length is flagged."""
+    b = docs.select("track_id", F.from_json("doc", "struct<chapters:array<struct<at_ms:bigint,end_ms:bigint>>,recipes:array<struct<source:string,stroke_density:string,tone:string,emphasize_beats:boolean,intensity:double>>>").alias("b"))
+    n = F.size("b.chapters")
+    return b.select("track_id", (n != F.size("b.recipes")).alias("mismatched"), F.posexplode(F.arrays_zip("b.chapters", "b.recipes")).alias("chapter_idx", "x")).select("track_id", "mismatched", "chapter_idx", "x.chapters.*", "x.recipes.*")
+
+
+def mono(samples: DataFrame, channels: int) -> DataFrame:
+    """Chunks of interleaved samples (data array<float>) as means over their channels."""
+    if channels == 1:
+        return samples
+    size = F.floor(F.size("data") / channels).cast("int")
+    mean = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.slice("data", i * channels + 1, channels), F.lit(0.0), lambda a, x: a + x) / channels)
+    return samples.withColumn("data", F.when(size > 0, mean).otherwise(F.array().cast("array<double>")))

@@ -93,3 +93,23 @@ def test_plans(spark):
     assert {r.n_mels for r in plans.spectrograms(s).collect()} == {64}
     assert plans.peaks(s).count() == 3 and plans.textures(s).count() == 3 and plans.frame_features(s).count() > 100
     assert plans.limited(s).count() >= 0 and plans.segments(s, 2.0).count() > 0
+
+
+def test_structural_run(spark):
+    from chronoloom.plans import composites
+
+    rng = np.random.default_rng(1)
+    quiet = np.zeros(3 * SR // 4, np.float32)
+    long = np.concatenate([clicks(120, 200) * 0.8, quiet.repeat(4), clicks(90, 200) + 0.05 * rng.normal(size=200 * SR).astype(np.float32), sine(120)])
+    files = spark.createDataFrame([("a", wav_bytes(clicks(120, 20))), ("b", wav_bytes(long))], "path string, content binary")
+    s = plans.read_samples(files).cache()
+    run = composites.auto_chapter(s, target_minutes=2.0)
+    ch = run.chapters.orderBy("track_id", "at_ms").collect()
+    a, b = [r for r in ch if r.track_id == "a"], [r for r in ch if r.track_id == "b"]
+    assert [(r.at_ms, r.end_ms) for r in a] == [(0, 20_000)]
+    assert len(b) > 2 and b[0].at_ms == 0 and all(x.end_ms == y.at_ms for x, y in zip(b, b[1:])) and all(r.end_ms - r.at_ms <= 180_001 for r in b)
+    beats = run.beats.where("track_id = 'a'").orderBy("seq").collect()
+    assert 38 <= len(beats) <= 42 and [r.seq for r in beats] == list(range(len(beats)))
+    assert run.stanzas.count() > 3 and run.energy.where("track_id = 'a'").first().bpm > 100
+    assert composites.voice_ratio(s).first().voice_ratio == 0.0
+    assert composites.voice_ratio(s, lambda block: 1.0).first().voice_label == "talk"
