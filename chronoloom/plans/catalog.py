@@ -752,10 +752,10 @@ def dsp_textures(spark, sf_dir):
 
 
 @query()
-def dsp_limiter_regions(spark, sf_dir):
+def dsp_spectrograms(spark, sf_dir):
     from chronoloom.dsp import plans as dsp
 
-    return dsp.limited(_signals(spark, sf_dir))
+    return dsp.spectrograms(_signals(spark, sf_dir), n_mels=16, fmax=1000.0)
 
 
 QUERIES["patterns_catalog"] = lambda spark, d: shell.patterns(spark)
