@@ -123,3 +123,14 @@ def exact_hop_peaks(samples: DataFrame, *, sr: int, hop_ms: float) -> DataFrame:
     rms = samples.join(n, TRACK).withColumn("hop_idx", hop_idx).where("hop_idx < n_hops").groupBy(TRACK, "hop_idx").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
     most = F.max("rms").over(Window.partitionBy(TRACK))
     return rms.select(TRACK, "hop_idx", F.when(most > 0, F.col("rms") / most).otherwise(F.col("rms")).alias("peak"))
+
+
+def sliding_mean(samples: DataFrame, size: int) -> DataFrame:
+    """Mean of ``size`` samples about each, the first and last repeated beyond the ends."""
+    w, track = Window.partitionBy(TRACK).orderBy("idx"), Window.partitionBy(TRACK)
+    left, right = size // 2, size - size // 2 - 1
+    around = w.rowsBetween(-left, right)
+    first, last = F.first("x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r, n = F.row_number().over(w) - 1, F.count("*").over(track)
+    missing_left, missing_right = F.greatest(F.lit(0), left - r), F.greatest(F.lit(0), r + right - (n - 1))
+    return samples.select(TRACK, "idx", ((F.sum("x").over(around) + missing_left * first + missing_right * last) / size).alias("mean"))

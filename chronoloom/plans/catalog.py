@@ -701,6 +701,22 @@ def sliding_envelope(spark, sf_dir):
     return structure.sliding_max(_beats(spark, sf_dir).select(TRACK, F.col("seq").alias("idx"), F.col("energy").alias("x")), 8)
 
 
+@query("select track_id, seq as idx, (sum(energy) over w + greatest(0, 4 - seq) * first_value(energy) over t + greatest(0, seq + 3 - (count(*) over (partition by track_id) - 1)) * last_value(energy) over t) / 8 as mean from beats window w as (partition by track_id order by seq rows between 4 preceding and 3 following), t as (partition by track_id order by seq rows between unbounded preceding and unbounded following)", "beats")
+def sliding_gain(spark, sf_dir):
+    return structure.sliding_mean(_beats(spark, sf_dir).select(TRACK, F.col("seq").alias("idx"), F.col("energy").alias("x")), 8)
+
+
+@query("select track_id, seq, at_ms, energy, pos from beats join norms using (track_id, seq) where norm >= 0.1e0", "norms")
+def energy_gate(spark, sf_dir):
+    return tempo.p95_normalised(_beats(spark, sf_dir)).where("norm >= 0.1").drop("norm")
+
+
+@query("select track_id, round_even(bpm * 1000, 0) / 1000 as bpm, case when bpm > 0 then 60000 / bpm end as interval_ms from bpms", "bpms")
+def beat_interval(spark, sf_dir):
+    t = tempo.bpm(_beats(spark, sf_dir))
+    return t.select(TRACK, (F.rint(F.col("bpm") * 1000) / 1000).alias("bpm"), F.try_divide(F.lit(60000.0), F.nullif("bpm", F.lit(0.0))).alias("interval_ms"))
+
+
 @query("select track_id, hop_idx, case when max(rms) over (partition by track_id) > 0 then rms / max(rms) over (partition by track_id) else rms end as peak from (select track_id, h as hop_idx, sqrt(avg(energy * energy)) as rms from (select b.track_id, b.energy, h.h, h.lo, h.hi, b.seq from beats b join (select track_id, unnest(range(cast(floor(count(*) / 3.3e0) as bigint))) as h, null as lo, null as hi from beats group by track_id) h on b.track_id = h.track_id and b.seq >= round_even(h.h * 3.3e0, 0) and b.seq < round_even((h.h + 1) * 3.3e0, 0)) group by track_id, h)", "beats")
 def peaks_exact_hop(spark, sf_dir):
     return structure.exact_hop_peaks(_beats(spark, sf_dir).select(TRACK, F.col("seq").alias("idx"), F.col("energy").alias("x")), sr=1000, hop_ms=3.3)

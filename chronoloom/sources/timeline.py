@@ -103,3 +103,23 @@ def mono(samples: DataFrame, channels: int) -> DataFrame:
     size = F.floor(F.size("data") / channels).cast("int")
     mean = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(F.slice("data", i * channels + 1, channels), F.lit(0.0), lambda a, x: a + x) / channels)
     return samples.withColumn("data", F.when(size > 0, mean).otherwise(F.array().cast("array<double>")))
+
+
+def parse_stanzas(rows: DataFrame) -> DataFrame:
+    """Stanza JSON (column doc): chapter_idx, at_ms, end_ms and mode are required, else the row is rejected."""
+    s = F.from_json("doc", "chapter_idx int, at_ms bigint, end_ms bigint, mode string, confidence double, source string, intent string, tone string, evidence array<string>, auto_generated boolean")
+    out = rows.select("track_id", s.alias("s")).select("track_id", "s.*")
+    need = [F.col(c).isNull() for c in ("chapter_idx", "at_ms", "end_ms", "mode")]
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("source", "intent", "tone")}
+    return out.withColumns({**blank, "auto_generated": F.coalesce("auto_generated", F.lit(True)), "rejected": need[0] | need[1] | need[2] | need[3]})
+
+
+def load_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents of a known schema; a corrupt one counts as absent."""
+    return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+
+
+def probe_dimensions(lines: DataFrame) -> DataFrame:
+    """Width and height from a probe's text (column line), null where it names none."""
+    size = lambda i: F.regexp_extract("line", r"Video:.*?\b(\d{2,5})x(\d{2,5})\b", i).try_cast("int")
+    return lines.select("*", size(1).alias("width"), size(2).alias("height"))

@@ -56,3 +56,30 @@ def test_document_merge(spark):
     assert got == [{"tone": "", "auto_generated": "false"}, {"auto_generated": "true"}, {"tone": "rise"}]
     touched = spark.createDataFrame([(1, 0, '{"a":1}'), (0, 2, "{}")], "n_chapters int, n_stanzas int, energy string").select(merge.fields_touched().alias("f")).collect()
     assert [r.f for r in touched] == [["chapters", "energy"], ["stanzas"]]
+
+
+def test_sinks_and_loading(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from chronoloom.sources import sinks
+
+    beats = spark.createDataFrame([(1, i, i * 500, 0.12345678) for i in range(5)], "track_id long, seq int, at_ms long, energy double")
+    tracks = spark.createDataFrame([(1, 120.0, 2500, None)], "track_id long, bpm double, duration_ms long, damaged_after_ms long")
+    doc = json.loads(sinks.beat_maps(beats, tracks).first().doc)
+    assert doc == {"bpm": 120.0, "duration_ms": 2500, "beats": [0, 500, 1000, 1500, 2000], "downbeats": [0, 2000], "energy": [0.123457] * 5}
+    ch = spark.createDataFrame([(5, None, "", "x", "", "", None, [])], "at_ms long, end_ms long, name string, intent string, content_type string, tone string, confidence double, evidence array<string>")
+    assert json.loads(ch.select(sinks.chapter_text().alias("d")).first().d) == {"at_ms": 5, "intent": "x"}
+    peaks = spark.createDataFrame([(1, 1, 10.0, [0.5]), (1, 0, 10.0, [0.1, 1.0])], "track_id long, chunk_idx int, hop_ms double, peaks array<double>")
+    assert json.loads(sinks.peak_documents(peaks).first().doc)["peaks"] == [0.1, 1.0, 0.5]
+    docs = spark.createDataFrame([(1, '{"version":"1.1"}', 1), (1, '{"version":"1.1","x":1}', 2), (2, '{"version":"1.0"}', 9)], "track_id long, doc string, written_at int")
+    assert [(r.track_id, r.written_at) for r in sinks.latest(docs, "1.1").collect()] == [(1, 2)]
+    sinks.write_json_atomic(str(tmp_path / "a.json"), {"version": "1.1", "n": 1}, None)
+    (tmp_path / "b.json").write_text("{broken")
+    assert [r.n for r in timeline.load_documents(spark, str(tmp_path), "version string, n int").collect()] == [1]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"]
+    s = timeline.parse_stanzas(spark.createDataFrame([('{"chapter_idx":0,"at_ms":1,"end_ms":2,"mode":"fast"}', 1), ("{}", 2)], "doc string, track_id long")).orderBy("track_id").collect()
+    assert [(r.rejected, r.auto_generated) for r in s] == [(False, True), (True, True)]
+    d = timeline.probe_dimensions(spark.createDataFrame([("  Stream #0: Video: h264 (High), yuv420p, 1920x1080 [SAR 1:1], 25 fps",), ("Audio: aac",)], "line string")).collect()
+    assert [(r.width, r.height) for r in d] == [(1920, 1080), (None, None)]
+    one = spark.range(1).select(sinks.omit(F.lit(True), True).alias("a"), sinks.omit(F.lit(False), True).alias("b")).first()
+    assert (one.a, one.b) == (None, False)
