@@ -224,29 +224,26 @@ STORED = "doc_id long, n_bytes long, declared string, media binary"
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary())])
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """Each text's UTF-8 bytes, filled with 255 to a positive multiple of 576, as a WAVE value of unknown type."""
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw = [x or b"" for x in b.column(1).to_pylist()]
+        yield batch(_STORED, {"doc_id": b.column(0), "n_bytes": [len(x) for x in raw], "declared": [UNKNOWN] * len(raw), "media": [wav(x + b"\xff" * (-len(x) % BLOCK if x else BLOCK)) for x in raw]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [x or b"" for x in b.column(1).to_pylist()]
-            yield batch(_STORED, {"doc_id": b.column(0), "n_bytes": [len(x) for x in raw], "declared": [UNKNOWN] * len(raw), "media": [wav(x + b"\xff" * (-len(x) % BLOCK if x else BLOCK)) for x in raw]})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, STORED)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """Each text's UTF-8 bytes, filled with 255 to a positive multiple of 576, as a WAVE value of unknown type."""
+    return map_batches(_texts(docs), _store, STORED)
 
 
 FOUND = "{key} long, n_bytes long, declared string, detected string, corrected boolean, media_bytes long, media_sha256 string, body_bytes long, body_sha256 string, tail_crc32 long, sample_mean double, embedded array<struct<kind:string,offset:long,length:long>>"
 _EMBEDDED = pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
 
-def inspect(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Sniff ``media(key, n_bytes, declared, media)``: detected type, digests of the value and of its body, embedded media.
-
-    ``corrected`` says that the declared type (any case, parameters after ``;`` ignored; null counts as wrong)
-    differs from the detected one. Nothing recognised: detected is application/octet-stream, the body is the whole
-    value, the declared type stands. Null or empty value: the same, with no bytes. Null keys, repeated rows: kept,
-    each on its own. Other columns are ignored.
-    """
+def _inspect(key: str):
     schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("detected", pa.string()), ("corrected", pa.bool_()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("body_bytes", pa.int64()), ("body_sha256", pa.string()), ("tail_crc32", pa.int64()), ("sample_mean", pa.float64()), ("embedded", _EMBEDDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,4 +260,24 @@ def inspect(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     c.append(v)
             yield batch(schema, columns)
 
-    return map_batches(media.select(F.col(key).cast("long"), F.col("n_bytes").cast("long"), F.col("declared").cast("string"), "media"), run, FOUND.format(key=key))
+    return run
+
+
+def inspect(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Sniff ``media(key, n_bytes, declared, media)``: detected type, digests of the value and of its body, embedded media.
+
+    ``corrected`` says that the declared type (any case, parameters after ``;`` ignored; null counts as wrong)
+    differs from the detected one. Nothing recognised: detected is application/octet-stream, the body is the whole
+    value, the declared type stands. Null or empty value: the same, with no bytes. Null keys, repeated rows: kept,
+    each on its own. Other columns are ignored.
+    """
+    rows = media.select(F.col(key).cast("long"), F.col("n_bytes").cast("long"), F.col("declared").cast("string"), "media")
+    return map_batches(rows, _inspect(key), FOUND.format(key=key))
+
+
+def inspect_texts(docs: DataFrame) -> DataFrame:
+    """``inspect(store_texts(docs))`` in one pass: a batch's stored values are read back where they were made, so media
+    never cross to the JVM and a task has one worker. Null or empty text: one block of 255; other rules as there.
+    """
+    read_back = _inspect("doc_id")
+    return map_batches(_texts(docs), lambda batches: read_back(_store(batches)), FOUND.format(key="doc_id"))

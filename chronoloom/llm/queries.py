@@ -45,7 +45,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.inspect(media.store_texts(table(spark, sf_dir, "documents")))
+    found = media.inspect_texts(table(spark, sf_dir, "documents"))
     feature = F.format_string("%s corrected=%s samples=%d blocks=%d mean=%.6f embedded=%s", "detected", "corrected", "body_bytes", (F.col("body_bytes") / media.BLOCK).cast("long"), "sample_mean", F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.kind, e.offset, e.length)), "|"))
     return found.select("doc_id", "n_bytes", F.col("body_bytes").alias("payload_bytes"), F.col("body_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
