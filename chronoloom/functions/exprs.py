@@ -52,6 +52,13 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict[str,
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def with_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple]) -> DataFrame:
+    """``nearest_ranks`` as columns of every row: windows of one partitioning, so neither a join nor another shuffle."""
+    inside = Window.partitionBy(*keys)
+    ranked = df.select("*", F.row_number().over(inside.orderBy(F.col(value).asc_nulls_last())).alias("__r"), F.count(value).over(inside).alias("__n"))
+    return ranked.select(*df.columns, *[F.max(F.when(F.col("__r") == fn(F.col("__n"), q) + 1, F.col(value))).over(inside).alias(name) for name, (fn, q) in wanted.items()])
+
+
 def ordered_sum(x: Column, order: Column) -> Column:
     """Aggregate: the sum of x, added in the order of ``order``: bounded groups (windows of a profile) only."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), x.cast("double").alias("x"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.exprs import TRACK, clamp, half_even, nearest_ranks, rank_a
+from chronoloom.functions.exprs import TRACK, clamp, half_even, rank_a, with_ranks
 
 from . import modes as mode_rules
 from . import tempo, timeline
@@ -140,8 +140,7 @@ def beats_to_curve(
         if gain:
             half = half * F.coalesce(clamp(F.col("gain"), 0.0, 1.0), F.lit(1.0))
         if texture > 0:
-            q = nearest_ranks(b, [TRACK], "norm", {"lo": (lambda n, q: F.floor(n * F.lit(q)), 0.1), "hi": (rank_a, 0.9)})
-            b = b.join(q, TRACK)
+            b = with_ranks(b, [TRACK], "norm", {"lo": (lambda n, q: F.floor(n * F.lit(q)), 0.1), "hi": (rank_a, 0.9)})
             span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
             half = half * (1.0 - F.lit(float(texture)) * (1.0 - clamp((F.col("norm") - F.col("lo")) / span, 0.0, 1.0)))
         b = b.withColumn("half", half)

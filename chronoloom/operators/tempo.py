@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.exprs import TRACK, by_time, nearest_ranks, rank_a, rank_b, upper_median
+from chronoloom.functions.exprs import TRACK, by_time, nearest_ranks, rank_a, rank_b, upper_median, with_ranks
 
 CEILING, FLOOR = 165.0, 70.0
 
@@ -25,9 +25,9 @@ def max_normalised(beats: DataFrame, *keys: str) -> DataFrame:
 
 def p95_normalised(beats: DataFrame) -> DataFrame:
     """norm: energy over the 95th-percentile beat's, at most 1; over the maximum where that is 0; as it is where all are 0."""
-    ref = nearest_ranks(beats, [TRACK], "energy", {"ref": (rank_a, 0.95), "most": (lambda n, q: n - 1, 1)})
-    ref = ref.select(TRACK, F.when(F.col("ref") == 0, F.col("most")).otherwise(F.col("ref")).alias("ref"))
-    return beats.join(ref, TRACK).withColumn("norm", F.when(F.col("ref") > 0, F.least(F.lit(1.0), F.col("energy") / F.col("ref"))).otherwise(F.col("energy"))).drop("ref")
+    b = with_ranks(beats, [TRACK], "energy", {"__p95": (rank_a, 0.95), "__most": (lambda n, q: n - 1, 1)})
+    ref = F.when(F.col("__p95") == 0, F.col("__most")).otherwise(F.col("__p95"))
+    return b.withColumn("norm", F.when(ref > 0, F.least(F.lit(1.0), F.col("energy") / ref)).otherwise(F.col("energy"))).drop("__p95", "__most")
 
 
 def fold_octaves(beats: DataFrame, tempo: DataFrame, *, ceiling: float = CEILING, floor: float = FLOOR, passes: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.exprs import TRACK, by_time, nearest_ranks, upper_median
+from chronoloom.functions.exprs import TRACK, by_time, upper_median, with_ranks
 
 STANZA = 16
 FALLBACK_GAP_MS = 480
@@ -36,8 +36,8 @@ def action_stanzas(actions: DataFrame, size: int = STANZA) -> DataFrame:
 def next_durations(beats: DataFrame) -> DataFrame:
     """Time to the next beat; for the last the upper median gap; 480 where there is only one beat."""
     lead = beats.select("*", (F.lead("at_ms").over(by_time()) - F.col("at_ms")).alias("gap"))
-    median = nearest_ranks(lead, [TRACK], "gap", {"median_gap": (upper_median, 0.5)})
-    return lead.join(median, TRACK, "left").withColumn("dur_ms", F.coalesce("gap", "median_gap", F.lit(FALLBACK_GAP_MS)).cast("long")).drop("gap", "median_gap")
+    ranked = with_ranks(lead, [TRACK], "gap", {"__median": (upper_median, 0.5)})
+    return ranked.withColumn("dur_ms", F.coalesce("gap", "__median", F.lit(FALLBACK_GAP_MS)).cast("long")).drop("gap", "__median")
 
 
 def durations(beats: DataFrame) -> DataFrame:
@@ -91,11 +91,12 @@ def containing(points: DataFrame, spans: DataFrame, at: Column, columns: list[st
     payload = F.struct("span_idx", *columns)
     s = spans.select(F.col(TRACK).alias("__t"), F.col("start_ms").alias("__s"), F.coalesce("end_ms", F.lit(1 << 62)).alias("__e"), F.col("span_idx").alias("__i"), payload.alias("__p"))
     p = points.withColumn("__at", at)
-    hit = p.join(s, (p[TRACK] == s["__t"]) & (F.col("__at") >= F.col("__s")) & (F.col("__at") < F.col("__e"))).groupBy(TRACK, "point_id").agg(F.min_by("__p", "__i").alias("__p"))
-    out = p.join(hit, [TRACK, "point_id"], "left")
+    hit = p.join(s, (p[TRACK] == s["__t"]) & (F.col("__at") >= F.col("__s")) & (F.col("__at") < F.col("__e")), "left")
+    # of several spans the first stays; this window keeps the join's partitioning by track
+    out = hit.withColumn("__n", F.row_number().over(Window.partitionBy(TRACK, "point_id").orderBy("__i"))).where("__n = 1")
     if last:
         ends = spans.groupBy(TRACK).agg(F.max_by(payload, "span_idx").alias("__l"))
-        out = out.join(ends, TRACK, "left").withColumn("__p", F.coalesce("__p", "__l")).drop("__l")
+        out = out.join(ends, TRACK, "left").withColumn("__p", F.coalesce("__p", "__l"))
     return out.select(*[F.col(c) for c in points.columns], *[F.col(f"__p.{c}").alias(c) for c in ["span_idx", *columns]])
 
 

@@ -529,7 +529,18 @@ def generate_default(spark, sf_dir):
     return curve.generate(_beats(spark, sf_dir))
 
 
-@query()
+#: The same chain over beats keyed by track and chunk, numbered within it.
+PER_CHAPTER_CURVE = f"""with {CTE["beats"].replace("beats as", "beats0 as", 1)}, {CTE["chunks"].replace("from beats group", "from beats0 group")},
+    beats as (select {{'t': b.track_id, 'c': c.chunk_idx}} as track_id, b.seq - min(b.seq) over (partition by b.track_id, c.chunk_idx) as seq, b.at_ms, b.energy, b.pos
+        from beats0 b join chunks c on b.track_id = c.track_id and b.at_ms >= c.at_ms and b.at_ms < c.end_ms),
+    {", ".join(CTE[c] for c in ("stanzas", "trend", "modes", "nd", "norms", "moded", "fixed"))}
+    select track_id.t as track_id, track_id.c as chapter_idx, at_ms, min(pos) as pos from (
+        select track_id, at_ms + k * dur_ms // n as at_ms, cast(greatest(0, least(100, round_even(case when k % 2 = 0 then c + half else c - half end, 0))) as int) as pos from (
+            select *, unnest(range(n)) as k from (select *, case when track_id.c % 2 = 0 then 50 else 45 end as c, greatest(case when track_id.c % 2 = 0 then 2 else 4 end, strokes) as n from fixed where norm >= 0.1e0)))
+    group by all"""
+
+
+@query(PER_CHAPTER_CURVE)
 def generate_per_chapter(spark, sf_dir):
     b = _beats(spark, sf_dir)
     return curve.generate_per_chapter(b, _chapters(b), {0: {}, 1: {"stroke_density": "4", "center": 45}})
@@ -775,4 +786,4 @@ def dsp_spectrograms(spark, sf_dir):
 
 
 QUERIES["patterns_catalog"] = lambda spark, d: shell.patterns(spark)
-QUERIES["detectors"] = lambda spark, d: shell.detectors(spark)
+_shell("detectors", "select * from (values " + ", ".join(f"('{k}', {a}::double, {b}::double, {c}::double)" for k, (a, b, c) in shell.DETECTORS.items()) + ") t(detector, threshold_default, threshold_min, threshold_max)", lambda spark, d: shell.detectors(spark))
