@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import BROADCAST_ROWS, materialize
 
 #: Shorter lines (after trimming) are layout or list items; they are never dropped.
 LEAST_CHARS = 20
-_LOW = 0xFFFFFFFFFF
+#: Blocks of the second filter: about a word's length in a line of a few hundred characters.
+FINE = 64
 
 
 def normal(line: Column) -> Column:
@@ -37,10 +38,10 @@ def _without(n: Column, length: Column, at: Column | int, of: int) -> Column:
     """A hash of the line without block ``at`` of ``of``; blocks are cut as a line of ``length`` characters is.
 
     Two lines within one edit are equal but for one block, if both are cut as the shorter one is: each line gives the
-    hashes for its own length, and those for one character less.
+    hashes for its own length, and those for one character less. (The column len is the line's length.)
     """
     start, end = F.floor(length * at / of), F.floor(length * (at + 1) / of)
-    return F.xxhash64(length, F.lit(at) if isinstance(at, int) else at, F.left(n, start), F.right(n, length - end))
+    return F.xxhash64(length, F.lit(at) if isinstance(at, int) else at, F.left(n, start), F.substring(n, F.col("len") - (length - end) + 1, length - end))
 
 
 def _sharing(lines: DataFrame, hashes: Column) -> DataFrame:
@@ -51,33 +52,26 @@ def _sharing(lines: DataFrame, hashes: Column) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of ``lines(key, place, n, len)`` for one edit, as hashed keys (k1, k2).
+    """The deletion neighbourhood of ``lines(key, place, n, len)`` for one edit, as hashed keys.
 
-    Each line gives itself (kind 0, key of the whole), itself less each character (kind 1, the same key space), and
+    Each line gives itself (kind 0, hash of the whole), itself less each character (kind 1, the same key space), and
     itself with each place left open (kind 2: length and place are in the key). Lines that share a kind-2 key differ
-    in that one place; a kind-1 key equal to a kind-0 key is one deletion. A variant is hashed by sums of 40-bit
-    hashes of (character, place), so that a line costs one pass however long it is: leaving place i open takes its
-    hash off; deleting it also moves the places behind it down by one. Running sums come from a window over the
-    line's characters, in bounded memory.
+    in that one place; a kind-1 key equal to a kind-0 key is one deletion. A variant's hash is the exclusive or of the
+    64-bit hashes of its (place, character) pairs, so that a line costs one pass however long it is: leaving place i
+    open takes its hash off; deleting it also moves the places behind it down by one. Running values come from a
+    window over the line's characters, in bounded memory.
     """
-    from pyspark.sql import Window
-
-    chars = lines.select("key", "place", "len", F.posexplode(F.split("n", "")).alias("i", "c"))
-    h = lambda salt, shift: F.xxhash64(F.lit(salt), F.col("i") - shift, "c").bitwiseAND(F.lit(_LOW))
-    chars = chars.select("key", "place", "len", "i", h(1, 0).alias("a"), h(1, 1).alias("a_less"), h(2, 0).alias("b"), h(2, 1).alias("b_less"))
-    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {f"s_{c}": F.sum(c).over(before) for c in ("a", "a_less", "b", "b_less")}
-    run = chars.withColumns(sums)
-    totals = chars.groupBy("key").agg(*[F.sum(c).alias(f"t_{c}") for c in ("a", "a_less", "b", "b_less")])
-    run = run.join(totals, "key")
+    h = lambda at: F.xxhash64(at, F.col("c"))
+    chars = lines.select("key", "place", "len", F.posexplode(F.split("n", "")).alias("i", "c")).select("key", "place", "len", "i", h(F.col("i")).alias("h"), h(F.col("i") - 1).alias("less"))
+    line = Window.partitionBy("key")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = chars.select("*", F.bit_xor("h").over(upto).alias("s"), F.bit_xor("less").over(upto).alias("s_less"), F.bit_xor("h").over(line).alias("t"), F.bit_xor("less").over(line).alias("t_less"))
     # characters before i keep their places, those behind move down by one
-    deleted = lambda c: F.col(f"s_{c}") - F.col(c) + F.col(f"t_{c}_less") - F.col(f"s_{c}_less")
-    keys = F.array(
-        F.struct(F.lit(1).alias("kind"), (F.col("len") - 1).alias("size"), F.lit(-1).alias("at"), deleted("a").alias("k1"), deleted("b").alias("k2")),
-        F.struct(F.lit(2).alias("kind"), F.col("len").alias("size"), F.col("i").alias("at"), (F.col("t_a") - F.col("a")).alias("k1"), (F.col("t_b") - F.col("b")).alias("k2")),
-        F.when(F.col("i") == 0, F.struct(F.lit(0).alias("kind"), F.col("len").alias("size"), F.lit(-1).alias("at"), F.col("t_a").alias("k1"), F.col("t_b").alias("k2"))),
-    )
-    return run.select("key", "place", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("v")).select("key", "place", "v.*").distinct()
+    deleted = F.col("s").bitwiseXOR(F.col("h")).bitwiseXOR(F.col("t_less")).bitwiseXOR(F.col("s_less"))
+    variant = lambda kind, size, at, k: F.struct(F.lit(kind).alias("kind"), size.alias("size"), at.alias("at"), k.alias("k"))
+    own = [variant(1, F.col("len") - 1, F.lit(-1), deleted), variant(2, F.col("len"), F.col("i"), F.col("t").bitwiseXOR(F.col("h")))]
+    each = F.when(F.col("i") == 0, F.array(variant(0, F.col("len"), F.lit(-1), F.col("t")), *own)).otherwise(F.array(*own))
+    return run.select("key", "place", F.explode(each).alias("v")).select("key", "place", "v.*")
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
@@ -87,12 +81,13 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     key that very many lines share makes no pairs and gathers no group. Whichever of a line's keys gives a still
     earlier line gives a true neighbour, so the earliest suffices.
     """
-    v = _variants(lines)
-    space = F.when(F.col("kind") == 2, 2).otherwise(1).alias("space")
-    by = ["space", "size", "at", "k1", "k2"]
-    v = v.withColumn("space", space)
-    first = lambda cond: F.min(F.when(cond, F.struct("place", "key")))
-    least = v.groupBy(*by).agg(first(F.col("kind") == 0).alias("m0"), first(F.col("kind") == 1).alias("m1"), first(F.col("kind") == 2).alias("m2"), F.count("*").alias("c")).where("c > 1")
+    v = materialize(_variants(lines).withColumn("space", F.when(F.col("kind") == 2, 2).otherwise(1)), "variants")
+    by = ["space", "size", "at", "k"]
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "key"))).alias(f"m{kind}")
+    # a key meets nobody unless two lines have it: a check on plain longs goes before the one on places
+    shared = v.groupBy(*by).agg(F.min("key.x").alias("lo"), F.max("key.x").alias("hi")).where("lo <> hi").select(*by)
+    v = materialize(v.join(shared, by, "left_semi"), "shared-variants")
+    least = v.groupBy(*by).agg(first(0), first(1), first(2))
     met = v.join(least, by).withColumn("m", F.when(F.col("kind") == 0, F.col("m1")).when(F.col("kind") == 1, F.col("m0")).otherwise(F.col("m2")))
     return met.where(F.col("m.place") < F.col("place")).groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.key").alias("other"))
 
@@ -101,23 +96,24 @@ def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc, tie, drop): the numbers of the lines of each text that an earlier line repeats, exactly or within one edit.
 
     Before the neighbourhoods are made, two filters that lose nothing leave the lines that can have a neighbour: by
-    halves over all distinct lines, by sixteenths over what that leaves.
+    halves over all distinct lines, by all but one of FINE blocks over what that leaves.
     """
     n, length, place = F.col("n"), F.col("len"), F.struct("doc", "tie", "pos")
     exploded = _exploded(docs).where(F.col("len") >= least_chars)
     halves = F.array(*[_without(n, length - less, at, 2) for less in (0, 1) for at in (0, 1)])
     lines = materialize(exploded.select("doc", "tie", "pos", _key(n).alias("key"), halves.alias("halves")), "lines")
-    distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct-lines")
+    distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place")), "distinct-lines")
 
-    likely = materialize(_sharing(distinct, F.col("halves")).join(distinct, "key").select("key", "place", "place.doc", "place.tie"), "likely")
-    # their texts, from where each first stands
+    likely = materialize(_sharing(lines, F.col("halves")).join(distinct, "key").select("key", "place", "place.doc", "place.tie"), "likely")
+    # their texts, from where each first stands; beyond the bound by a shuffle, which moves the texts once more
     if likely.count() <= BROADCAST_ROWS:
         likely = F.broadcast(likely)
     doc, tie = _document()
     some = docs.where("text is not null").select("doc_id", "text", doc, tie).join(likely.select("doc", "tie").distinct(), ["doc", "tie"], "left_semi")
     texts = materialize(_exploded(some).withColumn("place", place).join(likely.select("key", "place"), "place").select("key", "place", "n", "len").dropDuplicates(["key"]), "likely-texts")
-    sixteenths = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda at: F.array(_without(n, length, at, 16), _without(n, length - 1, at, 16))))
-    texts = materialize(texts.join(_sharing(texts, sixteenths), "key", "left_semi"), "near-texts")
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda at: F.array(_without(n, length, at, FINE), _without(n, length - 1, at, FINE))))
+    blocks = materialize(texts.select("key", parts.alias("blocks")), "blocks")
+    texts = materialize(texts.join(_sharing(blocks, F.col("blocks")), "key", "left_semi"), "near-texts")
 
     pairs = near_earlier(texts)
     own, other = texts.select("key", n.alias("n1")), texts.select(F.col("key").alias("other"), n.alias("n2"))

@@ -54,6 +54,12 @@ def test_random_lines_against_brute_force(spark):
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(expected, key=str)
 
 
+def test_the_way_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    docs = [(d, f"line {d % 9} that many documents have, or nearly so\nand one of its own: {d * d * 7919}") for d in range(40)]
+    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(brute(docs), key=str)
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
