@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts may be megabytes long, so batches stay short.
 ARROW_ROWS = "512"
-#: Rows up to which a checked side of (long, long)-like rows may be broadcast: about 32 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a counted side may be broadcast: about 50 MB as a hash table of keys and places.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> its XXH64 as 8 little-endian bytes; forgets all when it holds too many."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, most: int = 250_000) -> None:
         super().__init__()
         self.seed, self.most = seed, most
 

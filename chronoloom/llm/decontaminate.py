@@ -105,18 +105,18 @@ OUT = "item_id long, doc_id long, containment double"
 _OUT = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("containment", pa.float64())])
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int, str | None]]]:
-    """The benchmark cut into blocks of about so many words; the whole of it is the (stated, small) query set."""
-    blocks: list[list[tuple[int, str | None]]] = [[]]
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark (the stated query set) in blocks of about so many words, one at a time; at least one, if empty."""
+    block: list[tuple[int, str | None]] = []
     n = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         more = len(r.text or "") // 4 + 1
-        if n + more > block_words and blocks[-1]:
-            blocks.append([])
-            n = 0
-        blocks[-1].append((r.item_id, r.text))
+        if n + more > block_words and block:
+            yield block
+            block, n = [], 0
+        block.append((r.item_id, r.text))
         n += more
-    return blocks
+    yield block
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, size: int = SHINGLE, containment: float = CONTAINMENT, block_words: int = INDEX_WORDS) -> DataFrame:
