@@ -65,6 +65,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_token_files, op3_url_filter, op4_quality, op5_packing, op6_token_counts, op7_media, op8_decontamination, op9_line_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {
+    # every shingle of every document against every item's
+    "op8_decontamination": r"""
+        with words as (select *, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') as w
+            from (select 'item' as kind, item_id as id, text from benchmark union all select 'doc', doc_id, text from documents)),
+        items as (select id, least(5, len(w)) as n, w from words where kind = 'item' and len(w) > 0),
+        own as (select distinct id as item_id, n, array_to_string(w[i:i + n - 1], ' ') as s from (select *, unnest(range(1, len(w) - n + 2)) as i from items)),
+        counted as (select *, count(*) over (partition by item_id) as k from own),
+        docs as (select id as doc_id, n, array_to_string(w[i:i + n - 1], ' ') as s from (
+            select d.id, z.n, d.w, unnest(range(1, len(d.w) - z.n + 2)) as i from words d, (select distinct n from items) z where d.kind = 'doc')),
+        met as (select c.item_id, d.doc_id, c.k, count(distinct d.s) as m from docs d join counted c on c.n = d.n and c.s = d.s group by all)
+        select item_id, doc_id, m / k as containment from met where m / k >= 0.8 - 1e-12""",
     # pairs within one edit share a first or last half; Levenshtein distance decides
     "op9_line_dedup": """
         with split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
