@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +18,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 #: ASCII signs that a chunk may end in; not the apostrophe, which begins contractions.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Lower-case Latin-1 words: normal forms of themselves, and one run of letters.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level pre-tokenizers show bytes as characters: visible ones as themselves, the others from 256 on.
+_STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -31,13 +37,16 @@ class ChunkEncoder:
     ``most`` of them the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[str, bytes] = {"": b""}
+        # the short way holds for a model without dropout behind this vocabulary's pre-tokenizer; tried on a few words
+        words = ["the", "a", "stra\u00dfe", "\u00e9t\u00e9\u00f1o\u00ff", "uncharacteristically"]
+        self.by_model = all(self.tokenizer.encode(w, add_special_tokens=False).ids == [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_STAND_INS))] for w in words)
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
@@ -55,7 +64,14 @@ class ChunkEncoder:
                 whole.update(cut[-1][1:])
             else:
                 whole.add(c)
-        missing = [c for c in whole if c not in known]
+        missing = []
+        tokenize, plain = self.tokenizer.model.tokenize, _PLAIN.fullmatch
+        for c in whole.difference(known):
+            if self.by_model and len(c) <= 64 and plain(c):
+                # one pre-token that no normaliser changes: the model alone, on the bytes' stand-in characters
+                known[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(_STAND_INS))]).tobytes()
+            else:
+                missing.append(c)
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]

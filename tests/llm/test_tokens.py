@@ -31,6 +31,12 @@ def test_chunks_give_the_ids_of_whole_texts(library):
             assert np.frombuffer(ids, "<u4").tolist() == whole(library, t)[:-1], t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=40))
+def test_chunks_of_any_latin_text(text):
+    test_chunks_of_any_text.hypothesis.inner_test(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB '\n\t.é\u0301\u00a0\u20031<|>"), max_size=60))
 def test_chunks_of_any_text(text):
