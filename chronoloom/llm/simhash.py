@@ -133,7 +133,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, size: int, hot: int) -> DataFrame:
     fps = materialize(fingerprints(docs, size=size), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    member = components(links(distinct, hot=hot))
+    return name_members(fps, distinct, links(distinct, hot=hot))
+
+
+def name_members(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fps(doc_id, tie, fp)`` with root and component_id, of ``distinct(fp, first)`` and its ``edges(a, b)``."""
+    member = components(edges)
     rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # only fingerprints that have links need their roots' names; others keep their own first document
@@ -159,7 +164,12 @@ def keep_one(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) -> DataFra
     If several rows of a component bear that doc_id, the one with the smallest text hash stays, and one row of equal
     texts. Rows with null doc_id go, unless their whole component has none.
     """
-    named = _members(docs, size, hot).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, _members(docs, size, hot))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name the components of ``members``."""
+    named = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = materialize(named.groupBy("root").agg(F.min("doc_id").alias("__keep"), F.min("tie").alias("__tie"), F.count("*").alias("__n")).drop("root"), "kept")
     own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__own": F.xxhash64("text")})
     out = own.join(keep, F.col("__doc").eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__tie")), "left_semi")

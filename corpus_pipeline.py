@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, lines, packing, quality, simhash
+from chronoloom.llm import decontaminate, lines, neardup, packing, quality
 from chronoloom.llm.base import materialize, table
 from chronoloom.llm.tokens import vocabulary_path
 
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each component of near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, vocabulary_path())
 
 
-STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("SimHash near-dedup", near_duplicate_stage), ("benchmark decontamination", decontamination_stage), ("packing", packing_stage)]
+STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("near-dedup", near_duplicate_stage), ("benchmark decontamination", decontamination_stage), ("packing", packing_stage)]
 ORACLE_SQL: str | None = None
 
 
