@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .base import BROADCAST_ROWS, materialize
 
-#: Shorter lines (after trimming) are layout or list items; they are never dropped.
+#: Shorter lines (after trimming) have no near lines: one edit is too much of them. ``exact_chars`` bounds the exact step.
 LEAST_CHARS = 20
 #: Blocks of the second filter: about a word's length in a line of a few hundred characters.
 FINE = 64
@@ -92,15 +92,17 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return met.where(F.col("m.place") < F.col("place")).groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.key").alias("other"))
 
 
-def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc, tie, drop): the numbers of the lines of each text that an earlier line repeats, exactly or within one edit.
 
     Before the neighbourhoods are made, two filters that lose nothing leave the lines that can have a neighbour: by
     halves over all distinct lines, by all but one of FINE blocks over what that leaves.
     """
     n, length, place = F.col("n"), F.col("len"), F.struct("doc", "tie", "pos")
-    exploded = _exploded(docs).where(F.col("len") >= least_chars)
+    exploded = _exploded(docs).where(F.col("len") >= (least_chars if exact_chars is None else exact_chars))
     halves = F.array(*[_without(n, length - less, at, 2) for less in (0, 1) for at in (0, 1)])
+    if exact_chars is not None:
+        halves = F.when(length >= least_chars, halves)
     lines = materialize(exploded.select("doc", "tie", "pos", _key(n).alias("key"), halves.alias("halves")), "lines")
     distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place")), "distinct-lines")
 
@@ -124,17 +126,18 @@ def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
     return gone.groupBy("doc", "tie").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts: all columns, and ``__lines``, ``__kept`` (their numbers).
 
     A line (split at line feeds; compared without blanks at its ends, lower-cased) goes if an equal line, or one within one inserted,
     deleted or replaced character, stands earlier, in the order of doc_id, text hash and line number; that earlier
-    line needs not be kept itself. Lines shorter than ``least_chars`` stay. A document none of whose lines go keeps
+    line needs not be kept itself. Lines shorter than ``least_chars`` go only if an equal one stands earlier and they
+    have ``exact_chars`` at least (1: all but blank lines; None: they stay). A document none of whose lines go keeps
     its text as it is; one all of whose lines go keeps an empty text. Null text: stays null, with no lines. Null
     doc_id: last in order. Repeated rows (same doc_id, same text) are one document: all are cut alike, and the first
     occurrence of a line stays in each. Empty table: no rows.
     """
-    drop = duplicates(docs, least_chars=least_chars)
+    drop = duplicates(docs, least_chars=least_chars, exact_chars=exact_chars)
     doc, tie = _document()
     rows = docs.withColumns({"__doc": doc, "__tie": tie}).join(drop.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("drop").alias("__drop")), ["__doc", "__tie"], "left")
     # numbers of kept lines by hash, not by a search per line; __split serves twice, so it isn't evaluated per line

@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand earlier; n_chars follows; a document of which nothing is left goes."""
-    cut = lines.dedup(docs).where("__kept > 0 or __lines = 0")
+    """Texts without lines that stand earlier (short ones: exactly); n_chars follows; a document left with blank lines goes."""
+    cut = lines.dedup(docs, exact_chars=1).where((F.col("__kept") == F.col("__lines")) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     chars = F.when(F.col("__kept") < F.col("__lines"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
