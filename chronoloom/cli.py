@@ -55,8 +55,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: What the records of a track are sorted by.
+ORDER = ("chapter_idx", "stanza_idx", "seq")
+
+
 def plan(spark, a):
     """The DataFrame that a command shows."""
+    from pyspark.sql import functions as F
+
     from chronoloom.operators import curve, documents, merge, shell, structure, timeline
     from chronoloom.plans import catalog
 
@@ -69,10 +75,19 @@ def plan(spark, a):
     if a.command in ("analyze-beats", "auto-chapter"):
         from chronoloom.dsp import plans as dsp
 
+        from chronoloom.plans import composites
+
         samples = dsp.read_samples(spark.read.format("binaryFile").load(a.media))
         if a.command == "analyze-beats":
-            return dsp.beats(samples, tracker=a.tracker, locked_bpm=a.locked_bpm, source=a.source)
-        return dsp.segments(samples, a.target_minutes * 60)
+            return composites.analyse_beats(samples, tracker=a.tracker, locked_bpm=a.locked_bpm, source=a.source)
+        run = composites.auto_chapter(samples.persist(), target_minutes=a.target_minutes)
+        out = samples.where("data is not null").select("track_id").distinct()
+        for name in ("chapters", "beats", "stanzas", "energy"):
+            part = getattr(run, name)
+            columns = sorted((c for c in part.columns if c != "track_id"), key=lambda c: c not in ORDER)
+            rows = F.array_sort(F.collect_list(F.struct(*columns)))
+            out = out.join(part.groupBy("track_id").agg(rows.alias(name)), "track_id", "left")
+        return out
     if a.command == "generate-curve":
         beats = spark.read.parquet(a.beats)
         knobs = {"low": a.low, "high": a.high, "center": a.center, "energy_normalize": a.energy_normalize, "stroke_density": a.stroke_density}

@@ -275,10 +275,17 @@ def segment(features: np.ndarray, k: int) -> list[int]:
 
 def boundaries(y: np.ndarray, sr: int, target_s: float) -> list[float]:
     """Seconds at which about duration / target segments of alike sound begin, without 0."""
-    pooled = mfcc(y, sr)
-    step = max(1, round(sr / HOP))  # one row a second
-    rows = np.add.reduceat(pooled, np.arange(0, len(pooled), step)) / np.diff(np.append(np.arange(0, len(pooled), step), len(pooled)))[:, None]
-    return [i * step * HOP / sr for i in segment(rows, max(2, round(len(y) / sr / target_s))) if i]
+    rows = pooled(y, sr)
+    return [rows[i][0] for i in segment(np.array([f for _, f in rows]), max(2, round(len(y) / sr / target_s))) if i]
+
+
+def pooled(y: np.ndarray, sr: int) -> list[tuple[float, list[float]]]:
+    """Mean cepstral features of about every second, with the second at which each begins."""
+    frames = mfcc(y, sr)
+    step = max(1, round(sr / HOP))
+    starts = np.arange(0, len(frames), step)
+    means = np.add.reduceat(frames, starts) / np.diff(np.append(starts, len(frames)))[:, None]
+    return [(float(i * step * HOP / sr), f.tolist()) for i, f in enumerate(means)]
 
 
 def texture(y: np.ndarray, sr: int) -> dict:

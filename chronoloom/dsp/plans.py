@@ -1,7 +1,8 @@
 """Plans of the kernels over ``samples(track_id, chunk_idx, sr, start_ms, data binary of float32)``, one row per chunk.
 
 Chunks of a few minutes bound a task's memory whatever a track's length is; each is analysed and normalised by itself,
-as the per-span analysis defines, and no shuffle moves samples.
+as the per-span analysis defines, and no shuffle moves samples. What depends on the whole track's length takes it from the
+column track_s (double, seconds), which ``read_samples`` gives; without it, a chunk counts as a track.
 """
 
 from __future__ import annotations
@@ -40,17 +41,19 @@ def read_samples(files: DataFrame, *, chunk_s: float = 180.0) -> DataFrame:
                 try:
                     y, sr = decode_wav(content)
                 except (ValueError, EOFError, wave.Error):
-                    yield pa.RecordBatch.from_pydict({"track_id": [path], "chunk_idx": pa.array([0], pa.int32()), "sr": pa.array([None], pa.int32()), "start_ms": [0], "data": pa.array([None], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"track_id": [path], "chunk_idx": pa.array([0], pa.int32()), "sr": pa.array([None], pa.int32()), "start_ms": [0], "data": pa.array([None], pa.binary()), "track_s": pa.array([None], pa.float64())})
                     continue
                 step = max(1, int(chunk_s * sr))
                 for k, at in enumerate(range(0, max(1, len(y)), step)):
-                    yield pa.RecordBatch.from_pydict({"track_id": [path], "chunk_idx": pa.array([k], pa.int32()), "sr": pa.array([sr], pa.int32()), "start_ms": [at * 1000 // sr], "data": pa.array([y[at : at + step].astype("<f4").tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"track_id": [path], "chunk_idx": pa.array([k], pa.int32()), "sr": pa.array([sr], pa.int32()), "start_ms": [at * 1000 // sr], "data": pa.array([y[at : at + step].astype("<f4").tobytes()], pa.binary()), "track_s": [len(y) / sr]})
 
-    return files.select("path", "content").mapInArrow(run, "track_id string, chunk_idx int, sr int, start_ms long, data binary")
+    return files.select("path", "content").mapInArrow(run, "track_id string, chunk_idx int, sr int, start_ms long, data binary, track_s double")
 
 
 def _per_chunk(samples: DataFrame, rows, schema: str) -> DataFrame:
-    """rows(y, sr, start_ms) gives dicts of a chunk's result; null chunks give none."""
+    """rows(y, sr, start_ms, track_s) gives dicts of a chunk's result; null chunks give none."""
+    if "track_s" not in samples.columns:
+        samples = samples.withColumn("track_s", F.length("data") / 4 / F.col("sr"))
     key = samples.schema["track_id"].dataType.simpleString()
     full = f"track_id {key}, chunk_idx int, {schema}"
 
@@ -58,17 +61,18 @@ def _per_chunk(samples: DataFrame, rows, schema: str) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            out = [{"track_id": t, "chunk_idx": k, **row} for t, k, sr, at, data in zip(f.track_id, f.chunk_idx, f.sr, f.start_ms, f.data) if data is not None for row in rows(np.frombuffer(data, "<f4"), int(sr), int(at))]
+            out = [{"track_id": t, "chunk_idx": k, **row} for t, k, sr, at, data, s in zip(f.track_id, f.chunk_idx, f.sr, f.start_ms, f.data, f.track_s) if data is not None for row in rows(np.frombuffer(data, "<f4"), int(sr), int(at), s)]
             if out:
                 yield pd.DataFrame(out)
 
     samples.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return samples.select("track_id", "chunk_idx", "sr", "start_ms", "data").mapInPandas(run, full)
+    return samples.select("track_id", "chunk_idx", "sr", "start_ms", "data", "track_s").mapInPandas(run, full)
 
 
 def beats(samples: DataFrame, *, tracker: str = "auto", locked_bpm: float | None = None, source: str = "full") -> DataFrame:
-    def rows(y, sr, at):
-        a = kernels.analyse(kernels.percussive(y) if source == "percussive" else y, sr, tracker=tracker, locked_bpm=locked_bpm)
+    def rows(y, sr, at, track_s):
+        own = ("plp" if track_s > 600 else "beat") if tracker == "auto" else tracker
+        a = kernels.analyse(kernels.percussive(y) if source == "percussive" else y, sr, tracker=own, locked_bpm=locked_bpm)
         return [{"at_ms": b + at, "energy": e, "bpm": a["bpm"], "ref_bpm": a["ref_bpm"]} for b, e in zip(a["beats"], a["energy"])]
 
     if source not in ("full", "percussive"):
@@ -77,15 +81,15 @@ def beats(samples: DataFrame, *, tracker: str = "auto", locked_bpm: float | None
 
 
 def frame_features(samples: DataFrame) -> DataFrame:
-    return _per_chunk(samples, lambda y, sr, at: [{"frame_idx": i, "rms": float(r)} for i, r in enumerate(kernels.frame_rms(y))], "frame_idx int, rms double")
+    return _per_chunk(samples, lambda y, sr, at, track_s: [{"frame_idx": i, "rms": float(r)} for i, r in enumerate(kernels.frame_rms(y))], "frame_idx int, rms double")
 
 
 def peaks(samples: DataFrame, hop_ms: float = 10.0) -> DataFrame:
-    return _per_chunk(samples, lambda y, sr, at: [{"hop_ms": hop_ms, "peaks": kernels.hop_peaks(y, sr, hop_ms).tolist()}], "hop_ms double, peaks array<double>")
+    return _per_chunk(samples, lambda y, sr, at, track_s: [{"hop_ms": hop_ms, "peaks": kernels.hop_peaks(y, sr, hop_ms).tolist()}], "hop_ms double, peaks array<double>")
 
 
 def spectrograms(samples: DataFrame, n_mels: int = 64, fmax: float = 8000.0) -> DataFrame:
-    def rows(y, sr, at):
+    def rows(y, sr, at, track_s):
         cells = kernels.spectrogram_cells(y, sr, n_mels, fmax)
         return [{"n_mels": n_mels, "n_frames": len(cells), **kernels.exact_hop(sr), "cells": cells.tobytes()}]
 
@@ -94,12 +98,32 @@ def spectrograms(samples: DataFrame, n_mels: int = 64, fmax: float = 8000.0) ->
 
 def limited(samples: DataFrame) -> DataFrame:
     """Regions where the limiter works."""
-    return _per_chunk(samples, lambda y, sr, at: [{**r, "start_s": r["start_s"] + at / 1000, "end_s": r["end_s"] + at / 1000} for r in kernels.limit(y, sr)[1]], "start_s double, end_s double, peak_amp double, max_gr_db double")
+    return _per_chunk(samples, lambda y, sr, at, track_s: [{**r, "start_s": r["start_s"] + at / 1000, "end_s": r["end_s"] + at / 1000} for r in kernels.limit(y, sr)[1]], "start_s double, end_s double, peak_amp double, max_gr_db double")
 
 
 def textures(samples: DataFrame) -> DataFrame:
-    return _per_chunk(samples, lambda y, sr, at: [kernels.texture(y, sr)], "rms_cv double, percussive double, flux double")
+    return _per_chunk(samples, lambda y, sr, at, track_s: [kernels.texture(y, sr)], "rms_cv double, percussive double, flux double")
 
 
 def segments(samples: DataFrame, target_s: float = 330.0) -> DataFrame:
-    return _per_chunk(samples, lambda y, sr, at: [{"at": b + at / 1000} for b in kernels.boundaries(y, sr, target_s)], "at double")
+    return _per_chunk(samples, lambda y, sr, at, track_s: [{"at": b + at / 1000} for b in kernels.boundaries(y, sr, target_s)], "at double")
+
+
+def track_segments(samples: DataFrame, target_s: float = 330.0) -> DataFrame:
+    """(track_id, at): seconds at which about duration / target segments of a whole track begin, without 0.
+
+    Only one row of features a second is gathered per track.
+    """
+    import pandas as pd
+
+    def rows(y, sr, at, track_s):
+        return [{"at": t + at / 1000, "track_s": track_s, "features": f} for t, f in kernels.pooled(y, sr)]
+
+    def cut(key, f):
+        f = f.sort_values("at")
+        n = max(2, round(float(f["track_s"].max()) / target_s))
+        at = f["at"].to_numpy()[[i for i in kernels.segment(np.array(f["features"].tolist()), n) if i]]
+        return pd.DataFrame({"track_id": [key[0]] * len(at), "at": at})
+
+    key = samples.schema["track_id"].dataType.simpleString()
+    return _per_chunk(samples, rows, "at double, track_s double, features array<double>").groupBy("track_id").applyInPandas(cut, f"track_id {key}, at double")

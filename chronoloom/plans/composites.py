@@ -53,7 +53,7 @@ def detect_chapters(samples: DataFrame, *, target_s: float = 330.0) -> DataFrame
     starts = samples.select(F.struct(TRACK, "chunk_idx").alias("__k"), F.col("start_ms"))
     centres = silences.join(starts, F.col(TRACK) == F.col("__k")).select(F.col(f"{TRACK}.{TRACK}").alias(TRACK), (F.col("centre") + F.col("start_ms") / 1000).alias("centre"))
     long = tracks.where(F.col("duration") >= WHOLE_FILE_S)
-    bounds = dsp.segments(samples, target_s).select(TRACK, "at").join(long.select(TRACK), TRACK, "left_semi")
+    bounds = dsp.track_segments(samples.join(F.broadcast(long.select(TRACK)), TRACK, "left_semi").withColumns({} if "track_s" in samples.columns else {"track_s": F.max(F.col("start_ms") / 1000 + n).over(Window.partitionBy(TRACK))}), target_s)
     cuts = structure.chapter_cuts(long, bounds, centres, target=target_s).unionByName(tracks.where(F.col("duration") < WHOLE_FILE_S).select(TRACK, F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("cut")))
     w = Window.partitionBy(TRACK).orderBy("cut")
     spans = cuts.select(TRACK, (F.row_number().over(w) - 1).alias("chapter_idx"), F.rint(F.col("cut") * 1000).cast("long").alias("at_ms"), F.rint(F.lead("cut").over(w) * 1000).cast("long").alias("end_ms"))
@@ -74,7 +74,7 @@ def voice_ratio(samples: DataFrame, probability=None) -> DataFrame:
     """Share of 32 ms blocks (16 kHz) that ``probability(block)`` finds at 0.5 or more, and "talk" from 0.6 on; no model: 0."""
     from chronoloom.dsp import kernels
 
-    def rows(y, sr, at):
+    def rows(y, sr, at, track_s):
         if probability is None or len(y) == 0:
             return [{"voice_ratio": 0.0, "voice_label": ""}]
         z = kernels.resample(y, sr)
