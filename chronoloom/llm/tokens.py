@@ -20,6 +20,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Lower-case Latin-1 words: normal forms of themselves, and one run of letters.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: From U+0300 on there are marks that compose with what stands before them, and letters that Unicode versions disagree on.
+_HIGH = re.compile("[^\x00-\u02ff]")
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level pre-tokenizers show bytes as characters: visible ones as themselves, the others from 256 on.
 _STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -85,10 +87,17 @@ class ChunkEncoder:
         """Ids of each text (null: none) as little-endian unsigned 32-bit bytes, without an end id."""
         split = []
         for t in texts:
-            # the normaliser lower-cases each character by itself; Python's final sigma and special tokens differ
-            if t and "<|" not in t and "\u03a3" not in t:
+            t = t or ""
+            # the vocabulary composes (NFC), then lower-cases. Below U+0300 nothing composes, so lower-casing may go
+            # first; chunks beyond that go to the library as they are, and so do texts that may hold special tokens
+            low = "<|" not in t
+            high = low and not t.isascii() and _HIGH.search(t) is not None
+            if low and not high:
                 t = t.lower()
-            split.append((t or "").replace("\n", " ").split(" "))
+            chunks = t.replace("\n", " ").split(" ")
+            if high:
+                chunks = [c if _HIGH.search(c) else c.lower() for c in chunks]
+            split.append(chunks)
         if len(self.known) > self.most:
             self.known = {"": b""}
         known, long = self.known, {}
