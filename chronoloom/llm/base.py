@@ -28,9 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if the master is
+    local, as in tests; on a cluster that is an error, since each machine would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base else ("file:" + base if base.startswith("/") else base)
@@ -59,11 +62,43 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back; the shuffle files that the write needed go when it ends, not when garbage is collected."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write(df, new_path(df.sparkSession, tag))
+
+
+#: A key with more than one in so many of all rows is hot; there are at most as many hot keys, whatever the table's size.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: str, n: str, total: int, least: int = 100_000) -> DataFrame:
+    """``rows`` joined (inner) with ``side(on, n, ...)``, a stored table of one row per key; n counts the key's rows; drops n.
+
+    Keys with more than ``total`` / HOT_SHARE (and ``least``) of the rows are broadcast: at most HOT_SHARE of them, so
+    the bound holds for any table. The others are joined by a shuffle, in which no key has more rows than that.
+    """
+    bound = max(least, total // HOT_SHARE)
+    hot = side.where(F.col(n) > bound).drop(n)
+    cold = side.where(F.col(n) <= bound).drop(n)
+    if total <= least or hot.isEmpty():
+        return rows.join(side.drop(n), on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

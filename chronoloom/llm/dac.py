@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import batch, map_batches, materialize, new_path, small_batches
+from .base import batch, map_batches, new_path, small_batches, write
 from .tokens import END_ID, ChunkEncoder
 
 MAGIC = b"DAC1\0\0\0\0"
@@ -115,9 +115,12 @@ OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
-def write_ids(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str, *, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write ids in ascending doc_id order; returns the files' manifest.
 
+    Files and manifest go to the new folder ``path`` and stay there (``open_ids`` finds them again); without one, to the
+    shared folder until the driver ends. Texts of any length are encoded whole, and a document lies in one file.
+
     Null text: only the end id. Null doc_id: sorted first, stored as the smallest long. Equal doc_ids: in order of
     their texts' hashes; repeated rows stay. Empty table: no file. Other columns are ignored. Rows are
     range-partitioned by (doc_id, hash), so a doc_id with many rows splits too; a task streams through its range
@@ -126,12 +129,13 @@ def write_ids(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, file_id
     """
     spark = docs.sparkSession
     small_batches(spark)
-    root = new_path(spark, "token-ids")
+    root = path.rstrip("/") if path else new_path(spark, "token-ids")
+    root = "file:" + root if root.startswith("/") else root
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text"), F.xxhash64("text").alias("__tie"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "__tie").sortWithinPartitions("doc_id", "__tie")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         where, base = _open(root)
@@ -164,16 +168,25 @@ def write_ids(docs: DataFrame, vocabulary: str, *, end_id: int = END_ID, file_id
         if held:
             yield flush()
 
-    return materialize(map_batches(ordered, write, MANIFEST), "token-manifest")
+    return write(map_batches(ordered, encode_rows, MANIFEST), f"{root}/manifest")
+
+
+def open_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a folder that ``write_ids`` filled."""
+    return spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """Read the files back: per document its start over all files, its number of ids and their checksum.
 
-    The running total is over one row per file, in one task; a hundred terabytes make a few million such rows.
+    Starts are running totals within each part, over few files, and over the parts' sums, as many rows as there were
+    shuffle partitions.
     """
     spark = manifest.sparkSession
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("part_base"))
+    inside = manifest.withColumn("own_base", before(Window.partitionBy("part").orderBy("seg")))
+    files = inside.join(bases, "part").withColumn("base", F.col("own_base") + F.col("part_base"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
