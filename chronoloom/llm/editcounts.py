@@ -1,49 +1,80 @@
-"""Edit-aware token counts: a segment tree of pre-tokens per document."""
+"""Edit-aware token counts: a stored segment tree of pre-tokens per document."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import batch, map_batches
+from .base import batch, map_batches, materialize
 from .tokens import ChunkEncoder
 
-#: A leaf is a run of about this many characters that ends before white space.
+#: A leaf is a run of pre-tokens of about this many characters.
 LEAF_CHARS = 64
-_CUT = re.compile(r"[ \n]")
+_SPACE = re.compile(r"[ \n]")
+_SIGN = "!-&(-/:;=?@\\[-`{}~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+_ALNUM = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u3041-\u3094\u30a1-\u30f4\u4e00-\u9fa5\uac00-\ud7a3"
+#: Where pre-tokens end without white space, whatever follows later: a sign (no apostrophe, and none of special tokens)
+#: before a letter or digit or the other way round, and either side of a digit. Only characters that compose with
+#: nothing across the place, and that all Unicode versions class alike.
+_EDGE = re.compile(f"(?<=[{_SIGN}])(?=[{_ALNUM}])|(?<=[0-9A-Za-z])(?=[{_SIGN}])|(?<=[0-9])(?=[0-9A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def leaves(text: str) -> list[str]:
-    """The text in pieces of LEAF_CHARS characters or more, each (but the first) beginning with a space or line feed.
+    """The text in pieces of LEAF_CHARS characters or more that end where pre-tokens end.
 
-    No token reaches across white space, so a text's tokens are its leaves' tokens.
+    At the first space or line feed (it begins the next piece); if none comes within as many characters again, at the
+    first other end of a pre-token. No token reaches across either, so a text's tokens are its leaves' tokens. One
+    pre-token however long is one piece: the vocabulary's merges take it as a whole.
     """
-    out, at = [], 0
-    while at < len(text):
-        m = _CUT.search(text, at + LEAF_CHARS)
-        end = m.start() if m else len(text)
+    out, at, size = [], 0, len(text)
+    while at < size:
+        m = _SPACE.search(text, at + LEAF_CHARS, at + 2 * LEAF_CHARS) or _EDGE.search(text, at + LEAF_CHARS, min(size, at + 2 * LEAF_CHARS)) or _either(text, at + 2 * LEAF_CHARS)
+        end = m.start() if m and m.start() < size else size
         out.append(text[at:end])
         at = end
     return out
 
 
+def _either(text: str, at: int):
+    """The first space or edge from ``at`` on, looked for in growing windows."""
+    step = 4 * LEAF_CHARS
+    while at < len(text):
+        found = [m for m in (_SPACE.search(text, at, at + step), _EDGE.search(text, at, min(len(text), at + step))) if m]
+        if found:
+            return min(found, key=lambda m: m.start())
+        at += step
+        step *= 2
+    return None
+
+
 class Tree:
     """A treap-shaped sequence of leaves; each node holds the characters and tokens below it.
 
     Places are found and sums mended along one path, so an edit costs the leaves that it touches and a logarithm of
-    the rest. Priorities come from a fixed generator: equal edits give equal trees.
+    the rest. Priorities come from a fixed generator: equal edits give equal trees. ``stored``, the leaves' lengths and
+    tokens from an earlier tree, spares the encoding; without it all leaves are encoded.
     """
 
     __slots__ = ("count", "encoded", "root", "_next")
 
-    def __init__(self, count, text: str | None) -> None:
+    def __init__(self, count: Callable[[list[str]], list[int]], text: str | None, stored: tuple[list[int], list[int]] | None = None) -> None:
         self.count, self.encoded, self._next = count, 0, 0x2545F491
-        pieces = leaves(text or "")
-        self.root = self._build(list(zip(pieces, self._counts(pieces))))
+        if stored is None:
+            pieces = leaves(text or "")
+            self.root = self._build(list(zip(pieces, self._counts(pieces))))
+        else:
+            items, at = [], 0
+            for size, n in zip(*stored):
+                items.append((text[at : at + size], n))
+                at += size
+            if at != len(text or ""):
+                raise ValueError("these leaves are of another text")
+            self.root = self._build(items)
 
     def _counts(self, pieces: list[str]) -> list[int]:
         self.encoded += len(pieces)
@@ -163,48 +194,100 @@ class Tree:
     def text(self) -> str:
         return "".join(self._texts(self.root))
 
+    def stored(self) -> tuple[list[int], list[int]]:
+        """The leaves' lengths and tokens, for a later tree."""
+        sizes, tokens, stack, node = [], [], [], self.root
+        while node or stack:
+            while node:
+                stack.append(node)
+                node = node[0]
+            node = stack.pop()
+            sizes.append(len(node[3]))
+            tokens.append(node[4])
+            node = node[1]
+        return sizes, tokens
+
 
 EDITS = "array<struct<at:long,delete:long,insert:string>>"
 
 
-def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with a column ``edits``: those of ``edits(doc_id, seq, at, delete, insert)`` in the order of seq.
+TREE = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+_TREE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32())), ("n_tokens", pa.int64())])
+
+
+def _counter(vocabulary: str) -> Callable[[list[str]], list[int]]:
+    encoder = ChunkEncoder.shared(vocabulary)
+    return lambda pieces: [len(b) // 4 for b in encoder.encode(pieces)]
+
+
+def trees(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """The segment trees of ``docs(doc_id, text)``, to be stored: each text with its leaves' lengths and tokens.
+
+    Inner sums are made again from the leaves when a tree is edited, without encoding anything. Null text: kept null,
+    with no leaves. Null doc_id and repeated rows are kept, each with its own tree. Empty table: no rows. Other columns
+    are ignored. Texts of any length are encoded whole. No shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(vocabulary)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            pieces = [leaves(t or "") for t in texts]
+            tokens = [count(p) for p in pieces]
+            yield batch(_TREE, {"doc_id": b.column(0), "text": b.column(1), "leaf_chars": [list(map(len, p)) for p in pieces], "leaf_tokens": tokens, "n_tokens": list(map(sum, tokens))})
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, TREE)
+
+
+def attach_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
+    """``table`` (documents or trees) with a column ``edits``: those of ``edits(doc_id, seq, at, delete, insert)`` in the order of seq.
 
     One document's edits depend on each other, so they are one group; documents are spread by doc_id. Edits of
-    unknown or null doc_ids are dropped; a null ``at`` or ``delete`` is 0, a null ``insert`` empty.
+    unknown or null doc_ids are dropped; a null ``at`` or ``delete`` is 0, a null ``insert`` empty. An own column
+    ``edits`` is replaced.
     """
     one = F.struct("seq", F.coalesce(F.col("at").cast("long"), F.lit(0)).alias("at"), F.coalesce(F.col("delete").cast("long"), F.lit(0)).alias("delete"), F.coalesce("insert", F.lit("")).alias("insert"))
-    by = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e.at.alias("at"), e.delete.alias("delete"), e.insert.alias("insert"))).alias("edits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(by, rows.doc_id == by["__doc"], "left").select("doc_id", "text", "edits")
+    made = F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e.at.alias("at"), e.delete.alias("delete"), e.insert.alias("insert")))
+    by = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(made.alias("edits")).alias("e")
+    rows = table.drop("edits").withColumn("doc_id", F.col("doc_id").cast("long")).alias("t")
+    return rows.join(by, F.col("t.doc_id") == F.col("e.doc"), "left").select("t.*", "e.edits")
 
 
-OUT = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_leaves long, leaves_encoded long, n_chars_after long, text_after_crc32 long"
-_OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_leaves", "leaves_encoded", "n_chars_after", "text_after_crc32")])
+_COUNTS = ("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_leaves", "leaves_encoded", "n_chars", "text_crc32")
+_DIGEST = pa.schema([(n, pa.int64()) for n in _COUNTS])
+_EDITED = pa.schema([*_DIGEST, *(f for f in _TREE if f.name in ("text", "leaf_chars", "leaf_tokens"))])
+DIGEST = ", ".join(f"{n} long" for n in _COUNTS)
+EDITED = DIGEST + ", text string, leaf_chars array<int>, leaf_tokens array<int>"
 
 
-def counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Token counts of ``docs(doc_id, text, edits)`` before and after the edits, applied in order; one row per row.
+def edit(trees: DataFrame, vocabulary: str, *, digest: bool = False) -> DataFrame:
+    """Apply the edits of ``trees(doc_id, text, leaf_chars, leaf_tokens, edits)`` in order: the new trees and their counts.
 
-    n_leaves and leaves_encoded: leaves of the first tree, and those encoded anew for all edits. Null text: empty;
-    null or empty ``edits``: none; places beyond the text count as its end, negative ones as 0. Null doc_id and
-    repeated rows are kept. Empty table: no rows. Other columns are ignored. No shuffle.
+    Only leaves that an edit touches, and the one before, are encoded (``leaves_encoded`` of ``n_leaves``, the leaves
+    there were). The result holds what ``trees`` holds, so it can be stored and edited again; ``digest`` leaves texts and
+    leaves out. Null or empty ``edits``: none; places beyond the text count as its end, negative ones as 0. Null text:
+    empty. Null doc_id and repeated rows are kept. Empty table: no rows. Other columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        encoder = ChunkEncoder.shared(vocabulary)
-        count = lambda pieces: [len(b) // 4 for b in encoder.encode(pieces)]
+        count = _counter(vocabulary)
+        schema = _DIGEST if digest else _EDITED
         for b in batches:
             rows = []
-            for doc, text, edits in zip(*(c.to_pylist() for c in b.columns)):
-                tree = Tree(count, text)
-                before, n, made = tree.tokens, tree.n_leaves, tree.encoded
+            for doc, text, sizes, tokens, edits in zip(*(c.to_pylist() for c in b.columns)):
+                tree = Tree(count, text or "", (sizes or [], tokens or []))
+                before, n = tree.tokens, tree.n_leaves
                 for e in edits or ():
                     tree.edit(e["at"] or 0, e["delete"] or 0, e["insert"] or "")
-                rows.append((doc, before, len(edits or ()), tree.tokens, n, tree.encoded - made, tree.characters, zlib.crc32(tree.text().encode("utf-8", "surrogatepass"))))
+                after = tree.text()
+                row = (doc, before, tree.tokens, len(edits or ()), n, tree.encoded, tree.characters, zlib.crc32(after.encode("utf-8", "surrogatepass")))
+                rows.append(row if digest else (*row, after, *tree.stored()))
             if rows:
-                yield batch(_OUT, dict(zip(_OUT.names, map(list, zip(*rows)))))
+                yield batch(schema, dict(zip(schema.names, map(list, zip(*rows)))))
+
+    return map_batches(trees.select(F.col("doc_id").cast("long"), "text", "leaf_chars", "leaf_tokens", F.col("edits").cast(EDITS)), run, DIGEST if digest else EDITED)
+
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(EDITS)), run, OUT)
+def counts(docs: DataFrame, vocabulary: str, edits: DataFrame) -> DataFrame:
+    """Token counts of ``docs(doc_id, text)`` before and after ``edits`` (see ``attach_edits``), by a stored table of trees."""
+    return edit(attach_edits(materialize(trees(docs, vocabulary), "trees"), edits), vocabulary, digest=True)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dac, decontaminate, editcounts, licenses, lines, media, packing, quality, simhash, urls
-from .base import table
+from .base import materialize, table
 from .tokens import vocabulary_path
 
 
@@ -33,15 +33,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents before and after four edits each, at places that their ids and lengths give."""
-    docs = table(spark, sf_dir, "documents")
+def made_edits() -> Column:
+    """Four edits for a row of documents, at places that its id and length give."""
     n = F.coalesce(F.length("text"), F.lit(0))
     place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1)
     words = F.array(*map(F.lit, ("new", " word", "'s", " two words ", "\n", "ing,")))
     made = [(place(1), F.lit(0), F.get(words, F.pmod("doc_id", F.lit(6)).cast("int"))), (place(2), F.pmod(F.xxhash64("doc_id"), F.lit(40)), F.lit("")), (place(3), F.lit(3), F.lit("changed")), (n, F.lit(0), F.lit(" the end"))]
-    edits = F.array(*[F.struct(a.cast("long").alias("at"), d.cast("long").alias("delete"), i.alias("insert")) for a, d, i in made])
-    return editcounts.counts(docs.select("doc_id", "text", edits.alias("edits")), vocabulary_path())
+    return F.array(*[F.struct(a.cast("long").alias("at"), d.cast("long").alias("delete"), i.alias("insert")) for a, d, i in made])
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after four edits each; the edits start from a stored table of all trees."""
+    stored = materialize(editcounts.trees(table(spark, sf_dir, "documents"), vocabulary_path()), "trees")
+    after = editcounts.edit(stored.withColumn("edits", made_edits()), vocabulary_path(), digest=True)
+    return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_leaves", "leaves_encoded", F.col("n_chars").alias("n_chars_after"), F.col("text_crc32").alias("text_after_crc32"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
