@@ -1,4 +1,6 @@
+import itertools
 import re
+from collections import Counter
 
 from chronoloom.llm import urls
 from chronoloom.llm.queries import op3_url_filter
@@ -51,15 +53,51 @@ def test_mined_rules_against_brute_force(spark):
         assert abs(support - len(bad.intersection(have)) / 150) < 1e-9 and support >= 0.05
     got = {r.page_id: r.verdict for r in urls.judge(df, lab, min_support=0.05, min_pages=5, min_confidence=0.9).collect()}
     assert all((got[i] == "block") == any(t <= baskets[i] for t, _, _ in rules) for i in got)
+    assert urls.mine(df, lab.where("quality = 1 and coalesce(toxic, 0) = 0")) == [] == urls.mine(df.limit(0), lab)
     assert got[195] == "block" and got[190] == "allow"  # pages without labels, too
 
 
+def tokens_of(url):
+    host, path = split(url)
+    lower = lambda x: x.lower()
+    names = host.split(".")
+    words = re.split("[^a-z0-9\x80-\U0010ffff]+", lower(path))
+    kind = re.search(r"\.([a-z0-9]{1,8})$", lower(path))
+    query = re.match(r"[^?#]*\?([^#]*)", url or "", re.S)
+    pairs = [x for x in lower(query[1] if query else "").split("&") if x]
+    out = {"h:" + x for x in names} | {"h:" + x for x in re.split("[.-]", host)} | {"p:" + x for x in words} | {"q:" + x.split("=")[0] for x in pairs} | {"v:" + x for x in pairs}
+    if kind:
+        out.add("t:" + kind[1])
+    return {x for x in out if len(x) > 2 and not re.fullmatch(r"[hpt]:\d+", x)}
+
+
 def test_query(spark):
-    sf = "/root/testdata/sf0.01"
+    """Whole verdicts; the mined rules themselves, of one and two tokens, against counts over all labelled pages."""
+    sf = "/root/testdata/sf0.1"
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    labels = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    tokens = {p: tokens_of(u) for p, u in pages.items()}
+    seen = [p for p in pages if p in labels]
+    share = sum(labels[p] for p in seen) / len(seen)
+    rules = {t: c for t, c, _ in urls.mine(spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))}
+    have, bad = Counter(), Counter()
+    for p in seen:
+        for k in (1, 2):
+            for c in itertools.combinations(sorted(tokens[p]), k):
+                have[frozenset(c)] += 1
+                bad[frozenset(c)] += labels[p]
+    expected = {}
+    for t in sorted(have, key=len):
+        c = bad[t] / have[t]
+        if have[t] >= 20 and c >= 1.1 * share and urls.lower_bound(c, have[t], 2.0) > share and not any(x < t and y >= c - 1e-12 for x, y in expected.items()):
+            expected[t] = c
+    assert {t for t in rules if len(t) < 3} == expected.keys() and expected and all(abs(rules[t] - c) < 1e-9 for t, c in expected.items())
     got = op3_url_filter(spark, sf).collect()
     assert len(got) == len(pages)
     for r in got:
         host, path = split(pages[r.page_id])
         own = rule(host, path)
-        assert (r.host, r.path, r.rule) == (host, path, own and own[0]) and (own is None or r.verdict == own[1])
+        best = max((c for t, c in rules.items() if t <= tokens[r.page_id]), default=0.0)
+        assert (r.host, r.path, r.rule, r.confidence) == (host, path, own and own[0], best)
+        assert r.verdict == (own[1] if own else "block" if best else "allow")
+    assert any(r.mined_rule and not r.rule for r in got)
