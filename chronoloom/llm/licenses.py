@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import batch, map_batches, words_of
+from .license_texts import TEXTS
 
 
 @dataclass(frozen=True)
@@ -25,71 +26,106 @@ class Template:
 
 #: A place of these counts wherever the words stand consecutively.
 PHRASES = (Template("mit", "under the mit license"), Template("apache-2", "apache license version 2"), Template("cc-by-nc", "cc by nc"))
-#: Wider wordings; a place needs most of the words at their relative positions, and each key phrase whole.
-TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    Template("apache-2", "licensed under the apache license version 2 0", ("apache license",)),
-    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ("in compliance with the license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
-    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", ("dedicated the work to the public domain",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
-)
-
-#: Rarest words of a template that are looked up, and the share of its words that must stand in place.
-RARE, SHARE = 4, 0.8
+#: Wider wordings: a place needs most of the words in their order, and each key phrase whole.
+TEMPLATES = tuple(Template(*t) for t in TEXTS)
+
+#: Words of a template that are looked up for a file, the share of its words that must stand in order in a place, and
+#: how far one place's words may be shifted against each other: one word, and one more for each SHIFT words.
+RARE, SHARE, SHIFT = 6, 0.8, 8
+
+
+def in_order(words: list[bytes], places: dict[bytes, int]) -> int:
+    """The longest common subsequence of a template (as its words' places, one bit each) and ``words``; bit-parallel."""
+    row = 0
+    for w in words:
+        m = places.get(w, 0)
+        x = row | m
+        row = x & ~(x - ((row << 1) | 1))
+    return row.bit_count()
 
 
 class Index:
-    """Postings (template, position) of every template's rarest words; all words, for the check in place."""
+    """Postings (template, position) of the templates' words, for the positional look-up."""
 
     def __init__(self, phrases: tuple[Template, ...], templates: tuple[Template, ...], idf: dict[bytes, float]) -> None:
         self.items = [*phrases, *templates]
         self.n_phrases = len(phrases)
         self.words = [words_of(t.text) for t in self.items]
         self.keys = [[words_of(k) for k in t.keys] for t in self.items]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, words in enumerate(self.words):
-            rare = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[: 1 if i < self.n_phrases else RARE]
+        rank = lambda w: (-idf.get(w, 0.0), w)
+        self.postings: list[dict[bytes, list[int]]] = []
+        self.places: list[dict[bytes, int]] = []
+        for words in self.words:
+            at: dict[bytes, list[int]] = {}
             for q, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((i, q))
-        self.rare = frozenset(self.postings)
+                at.setdefault(w, []).append(q)
+            self.postings.append({w: at[w] for w in sorted(at, key=rank)})  # in descending idf
+            self.places.append({w: sum(1 << q for q in qs) for w, qs in at.items()})
+        self.shift = [1 + len(w) // SHIFT if i >= self.n_phrases else 0 for i, w in enumerate(self.words)]
+        self.vocabulary = frozenset(w for words in self.words for w in words)
+
+    def _anchors(self, i: int, present: set[bytes]) -> list[bytes]:
+        """The template's words of highest idf that the file has: RARE of them (a phrase: one); none if it lacks too many."""
+        n, have, out = len(self.words[i]), 0, []
+        most = 1 if i < self.n_phrases else RARE
+        for w, at in self.postings[i].items():
+            if w in present:
+                have += len(at)
+                if len(out) < most:
+                    out.append(w)
+        return out if have >= (n if i < self.n_phrases else SHARE * n - 1e-9) else []
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, float]]]:
-        """Places of phrases (item, start), all of them; places of templates (item, start, share of words in place).
+        """Places of phrases (item, start), all of them; places of templates (item, start, share of words in order).
 
-        Each occurrence of an indexed word votes for the place where its template would start; a place is looked at
-        if its votes come from a half or more of the template's indexed words.
+        For each template the file's own rarest words of it are looked up. Each occurrence votes for where the template
+        would start; votes meet if they lie within the template's shift of each other, so words may be missing or put
+        in. A place with votes from half of the looked-up words is aligned word by word.
         """
-        if self.rare.isdisjoint(words):
+        present = self.vocabulary.intersection(words)
+        anchors = [self._anchors(i, present) for i in range(len(self.items))] if present else []
+        wanted = {w for a in anchors for w in a}
+        if not wanted:
             return [], []
-        base, votes = [], Counter()
+        seen: dict[bytes, list[int]] = {w: [] for w in wanted}
         for p, w in enumerate(words):
-            if w in self.rare:
-                for i, q in self.postings[w]:
-                    s = p - q
-                    if i >= self.n_phrases:
-                        votes[i, s] += 1
-                    elif s >= 0 and words[s : s + len(self.words[i])] == self.words[i]:
-                        base.append((i, s))
-        own = []
-        for (i, s), n in votes.items():
-            t = self.words[i]
-            if 2 * n < min(RARE, len(set(t))):
+            if w in wanted:
+                seen[w].append(p)
+        base, own = [], []
+        for i, looked_up in enumerate(anchors):
+            if not looked_up:
                 continue
-            share = sum(0 <= s + q < len(words) and words[s + q] == w for q, w in enumerate(t)) / len(t)
-            part = words[max(0, s) : s + len(t)]
-            if share >= SHARE and all(any(part[j : j + len(k)] == k for j in range(len(part) - len(k) + 1)) for k in self.keys[i]):
-                own.append((i, max(0, s), share))
+            if i < self.n_phrases:
+                t, (w,) = self.words[i], looked_up
+                starts = {p - q for p in seen[w] for q in self.postings[i][w] if p >= q}
+                base += [(i, s) for s in starts if words[s : s + len(t)] == t]
+            else:
+                own += self._places(i, words, looked_up, sorted((p - q, k) for k, w in enumerate(looked_up) for p in seen[w] for q in self.postings[i][w]))
         return sorted(set(base)), sorted(own)
 
+    def _places(self, i: int, words: list[bytes], looked_up: list[bytes], votes: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+        n, shift, out = len(self.words[i]), self.shift[i], []
+        counts: Counter[int] = Counter()
+        left, after = 0, -n
+        for s, k in votes:  # a window over the sorted votes: all within ``shift`` of its first
+            counts[k] += 1
+            while votes[left][0] < s - shift:
+                gone = votes[left][1]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+                left += 1
+            if 2 * len(counts) < len(looked_up) or s < after:
+                continue
+            start = max(0, votes[left][0] - shift)
+            part = words[start : s + n + shift]
+            share = in_order(part, self.places[i]) / n
+            if share >= SHARE - 1e-9 and all(any(part[j : j + len(key)] == key for j in range(len(part) - len(key) + 1)) for key in self.keys[i]):
+                first = next(j for j in range(len(part)) if part[j] in self.places[i])
+                out.append((i, start + first, share))
+                after = s + n // 2  # the same place isn't found again
+        return out
+
 
 def word_idf(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, float]:
     """Inverse document frequency of these (few) words over all texts; each task sends one count per word."""
@@ -118,7 +154,8 @@ def scan(docs: DataFrame, phrases: tuple[Template, ...] = PHRASES, templates: tu
 
     Two passes without a shuffle of texts: inverse document frequencies of the templates' words over all documents,
     then the scan. Null or empty text: no words, no labels, score 0. Null doc_id and repeated rows are kept. Empty
-    table: no rows. Other columns are ignored. score: the largest share of a found template's words in place.
+    table: no rows. Other columns are ignored. Texts of any length are read whole. score: the largest share of a found
+    template's words that stand in order in one place; 1 for a phrase.
     """
     vocabulary = frozenset(w for t in (*phrases, *templates) for w in words_of(t.text))
     index = Index(phrases, templates, word_idf(docs, vocabulary))
