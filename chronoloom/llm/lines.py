@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_ROWS, materialize
+from .base import join_hot, materialize
 
 #: Shorter lines (after trimming) have no near lines: one edit is too much of them. ``exact_chars`` bounds the exact step.
 LEAST_CHARS = 20
@@ -44,11 +44,11 @@ def _without(n: Column, length: Column, at: Column | int, of: int) -> Column:
     return F.xxhash64(length, F.lit(at) if isinstance(at, int) else at, F.left(n, start), F.substring(n, F.col("len") - (length - end) + 1, length - end))
 
 
-def _sharing(lines: DataFrame, hashes: Column) -> DataFrame:
-    """The keys of those ``lines(key, ...)`` that share one of ``hashes`` (an array) with a different line."""
-    each = lines.select("key", F.explode(hashes).alias("hash"))
-    shared = each.groupBy("hash").agg(F.min("key.x").alias("lo"), F.max("key.x").alias("hi")).where("lo <> hi").select("hash")
-    return each.join(shared, "hash", "left_semi").select("key").distinct()
+def _sharing(lines: DataFrame, hashes: Column, hot: int) -> DataFrame:
+    """The keys of those distinct ``lines(key, ...)`` that share one of ``hashes`` (an array) with a different line."""
+    each = materialize(lines.select("key", F.explode(hashes).alias("hash")), "hashes")
+    shared = materialize(each.groupBy("hash").agg(F.min("key.x").alias("lo"), F.max("key.x").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("hash", "n"), "shared-hashes")
+    return join_hot(each, shared, "hash", "n", each.count(), hot).select("key").distinct()
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -92,41 +92,40 @@ def near_earlier(lines: DataFrame) -> DataFrame:
     return met.where(F.col("m.place") < F.col("place")).groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.key").alias("other"))
 
 
-def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
+def duplicates(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, hot: int = 100_000) -> DataFrame:
     """(doc, tie, drop): the numbers of the lines of each text that an earlier line repeats, exactly or within one edit.
 
     Before the neighbourhoods are made, two filters that lose nothing leave the lines that can have a neighbour: by
-    halves over all distinct lines, by all but one of FINE blocks over what that leaves.
+    halves over all distinct lines, by all but one of FINE blocks over what that leaves. Texts of those lines are read
+    from where each first stands. Nothing is broadcast but hot keys, at most HOT_SHARE of them (``hot``: see join_hot).
     """
     n, length, place = F.col("n"), F.col("len"), F.struct("doc", "tie", "pos")
     exploded = _exploded(docs).where(F.col("len") >= (least_chars if exact_chars is None else exact_chars))
     halves = F.array(*[_without(n, length - less, at, 2) for less in (0, 1) for at in (0, 1)])
-    if exact_chars is not None:
-        halves = F.when(length >= least_chars, halves)
-    lines = materialize(exploded.select("doc", "tie", "pos", _key(n).alias("key"), halves.alias("halves")), "lines")
-    distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place")), "distinct-lines")
-
-    likely = materialize(_sharing(lines, F.col("halves")).join(distinct, "key").select("key", "place", "place.doc", "place.tie"), "likely")
-    # their texts, from where each first stands; beyond the bound by a shuffle, which moves the texts once more
-    if likely.count() <= BROADCAST_ROWS:
-        likely = F.broadcast(likely)
+    halves = [F.when(length >= least_chars, h).alias(f"h{i}") for i, h in enumerate(F.get(halves, i) for i in range(4))]
+    lines = materialize(exploded.select("doc", "tie", "pos", _key(n).alias("key"), *halves), "lines")
+    total = lines.count()
+    distinct = materialize(lines.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)]), "distinct-lines")
+
+    likely = _sharing(distinct.where("h0 is not null"), F.array("h0", "h1", "h2", "h3"), hot)
+    by_text = likely.join(distinct, "key").groupBy("place.doc", "place.tie").agg(F.collect_set("place.pos").alias("at"))
     doc, tie = _document()
-    some = docs.where("text is not null").select("doc_id", "text", doc, tie).join(likely.select("doc", "tie").distinct(), ["doc", "tie"], "left_semi")
-    texts = materialize(_exploded(some).withColumn("place", place).join(likely.select("key", "place"), "place").select("key", "place", "n", "len").dropDuplicates(["key"]), "likely-texts")
+    found = docs.where("text is not null").select("text", doc, tie).join(by_text, ["doc", "tie"]).withColumn("all", F.split("text", "\n"))
+    texts = found.select("doc", "tie", F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), normal(F.get("all", i)).alias("n")))).alias("l")).select("doc", "tie", "l.*")
+    texts = materialize(texts.select(_key(n).alias("key"), place.alias("place"), "n", F.length("n").alias("len")).dropDuplicates(["key"]), "likely-texts")
     parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda at: F.array(_without(n, length, at, FINE), _without(n, length - 1, at, FINE))))
-    blocks = materialize(texts.select("key", parts.alias("blocks")), "blocks")
-    texts = materialize(texts.join(_sharing(blocks, F.col("blocks")), "key", "left_semi"), "near-texts")
+    texts = materialize(texts.join(_sharing(texts, parts, hot), "key", "left_semi"), "near-texts")
 
     pairs = near_earlier(texts)
     own, other = texts.select("key", n.alias("n1")), texts.select(F.col("key").alias("other"), n.alias("n2"))
-    near = pairs.join(own, "key").join(other, "other").where(F.levenshtein("n1", "n2", 1).between(0, 1)).select("key", F.lit(True).alias("near"))
+    near = materialize(pairs.join(own, "key").join(other, "other").where(F.levenshtein("n1", "n2", 1).between(0, 1)).select("key", F.lit(True).alias("near")), "near")
     # a line's first place goes too if it is near an earlier line; all later places go in any case
-    state = distinct.select("key", F.col("place").alias("first")).join(materialize(near, "near"), "key", "left")
-    gone = lines.select("key", "doc", "tie", "pos").join(state, "key").where(F.col("near") | (place != F.col("first")))
+    state = materialize(distinct.select("key", F.col("place").alias("first"), "n").join(near, "key", "left").where("n > 1 or near"), "repeated")
+    gone = join_hot(lines.select("key", "doc", "tie", "pos"), state, "key", "n", total, hot).where(F.col("near") | (place != F.col("first")))
     return gone.groupBy("doc", "tie").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int | None = None, hot: int = 100_000) -> DataFrame:
     """``docs`` with repeated lines taken out of their texts: all columns, and ``__lines``, ``__kept`` (their numbers).
 
     A line (split at line feeds; compared without blanks at its ends, lower-cased) goes if an equal line, or one within one inserted,
@@ -135,14 +134,17 @@ def dedup(docs: DataFrame, *, least_chars: int = LEAST_CHARS, exact_chars: int |
     have ``exact_chars`` at least (1: all but blank lines; None: they stay). A document none of whose lines go keeps
     its text as it is; one all of whose lines go keeps an empty text. Null text: stays null, with no lines. Null
     doc_id: last in order. Repeated rows (same doc_id, same text) are one document: all are cut alike, and the first
-    occurrence of a line stays in each. Empty table: no rows.
+    occurrence of a line stays in each. Empty table: no rows. Very long texts and lines are taken whole. Other columns
+    pass, whatever their names; only own columns ``__lines`` and ``__kept`` are replaced.
     """
-    drop = duplicates(docs, least_chars=least_chars, exact_chars=exact_chars)
+    drop = duplicates(docs, least_chars=least_chars, exact_chars=exact_chars, hot=hot)
     doc, tie = _document()
-    rows = docs.withColumns({"__doc": doc, "__tie": tie}).join(drop.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("drop").alias("__drop")), ["__doc", "__tie"], "left")
-    # numbers of kept lines by hash, not by a search per line; __split serves twice, so it isn't evaluated per line
-    rows = rows.withColumn("__split", F.split("text", "\n"))
-    n, gone = F.coalesce(F.size("__split"), F.lit(0)), F.coalesce(F.size("__drop"), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__drop"), lambda i: F.get("__split", i))
-    out = rows.withColumns({"__lines": n.cast("long"), "__kept": (n - gone).cast("long"), "__text": F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))})
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__lines", "__kept")
+    # the row's own columns travel in one, so no name of theirs can meet one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc, tie).join(drop, ["doc", "tie"], "left")
+    # numbers of kept lines by hash, not by a search per line; split serves twice, so it isn't evaluated per line
+    rows = rows.withColumn("split", F.split("row.text", "\n"))
+    n, gone = F.coalesce(F.size("split"), F.lit(0)), F.coalesce(F.size("drop"), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "drop"), lambda i: F.get("split", i))
+    out = rows.select("row", n.cast("long").alias("__lines"), (n - gone).cast("long").alias("__kept"), F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col("row.text")).alias("text"))
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("__lines", "__kept")]
+    return out.select(*own, "__lines", "__kept")

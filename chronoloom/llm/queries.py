@@ -50,7 +50,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.inspect_texts(table(spark, sf_dir, "documents"))
+    stored = materialize(media.store_texts(table(spark, sf_dir, "documents")), "media")
+    found = media.inspect(stored)
     feature = F.format_string("%s corrected=%s samples=%d blocks=%d mean=%.6f embedded=%s", "detected", "corrected", "body_bytes", (F.col("body_bytes") / media.BLOCK).cast("long"), "sample_mean", F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.kind, e.offset, e.length)), "|"))
     return found.select("doc_id", "n_bytes", F.col("body_bytes").alias("payload_bytes"), F.col("body_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
@@ -60,7 +61,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.dedup(table(spark, sf_dir, "documents"))
+    cut = lines.dedup(table(spark, sf_dir, "documents"), exact_chars=1)
     return cut.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__kept").alias("n_kept"), F.md5("text").alias("kept_md5"))
 
 
@@ -81,19 +82,21 @@ ORACLE_SQL: dict[str, str] = {
             select d.id, z.n, d.w, unnest(range(1, len(d.w) - z.n + 2)) as i from words d, (select distinct n from items) z where d.kind = 'doc')),
         met as (select c.item_id, d.doc_id, c.k, count(distinct d.s) as m from docs d join counted c on c.n = d.n and c.s = d.s group by all)
         select item_id, doc_id, m / k as containment from met where m / k >= 0.8 - 1e-12""",
-    # pairs within one edit share a first or last half; Levenshtein distance decides
+    # every line that isn't blank goes by equality, those of 20 characters and more also within one edit: such pairs
+    # share a first or last half, and Levenshtein distance decides
     "op9_line_dedup": """
         with split as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
         norm as (select doc_id, pos, line, lower(trim(line, ' ' || chr(9) || chr(13))) as n from split),
-        firsts as (select n, length(n) as len, min((doc_id, pos)) as place from norm where length(n) >= 20 group by n),
+        firsts as (select n, length(n) as len, min((doc_id, pos)) as place from norm where n <> '' group by n),
+        long as (select * from firsts where len >= 20),
         halves as (
-            select *, len as of_len, 1 as side, left(n, len // 2) as half from firsts
-            union all select *, len, 2, right(n, len - len // 2) from firsts
-            union all select *, len - 1, 1, left(n, (len - 1) // 2) from firsts
-            union all select *, len - 1, 2, right(n, len - 1 - (len - 1) // 2) from firsts),
+            select *, len as of_len, 1 as side, left(n, len // 2) as half from long
+            union all select *, len, 2, right(n, len - len // 2) from long
+            union all select *, len - 1, 1, left(n, (len - 1) // 2) from long
+            union all select *, len - 1, 2, right(n, len - 1 - (len - 1) // 2) from long),
         near as (select distinct b.n from halves a join halves b using (of_len, side, half) where a.place < b.place and abs(a.len - b.len) <= 1 and levenshtein(a.n, b.n) <= 1),
         judged as (
-            select doc_id, pos, line, length(norm.n) < 20 or (near.n is null and (doc_id, pos) = firsts.place) as keep
+            select doc_id, pos, line, norm.n = '' or (near.n is null and (doc_id, pos) = firsts.place) as keep
             from norm left join firsts on norm.n = firsts.n left join near on norm.n = near.n)
         select d.doc_id, cast(coalesce(j.n_lines, 0) as bigint) as n_lines, cast(coalesce(j.n_kept, 0) as bigint) as n_kept,
             case when d.text is null then null when j.n_lines = j.n_kept then md5(d.text) else md5(coalesce(j.kept, '')) end as kept_md5

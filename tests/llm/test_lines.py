@@ -14,9 +14,9 @@ def near(a, b):
     return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i + 1 :] == b[i + 1 :] or a == b
 
 
-def brute(docs, least=20):
-    """docs in order; the text each keeps."""
-    seen, out = [], []
+def brute(docs, least=20, exact=None):
+    """docs in order; the text each keeps. Lines under ``least`` characters go by equality, from ``exact`` characters on."""
+    seen, out = {}, []
     for d, t in docs:
         if t is None:
             out.append((d, None, 0, 0))
@@ -24,18 +24,18 @@ def brute(docs, least=20):
         own, kept = t.split("\n"), []
         for x in own:
             n = x.strip(" \t\r").lower()
-            if len(n) < least:
+            if len(n) < (least if exact is None else exact):
                 kept.append(x)
                 continue
-            if not any(near(n, s) for s in seen):
+            if not (n in seen or len(n) >= least and any(len(s) >= least and near(n, s) for s in seen)):
                 kept.append(x)
-            seen.append(n)
+            seen[n] = True
         out.append((d, "\n".join(kept), len(own), len(kept)))
     return out
 
 
-def run(df):
-    return sorted(((r.doc_id, r.text, r["__lines"], r["__kept"]) for r in lines.dedup(df).collect()), key=str)
+def run(df, **how):
+    return sorted(((r.doc_id, r.text, r["__lines"], r["__kept"]) for r in lines.dedup(df, **how).collect()), key=str)
 
 
 def test_random_lines_against_brute_force(spark):
@@ -54,10 +54,21 @@ def test_random_lines_against_brute_force(spark):
     assert run(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(expected, key=str)
 
 
-def test_the_way_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
-    docs = [(d, f"line {d % 9} that many documents have, or nearly so\nand one of its own: {d * d * 7919}") for d in range(40)]
-    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(brute(docs), key=str)
+def test_hot_keys(spark):
+    """Keys that are split off and broadcast (here: of three rows and more) give the same rows."""
+    docs = [(d, f"line {d % 9} that many documents have, or nearly so\nand one of its own: {d * d * 7919}\nshort\n\nline {d % 4}") for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for exact in (None, 1):
+        assert run(df, hot=2, exact_chars=exact) == run(df, exact_chars=exact) == sorted(brute(docs, exact=exact), key=str)
+
+
+def test_names_of_other_columns(spark):
+    names = ["doc", "tie", "pos", "drop", "split", "row", "key", "__doc", "__tie", "__drop", "__split", "__text", "__lines", "__kept", "n", "all"]
+    df = spark.createDataFrame([(1, "a line that is long enough to go\na line that is long enough to go", *names)], "doc_id long, text string, " + ", ".join(f"`{x}` string" for x in names))
+    out = lines.dedup(df)
+    assert out.columns == [c for c in df.columns if c not in ("__lines", "__kept")] + ["__lines", "__kept"]
+    r = out.first()
+    assert r.text == "a line that is long enough to go" and (r["__lines"], r["__kept"]) == (2, 1) and all(r[c] == c for c in names if c not in ("__lines", "__kept"))
 
 
 def test_query_against_brute_force(spark):
@@ -66,7 +77,7 @@ def test_query_against_brute_force(spark):
     import hashlib
 
     got = sorted((r.doc_id, r.n_lines, r.n_kept, r.kept_md5) for r in op9_line_dedup(spark, sf).collect())
-    assert got == [(d, n, k, hashlib.md5(t.encode()).hexdigest()) for d, t, n, k in brute(docs)]
+    assert got == [(d, n, k, hashlib.md5(t.encode()).hexdigest()) for d, t, n, k in brute(docs, exact=1)]
 
 
 def test_hot_variants(spark):

@@ -1,14 +1,11 @@
-import zlib
-
-import numpy as np
-
 import corpus_pipeline
 from chronoloom.llm import quality
 from chronoloom.llm.base import materialize, table
 from chronoloom.llm.tokens import vocabulary_path
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_lines import brute as brute_lines
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_neardup import brute_keep
+from tests.llm.test_tokens import checked_pieces
 
 
 def test_stages_against_brute_force(spark):
@@ -21,10 +18,9 @@ def test_stages_against_brute_force(spark):
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
 
     expected = [[r for r in rows if model.score(r[1]) >= 0.7]]
-    expected.append([(d, t) for d, t, n, k in brute_lines(expected[-1]) if k or not n])
-    fps = [(d, brute_fingerprint(t)) for d, t in expected[-1]]
-    own = brute_components(fps)
-    expected.append([r for r, (d, f) in zip(expected[-1], fps) if own[f] == d])
+    expected.append([(d, t) for d, t, n, k in brute_lines(expected[-1], exact=1) if n == k or t.strip(" \t\r\n")])
+    kept = set(brute_keep(expected[-1]))
+    expected.append([r for r in expected[-1] if r[0] in kept])
     leaks = {d for _, d in brute_leaks(expected[-1], items)}
     expected.append([r for r in expected[-1] if r[0] not in leaks])
     assert len(rows) > len(expected[0]) > len(expected[-1]) > 50
@@ -38,9 +34,7 @@ def test_stages_against_brute_force(spark):
 
     library = Tokenizer.from_file(vocabulary_path())
     ids = {d: [*library.encode(t, add_special_tokens=False).ids, 2] for d, t in expected[-1]}
-    pieces = corpus_pipeline.packing_stage(spark, docs, sf).collect()
-    assert sum(r.length for r in pieces) == sum(map(len, ids.values()))
-    assert all(zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in pieces)
+    checked_pieces(corpus_pipeline.packing_stage(spark, docs, sf).collect(), ids, 4096)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == set(ids)
 
 

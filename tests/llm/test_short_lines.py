@@ -2,10 +2,7 @@ import random
 
 import corpus_pipeline
 from chronoloom.llm import lines
-from chronoloom.llm.base import materialize, table
-from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_lines import near
-from tests.llm.test_neardup import brute_keep
 
 
 def brute(docs):
@@ -37,17 +34,3 @@ def test_stage_leaves_no_wrecks(spark):
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in docs], "doc_id long, text string, n_chars long")
     got = sorted(tuple(r) for r in corpus_pipeline.line_stage(spark, df, "").collect())
     assert got == [(1, docs[0][1], len(docs[0][1])), (3, "\n\n", 2), (4, None, 0), (5, "", 0), (6, "Own", 3)]
-
-
-def test_stages_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = table(spark, sf, "documents")
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
-    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
-    cut = [(d, t) for d, t, n, k in brute(rows) if k == n or t.strip(" \t\r\n")]
-    kept = set(brute_keep(cut))
-    unique = [r for r in cut if r[0] in kept]
-    leaks = {d for _, d in brute_leaks(unique, items)}
-    for (name, stage), want in zip(corpus_pipeline.STAGES[1:], (cut, unique, [r for r in unique if r[0] not in leaks])):
-        docs = materialize(stage(spark, docs, sf), "stage")
-        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0]) == want, name
