@@ -134,5 +134,5 @@ def keep_one(docs: DataFrame, *, sample: int = SAMPLE, common: int = COMMON) ->
     words is one shingle; null and wordless texts are equal to each other.
     """
     fps = materialize(_prefixes(docs, sample, common), "shingle-prefixes")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("tie", "size", "prefix")).alias("own")), "distinct-sets")
-    return one_of_each(docs, name_members(fps.select("doc_id", "tie", "fp"), distinct.select("fp", "first"), links(docs, distinct)))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("tie", "size", "prefix")).alias("own")), "distinct-sets")
+    return one_of_each(docs, name_members(fps.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), links(docs, distinct)))

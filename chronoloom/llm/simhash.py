@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import batch, map_batches, materialize
+from .base import batch, join_hot, map_batches, materialize
 
 DISTANCE = 2
 SHINGLE = 3
@@ -132,19 +132,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _members(docs: DataFrame, size: int, hot: int) -> DataFrame:
     fps = materialize(fingerprints(docs, size=size), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     return name_members(fps, distinct, links(distinct, hot=hot))
 
 
-def name_members(fps: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """``fps(doc_id, tie, fp)`` with root and component_id, of ``distinct(fp, first)`` and its ``edges(a, b)``."""
+def name_members(fps: DataFrame, distinct: DataFrame, edges: DataFrame, *, rows_of_hot: int = 100_000) -> DataFrame:
+    """``fps(doc_id, tie, fp)`` with root and component_id, of ``distinct(fp, first, n)`` and its ``edges(a, b)``.
+
+    Fingerprints that very many rows share (empty texts, one text copied everywhere) are looked up by a broadcast of
+    bounded size, so no task gets all of their rows.
+    """
     member = components(edges)
     rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # only fingerprints that have links need their roots' names; others keep their own first document
     linked = member.select(F.col("node").alias("fp"), "root").join(named, "root").select("fp", "root", "component_id")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(by_fp, "fp")
+    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"), "n")
+    return join_hot(fps, materialize(by_fp, "named-fingerprints"), "fp", "n", fps.count(), rows_of_hot)
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) -> DataFrame:
@@ -153,7 +157,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) ->
     component_id: the smallest doc_id reachable over links of at most two differing bits, itself included. Null or
     wordless texts have fingerprint zero and link like others. Null doc_id: kept; it links, but names no component
     unless all of its component's are null (then null). Repeated rows are kept. Empty table: no rows. Other columns
-    are ignored. Copies share a row of the table of distinct fingerprints, so their number makes no pairs.
+    are ignored. Very long texts are taken whole. Copies share a row of the table of distinct fingerprints, so their number makes no pairs.
     """
     return _members(docs, size, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -168,11 +172,14 @@ def keep_one(docs: DataFrame, *, size: int = SHINGLE, hot: int = HOT) -> DataFra
 
 
 def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name the components of ``members``."""
+    """The rows of ``docs`` that name the components of ``members``.
+
+    A row's own columns travel in one, so that none of their names can meet the join's.
+    """
     named = members.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(named.groupBy("root").agg(F.min("doc_id").alias("__keep"), F.min("tie").alias("__tie"), F.count("*").alias("__n")).drop("root"), "kept")
-    own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__own": F.xxhash64("text")})
-    out = own.join(keep, F.col("__doc").eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__tie")), "left_semi")
-    if not keep.where("__n > 1").isEmpty():
-        out = out.dropDuplicates(["__doc", "__own"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = materialize(named.groupBy("root").agg(F.min("doc_id").alias("keep"), F.min("tie").alias("tie"), F.count("*").alias("n")).drop("root"), "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("own"))
+    out = own.join(keep, F.col("doc").eqNullSafe(F.col("keep")) & (F.col("own") == F.col("tie")), "left_semi")
+    if not keep.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc", "own"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
