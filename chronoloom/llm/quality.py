@@ -9,14 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WordHashes, batch, map_batches
+from .base import WordHashes, batch, map_batches, materialize
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most; which ones depends on their ids' hashes alone.
 MOST_ROWS = 20_000
+#: Characters of their texts at most, taken in the order of those hashes: bounds the one task that trains.
+MOST_CHARS = 256_000_000
 ACCEPT = 0.7
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _SEEN = WordHashes(seed=7)
@@ -82,22 +84,36 @@ def train(rows: Iterable[tuple[str | None, int]], *, updates: int, alpha: float
     return Model(w.astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, updates: int = 60_000) -> Model:
-    """Fit on labelled documents outside the held-out quarter (crc32 of the doc_id's digits mod 4 is 2).
+def sample(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(rank, doc_id, text, quality): the labelled rows that a model is fitted on, one row per doc_id.
 
-    At most about ``most_rows`` rows, those with the smallest hashes of their ids: a bound on the one task that
-    trains. As many passes as make ``updates`` updates, 1 to 20. Label rows with null doc_id or quality, or for a
-    doc_id of no document, are ignored; several labels of a doc_id: the lowest counts. No usable row: scores 0.5.
+    Of rows with the same doc_id the one with the smallest text hash. At most about ``most_rows`` doc_ids, those with the
+    smallest hashes, of these as many in that order as make ``most_chars`` characters (the first one in any case).
     """
-    spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    count = own.count()
-    picked = own.where(rank < F.lit(int((1 << 40) * min(1.0, most_rows / max(1, count))))).withColumn("rank", rank)
-    # the picked ids are bounded by most_rows, so they may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("rank", "doc_id", "text", "quality")
+    picked = own.where(rank < F.lit(int((1 << 40) * min(1.0, most_rows / max(1, own.count()))))).withColumn("rank", rank)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the picked ids are bounded by most_rows, so they may be broadcast, and one window may go over them
+    tied = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "rank", "quality").agg(F.min(F.xxhash64("text")).alias("tie"), F.max(F.length("text")).alias("chars"))
+    before = F.coalesce(F.sum("chars").over(Window.orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.coalesce("chars", F.lit(0))
+    used = materialize(tied.withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.coalesce("chars", F.lit(0)) <= most_chars)).drop("before", "chars"), "training-rows")
+    found = rows.withColumn("tie", F.xxhash64("text")).join(F.broadcast(used), ["doc_id", "tie"])
+    # copies of one row are let go before they meet
+    return found.groupBy("rank", "doc_id", "quality").agg(F.first("text").alias("text")).select("rank", "doc_id", "text", "quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, updates: int = 60_000) -> Model:
+    """Fit on labelled documents outside the held-out quarter (crc32 of the doc_id's digits mod 4 is 2).
+
+    On a bounded ``sample``: at most about ``most_rows`` doc_ids, one row each, and ``most_chars`` characters, since one
+    task trains. As many passes as make ``updates`` updates, 1 to 20. Label rows with null doc_id or quality, or for a
+    doc_id of no document, are ignored; several labels of a doc_id: the lowest counts. No usable row: scores 0.5.
+    Empty and null texts train the bias; very long texts are used whole.
+    """
+    rows = sample(docs, labels, most_rows=most_rows, most_chars=most_chars)
     # one task trains, on a bounded sample; ordered, so that the model doesn't hang on how rows arrive
-    ordered = rows.repartition(1).sortWithinPartitions("rank", "doc_id", F.xxhash64("text"))
+    ordered = rows.repartition(1).sortWithinPartitions("rank", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ((t, y) for b in batches for t, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
