@@ -24,20 +24,35 @@ def words(text: str | None) -> list[bytes]:
     return words_of((text or "").lower())
 
 
+class Partition:
+    """Items of alike numbers of distinct shingles: sketch hashes in order, whose they are, and the partition's own bounds.
+
+    ``threshold``: the largest sketch hash. ``least``: the fewest distinct shingles that contain any of its items.
+    """
+
+    def __init__(self, length: int, sketches: list[tuple[np.ndarray, int, int]]) -> None:
+        self.length, self.least = length, min(need for _, _, need in sketches)
+        keys = np.concatenate([s for s, _, _ in sketches])
+        owner = np.concatenate([np.full(len(s), i) for s, i, _ in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.threshold = keys[order], owner[order], keys.max()
+
+
 class Index:
     """Benchmark items, partitioned by their number of distinct shingles (powers of two), each with a bottom-k sketch.
 
     An item of n shingles is contained if at least ceil(t n) of them are in the document, so at most
     m = n - ceil(t n) are missing: any m + 1 shingles, and so the m + 1 smallest hashes, include one that is there.
-    That sketch makes the search lose nothing. A partition's threshold is its largest sketch hash: a document's
-    MinHash side keeps the hashes up to the largest threshold and drops the others before any look-up.
+    That sketch makes the search lose nothing. A partition's threshold is its largest sketch hash: of a document's
+    hashes only those up to it are looked up there, and a document with too few shingles for a partition's items skips
+    it. Before that one bitmap over all sketches of a shingle length drops nearly all of the document's hashes.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], size: int = SHINGLE, containment: float = CONTAINMENT) -> None:
         self.size, self.containment = size, containment
         hashes = WordHashes()
         self.items: list[tuple[int, frozenset[tuple[bytes, ...]]]] = []
-        partitions: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        partitions: dict[int, list[tuple[np.ndarray, int, int]]] = defaultdict(list)
         for item, text in items:
             w = words(text)
             if not w:
@@ -46,42 +61,38 @@ class Index:
             self.items.append((item, frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))))
             own = np.unique(shingle_hashes(hashes.array(w), size))
             if len(w) >= size:
-                missing = len(own) - math.ceil(containment * len(own) - 1e-9)
-                partitions[int(len(own)).bit_length()].append((own[: missing + 1], len(self.items) - 1))
+                need = math.ceil(containment * len(own) - 1e-9)
+                partitions[int(len(own)).bit_length()].append((own[: len(own) - need + 1], len(self.items) - 1, need))
             else:  # shorter than a shingle: looked for as a whole, by its own length
-                partitions[-n].append((own, len(self.items) - 1))
-        self.partitions = []
+                partitions[-n].append((own, len(self.items) - 1, 1))
+        self.partitions: dict[int, list[Partition]] = defaultdict(list)
         for kind, sketches in sorted(partitions.items()):
-            keys = np.concatenate([s for s, _ in sketches])
-            owner = np.concatenate([np.full(len(s), i) for s, i in sketches])
-            order = np.argsort(keys, kind="stable")
-            self.partitions.append((-kind if kind < 0 else size, keys[order], owner[order]))
-        self.lengths = sorted({p[0] for p in self.partitions})
-        self.tables, self.thresholds = {}, {}
-        for n in self.lengths:
-            keys = np.concatenate([k for length, k, _ in self.partitions if length == n])
-            self.thresholds[n] = keys.max()
+            length = -kind if kind < 0 else size
+            self.partitions[length].append(Partition(length, sketches))
+        self.tables = {}
+        for length, parts in self.partitions.items():
             table = np.zeros(1 << 20, bool)
-            table[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[n] = table
+            for p in parts:
+                table[(p.keys >> np.uint64(44)).astype(np.int64)] = True
+            self.tables[length] = table
 
     def candidates(self, hashed: np.ndarray) -> set[int]:
         """Items a sketch hash of which is among the document's shingle hashes."""
         found: set[int] = set()
-        for n in self.lengths:
-            if len(hashed) < n:
+        for length, parts in self.partitions.items():
+            if len(hashed) < length:
                 continue
-            own = shingle_hashes(hashed, n)
-            own = own[own <= self.thresholds[n]]
-            own = own[self.tables[n][(own >> np.uint64(44)).astype(np.int64)]]
+            own = shingle_hashes(hashed, length)
+            possible = [p for p in parts if len(own) >= p.least]
+            own = own[self.tables[length][(own >> np.uint64(44)).astype(np.int64)]]
             if not len(own):
                 continue
             own = np.unique(own)
-            for length, keys, owner in self.partitions:
-                if length == n:
-                    left, right = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                    for i, j in zip(left[right > left].tolist(), right[right > left].tolist()):
-                        found.update(owner[i:j].tolist())
+            for p in possible:
+                some = own[: np.searchsorted(own, p.threshold, "right")]
+                left, right = np.searchsorted(p.keys, some, "left"), np.searchsorted(p.keys, some, "right")
+                for i, j in zip(left[right > left].tolist(), right[right > left].tolist()):
+                    found.update(p.owner[i:j].tolist())
         return found
 
     def search(self, w: list[bytes], hashed: np.ndarray) -> list[tuple[int, float]]:
@@ -125,8 +136,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, size: int = SHINGLE, containm
     Documents are read as they lie, with no shuffle; whole texts count. A benchmark beyond ``block_words`` words is
     searched in blocks, one pass over the documents each, so what goes to the workers has a fixed bound. An item
     shorter than a shingle is one shingle, its whole word sequence. Null or wordless texts are in nothing and contain
-    nothing. Null ids are kept, null. Repeated rows: a pair is given once, with its largest share. Empty tables: no
-    rows. Other columns are ignored.
+    nothing. Null ids are kept, null; rows that share an id (also a null one) count as one: a pair of ids is given once,
+    with its largest share. Empty tables: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     out = None

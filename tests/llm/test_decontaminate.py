@@ -63,3 +63,14 @@ def test_edited_passages_and_odd_rows(spark):
     assert decontaminate.find(df.limit(0), bench).count() == 0
     assert decontaminate.find(df, bench.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(docs)
+
+
+def test_partitions_have_their_own_bounds():
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices([f"w{j}" for j in range(500)], k=k))) for i, k in enumerate([5, 6, 7, 12, 13, 40, 41, 200, 3])]
+    index = decontaminate.Index(items)
+    assert sorted(index.partitions) == [3, 5] and len(index.partitions[5]) > 3
+    assert len({int(p.threshold) for p in index.partitions[5]}) == len(index.partitions[5])
+    for p in index.partitions[5]:
+        own = {int(o) for o in p.owner}
+        assert p.threshold == max(p.keys) and p.least == min(-(-4 * len(index.items[i][1]) // 5) for i in own)
