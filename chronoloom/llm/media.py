@@ -41,6 +41,8 @@ class Scan:
 
     def __init__(self, data: bytes) -> None:
         self.data, self.marks = data, {}
+        #: Where media of each kind may begin, by the automaton's one pass over the value.
+        self.places = sorted((at + 1 - len(m) - MAGICS[m][1], MAGICS[m][0]) for at, m in _automaton().iter(data.decode("latin-1")))
 
     def after(self, mark: bytes, at: int) -> int:
         """The first place of mark from at on, or -1; all places are looked up once."""
@@ -119,18 +121,21 @@ class Scan:
         return "gif", i + 1 - at, 13, i - at - 13
 
     def _jpeg(self, at: int):
-        d, i = self.data, at + 2
+        d, i, frame = self.data, at + 2, False
         while True:
             if d[i] != 0xFF:
                 return None
+            while d[i + 1] == 0xFF:  # fill bytes may stand before any marker
+                i += 1
             mark = d[i + 1]
             n = struct.unpack_from(">H", d, i + 2)[0]
-            if n < 2 or mark in (0xD8, 0xD9, 0x00):
+            if n < 2 or mark < 0xC0 or mark in (0xD8, 0xD9) or 0xD0 <= mark <= 0xD7:
                 return None
+            frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
             i += 2 + n
             if mark == 0xDA:
                 end = self.after(b"\xff\xd9", i)
-                return None if end < 0 else ("jpeg", end + 2 - at, 2, end - at - 2)
+                return None if end < 0 or not frame else ("jpeg", end + 2 - at, 2, end - at - 2)
 
     def _pdf(self, at: int):
         d, end = self.data, self.after(b"%%EOF", at)
@@ -140,12 +145,21 @@ class Scan:
 
     def _zip(self, at: int):
         end = self.after(b"PK\x05\x06", at)
-        if end < 0:
-            return None
-        size, offset, comment = struct.unpack_from("<IIH", self.data, end + 12)
-        if at + offset + size != end or (size and self.data[at + offset : at + offset + 4] != b"PK\x01\x02"):
-            return None
-        return "zip", end + 22 + comment - at, 0, end + 22 + comment - at
+        while end >= 0:  # stored content may hold such marks itself: the record whose numbers agree counts
+            if end + 22 > len(self.data):
+                return None
+            count, size, offset, comment = struct.unpack_from("<HIIH", self.data, end + 10)
+            if at + offset + size == end and self._directory(at + offset, end, count) and end + 22 + comment <= len(self.data):
+                return "zip", end + 22 + comment - at, 0, end + 22 + comment - at
+            end = self.after(b"PK\x05\x06", end + 1)
+        return None
+
+    def _directory(self, i: int, end: int, count: int) -> bool:
+        for _ in range(count):
+            if i + 46 > end or self.data[i : i + 4] != b"PK\x01\x02":
+                return False
+            i += 46 + sum(struct.unpack_from("<HHH", self.data, i + 28))
+        return i == end
 
     def _gzip(self, at: int):
         if self.data[at + 3] & 0xE0:
@@ -165,6 +179,8 @@ class Scan:
 
     def _ogg(self, at: int):
         d, i = self.data, at
+        if not d[at + 5] & 2:  # a page from inside a stream
+            return None
         while d[i : i + 4] == b"OggS":
             if d[i + 4]:
                 return None
@@ -173,14 +189,30 @@ class Scan:
         return ("ogg", i - at, 0, i - at) if i > at else None
 
     def _flac(self, at: int):
-        head = struct.unpack_from(">I", self.data, at + 4)[0]
-        n = len(self.data) - at
-        return ("flac", n, 42, n - 42) if head & 0x7FFFFFFF == 34 and n >= 42 else None
+        """Metadata blocks to the last one, then frames; a stream says nothing of its end, so it goes to the next
+        embedded signature whose structure holds, or to the end of the value."""
+        d, i, first, last = self.data, at + 4, True, False
+        while not last:
+            head = struct.unpack_from(">I", d, i)[0]
+            kind, n, last = head >> 24 & 0x7F, head & 0xFFFFFF, bool(head >> 31)
+            if first != (kind == 0) or (first and n != 34) or kind == 127 or i + 4 + n > len(d):
+                return None
+            first, i = False, i + 4 + n
+        if i < len(d) and (i + 2 > len(d) or d[i] != 0xFF or d[i + 1] & 0xFC != 0xF8):
+            return None
+        end = len(d)
+        for place, kind in self.places:
+            if place > i and kind != "flac" and place < end and self.check(kind, place):
+                end = place
+                break
+        return "flac", end - at, i - at, end - i
 
     def _mp4(self, at: int):
         d, i, n = self.data, at, 0
         while i + 8 <= len(d):
             size, name = struct.unpack_from(">I4s", d, i)
+            if i + size > len(d) and name in (b"ftyp", b"moov", b"mdat", b"moof", b"meta", b"free", b"skip"):
+                return None  # cut off
             if size < 8 or i + size > len(d) or not name.isalnum():
                 break
             i, n = i + size, n + 1
@@ -197,8 +229,7 @@ def sniff(data: bytes) -> tuple[tuple[str, int, int, int] | None, list[tuple[str
     One pass of the automaton finds every magic; only places whose structure and lengths hold count.
     """
     scan, own, inside, end = Scan(data), None, [], 0
-    places = sorted((at + 1 - len(m) - MAGICS[m][1], MAGICS[m][0]) for at, m in _automaton().iter(data.decode("latin-1")))
-    for at, kind in places:
+    for at, kind in scan.places:
         if at < 0 or at < end or at == 0 and own:
             continue
         if found := scan.check(kind, at):
@@ -273,11 +304,3 @@ def inspect(media: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """
     rows = media.select(F.col(key).cast("long"), F.col("n_bytes").cast("long"), F.col("declared").cast("string"), "media")
     return map_batches(rows, _inspect(key), FOUND.format(key=key))
-
-
-def inspect_texts(docs: DataFrame) -> DataFrame:
-    """``inspect(store_texts(docs))`` in one pass: a batch's stored values are read back where they were made, so media
-    never cross to the JVM and a task has one worker. Null or empty text: one block of 255; other rules as there.
-    """
-    read_back = _inspect("doc_id")
-    return map_batches(_texts(docs), lambda batches: read_back(_store(batches)), FOUND.format(key="doc_id"))

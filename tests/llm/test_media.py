@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -30,6 +31,59 @@ GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x2c" +
 GOOD = {"png": png(), "gif": GIF, "zip": zipped(), "gzip": gzip.compress(b"hello world" * 50), "pdf": b"%PDF-1.4\nx\n%%EOF", "wav": media.wav(b"\1\2\3\4"), "bmp": b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42)}
 
 
+def segment(mark, body):
+    return b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+
+
+def riff(form, *chunks):
+    body = form + b"".join(name + struct.pack("<I", len(x)) + x + bytes(len(x) & 1) for name, x in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def box(name, body=b""):
+    return struct.pack(">I", 8 + len(body)) + name + body
+
+
+def ogg_page(body, flags=0):
+    return b"OggS\0" + bytes([flags]) + bytes(20) + bytes([1, len(body)]) + body
+
+
+JPEG = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + b"\xff\xff" + segment(0xC0, bytes(15)) + segment(0xDA, bytes(10)) + b"\x11\xff\x00\x22\xff\xd9"
+FLAC = b"fLaC" + struct.pack(">I", 34) + bytes(34) + struct.pack(">I", 0x84000000 | 8) + bytes(8) + b"\xff\xf8" + bytes(20)
+GOOD |= {
+    "jpeg": JPEG, "ogg": ogg_page(b"head", 2) + ogg_page(b"tail" * 9, 4), "mp4": box(b"ftyp", b"isom\0\0\2\0") + box(b"moov", box(b"mvhd", bytes(9))) + box(b"mdat", bytes(33)),
+    "webp": riff(b"WEBP", (b"VP8 ", bytes(11))), "avi": riff(b"AVI ", (b"LIST", b"hdrl" + bytes(8)), (b"idx1", bytes(16))),
+}
+
+
+def test_jpeg_needs_a_frame_before_its_scan():
+    no_frame = b"\xff\xd8" + segment(0xE0, bytes(14)) + segment(0xDA, bytes(10)) + b"\x11\xff\xd9"
+    assert media.sniff(no_frame)[0] is None and media.sniff(JPEG)[0] == ("jpeg", len(JPEG), 2, len(JPEG) - 4)
+
+
+def test_flac_ends_at_the_next_signature_or_the_value():
+    assert media.sniff(FLAC)[0] == ("flac", len(FLAC), 54, len(FLAC) - 54)
+    assert media.sniff(b"xx" + FLAC + b"rest")[1] == [("flac", 2, len(FLAC) + 4)]
+    assert media.sniff(b"xx" + FLAC + GOOD["png"])[1] == [("flac", 2, len(FLAC)), ("png", 2 + len(FLAC), len(GOOD["png"]))]
+    for cut in (b"fLaC" + bytes(60), FLAC[:20], FLAC[:46], FLAC[:54] + b"no frame", b"fLaC" + struct.pack(">I", 0x80000000 | 33) + bytes(33)):
+        assert media.sniff(cut)[0] is None
+    assert media.sniff(FLAC[:54])[0] == ("flac", 54, 54, 0)
+
+
+def test_zip_whose_content_holds_end_records():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("b.bin", zipped() + b"PK\x05\x06" + bytes(18))
+        z.writestr("c.txt", "more")
+        z.comment = b"a comment"
+    data = out.getvalue()
+    assert media.sniff(data)[0] == ("zip", len(data), 0, len(data))
+    assert media.sniff(b"__" + data + b"__")[1] == [("zip", 2, len(data))]
+    bad = bytearray(zipped())
+    bad[-12] ^= 1  # number of entries
+    assert media.sniff(bytes(bad))[0] is None
+
+
 def test_every_kind_is_recognised_and_carved():
     for kind, data in GOOD.items():
         own, inside = media.sniff(data)
@@ -82,7 +136,12 @@ def test_query_against_brute_force(spark):
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r.media_bytes == len(payload) + 44
+        stored = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 16000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        inside = "|".join(f"{k}:{at}:{n}" for k, at, n in media.sniff(stored)[1])
+        head, mean, tail = re.fullmatch(r"(.*) mean=([0-9.]+) (.*)", r.feature).groups()
+        assert (head, tail) == (f"audio/wav corrected=true samples={len(payload)} blocks={len(payload) // 576}", f"embedded={inside}")
+        assert abs(float(mean) - sum(payload) / len(payload)) < 1e-6  # Java rounds halves up
 
 
 def test_empty_text_fills_one_block(spark):
