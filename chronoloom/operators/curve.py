@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,24 +71,31 @@ def arc_strokes(arc: Column, ceil: int = 6) -> Column:
 def fired(beats: DataFrame) -> DataFrame:
     """Beats (with arc) that fire: an accumulator gains min(1, arc / 0.45) a beat and gives 1 whenever it has it.
 
-    The state depends on every earlier beat's rounding, so it is a fold over a track's beats in order, not a window
-    sum. A track of an hour has some 10**4 beats, 16 bytes each; the fold holds one track's.
+    The state depends on every earlier beat's rounding, so no window sum gives it: each track's beats pass in order
+    through one running number, a batch at a time, however many they are. Null arc: a whole gain.
     """
-    items = F.array_sort(F.collect_list(F.struct("seq", F.least(F.lit(1.0), F.col("arc") / ARC_FULL).alias("x"))))
-    zero = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<int>").alias("out"))
 
-    def step(z: Column, e: Column) -> Column:
-        acc = z["acc"] + e["x"]
-        return F.struct(F.when(acc < 1, acc).otherwise(acc - 1).alias("acc"), F.when(acc < 1, z["out"]).otherwise(F.array_append(z["out"], e["seq"])).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, acc = object(), 0.0
+        for b in batches:
+            keep = []
+            for own, arc in zip(b.column(key).to_pylist(), b.column(value).to_pylist()):
+                if own != track:
+                    track, acc = own, 0.0
+                acc += 1.0 if arc is None else min(1.0, arc / ARC_FULL)
+                keep.append(acc >= 1)
+                if acc >= 1:
+                    acc -= 1
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    keep = beats.groupBy(TRACK).agg(F.aggregate(items, zero, step, lambda z: z["out"]).alias("kept")).select(TRACK, F.explode("kept").alias("seq"))
-    return beats.join(keep, [TRACK, "seq"], "left_semi")
+    key, value = beats.columns.index(TRACK), beats.columns.index("arc")
+    return beats.repartition(TRACK).sortWithinPartitions(TRACK, "seq").mapInArrow(run, beats.schema)
 
 
 def auto_tone(beats: DataFrame, spans: DataFrame, baseline: int = 50, swing: int = 20) -> DataFrame:
     """Centres that rise or fall with each stanza's energy: the least-squares rise over the stanza, at most 1."""
     w = Window.partitionBy(TRACK, "stanza_idx")
-    b = mode_rules._inside(beats, spans, "stanza_idx").select(TRACK, "stanza_idx", "energy", (F.row_number().over(w.orderBy("seq")) - 1).alias("i"))
+    b = mode_rules.in_stanzas(beats, spans).select(TRACK, "stanza_idx", "energy", (F.row_number().over(w.orderBy("seq")) - 1).alias("i"))
     g = b.groupBy(TRACK, "stanza_idx").agg(F.count("*").alias("n"), F.sum("energy").alias("se"), F.sum(F.col("i") * F.col("energy")).alias("sie"))
     # sums of (i - mean)(e - mean) and (i - mean)**2, from exact sums
     num = F.col("sie") - (F.col("n") - 1) / F.lit(2.0) * F.col("se")
@@ -100,7 +110,7 @@ def _centre(points: DataFrame, *, center: int | None, trajectory: tuple[int, int
     """Adds center (null if there is none): a stanza's own tone, else a line over the track, else a constant."""
     if tone is not None:
         spans = tone.withColumnRenamed("stanza_idx", "span_idx").select(TRACK, "span_idx", "start_ms", "end_ms", "start_center", "end_center", F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
-        p = timeline.containing(points, spans, F.col("at_ms"), ["ps", "pe", "start_center", "end_center"], last=True)
+        p = timeline.tiled(points, spans, F.col("at_ms"), ["ps", "pe", "start_center", "end_center"], last=True)
         inside = (F.col("at_ms") >= F.col("ps")) & (F.col("at_ms") < F.col("pe"))
         progress = clamp((F.col("at_ms") - F.col("ps")) / F.greatest(F.lit(1), F.col("pe") - F.col("ps")), 0.0, 1.0)
         c = F.when(inside, half_even(F.col("start_center") + (F.col("end_center") - F.col("start_center")) * progress)).otherwise(F.col("end_center"))
@@ -132,7 +142,7 @@ def beats_to_curve(
     if depth_model == "fixed":
         if modes is not None:
             spans = modes.withColumnRenamed("stanza_idx", "span_idx").select(TRACK, "span_idx", "start_ms", "end_ms", "mode")
-            b = timeline.containing(b.withColumn("point_id", F.col("seq")), spans, F.col("at_ms"), ["mode"], last=True).drop("point_id", "span_idx")
+            b = timeline.tiled(b, spans, F.col("at_ms"), ["mode"], last=True).drop("span_idx")
             b = b.withColumn("mode", F.coalesce("mode", F.lit("steady")))
         else:
             b = b.withColumn("mode", F.lit("steady"))
@@ -169,7 +179,7 @@ def shape_curve(curve: DataFrame, modes: DataFrame, *, low: int = 10, center: in
     track = Window.partitionBy(TRACK)
     c = curve.withColumns({"t0": F.min("at_ms").over(track), "t1": F.max("at_ms").over(track), "point_id": F.col("seq").cast("long") * 64 + F.col("k")})
     spans = modes.select(TRACK, F.col("stanza_idx").alias("span_idx"), "start_ms", "end_ms", "mode", F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"))
-    c = timeline.containing(c, spans, F.col("at_ms"), ["mode", "ss", "se"], last=True).drop("span_idx")
+    c = timeline.tiled(c, spans, F.col("at_ms"), ["mode", "ss", "se"], last=True).drop("span_idx")
     grow = 0.5 + 0.5 * F.least(F.lit(1.0), (F.col("at_ms") - F.col("ss")) / F.greatest(F.lit(1), F.col("se") - F.col("ss")))
     c = c.withColumn("scale", F.when(F.col("mode") == "edging", grow).otherwise(_lookup(HIGH_SCALE, F.col("mode"), HIGH_SCALE["steady"])))
     c = _centre(c, center=center, trajectory=center_trajectory, tone=tone)
@@ -194,19 +204,34 @@ def generate(beats: DataFrame, *, density_arc_default: bool = True, **knobs) ->
     return export_points(beats_to_curve(density_arc(beats) if density_arc_default else beats, modes=modes, arc=density_arc_default, **knobs))
 
 
-def generate_per_chapter(beats: DataFrame, chapters: DataFrame, recipes: dict[int, dict] | None = None) -> DataFrame:
+def pair_recipes(chapters: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``chapters`` with the recipe of ``recipes(track_id, chapter_idx, recipe)`` for each: a strict zip.
+
+    A track with a chapter that has no recipe, or a recipe without its chapter, fails the query.
+    """
+    r = recipes.select(TRACK, "chapter_idx", F.coalesce("recipe", F.lit(-1)).alias("recipe"))
+    both = chapters.withColumn("here", F.lit(True)).join(r, [TRACK, "chapter_idx"], "full")
+    wrong = F.col("here").isNull() | F.col("recipe").isNull()
+    message = F.concat(F.lit("chapters and recipes differ in number: track "), F.to_json(F.struct(TRACK, "chapter_idx")))
+    return both.withColumn("recipe", F.when(wrong, F.raise_error(message).cast("int")).otherwise(F.col("recipe"))).where("recipe is not null").drop("here")
+
+
+def generate_per_chapter(beats: DataFrame, chapters: DataFrame, knobs: list[dict] | None = None, recipes: DataFrame | None = None) -> DataFrame:
     """A curve for each chapter on its own beats (``chapters(track_id, chapter_idx, at_ms, end_ms)``), all in one result.
 
-    recipes: knobs by chapter_idx modulo their number, as a bundle pairs them; none: the defaults. Each chapter is a
-    track of its own meanwhile, so percentiles and modes are the chapter's.
+    knobs: the settings that recipes name by their place; ``recipes(track_id, chapter_idx, recipe)`` pairs every chapter
+    with one (see ``pair_recipes``); none: the defaults. Each chapter is a track of its own meanwhile, so percentiles and
+    modes are the chapter's.
     """
-    ch = chapters.select(F.col(TRACK).alias("__t"), "chapter_idx", F.col("at_ms").alias("__s"), F.coalesce("end_ms", F.lit(1 << 62)).alias("__e"))
+    if (knobs is None) != (recipes is None):
+        raise ValueError("knobs and recipes go together")
+    chapters = chapters.withColumn("recipe", F.lit(0)) if recipes is None else pair_recipes(chapters, recipes)
+    ch = chapters.select(F.col(TRACK).alias("__t"), "chapter_idx", "recipe", F.col("at_ms").alias("__s"), F.coalesce("end_ms", F.lit(1 << 62)).alias("__e"))
     own = beats.join(ch, (beats[TRACK] == ch["__t"]) & (F.col("at_ms") >= F.col("__s")) & (F.col("at_ms") < F.col("__e"))).drop("__t", "__s", "__e")
     first = F.min("seq").over(Window.partitionBy(TRACK, "chapter_idx"))
     own = own.withColumn("seq", (F.col("seq") - first).cast("int")).withColumn(TRACK, F.struct(TRACK, "chapter_idx")).drop("chapter_idx")
-    recipes = recipes or {0: {}}
     out = None
-    for i, knobs in sorted(recipes.items()):
-        part = generate(own.where(F.col(TRACK)["chapter_idx"] % len(recipes) == i), density_arc_default=False, **knobs)
+    for i, settings in enumerate(knobs or [{}]):
+        part = generate(own.where(F.col("recipe") == i).drop("recipe"), density_arc_default=False, **settings)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col(f"{TRACK}.{TRACK}").alias(TRACK), F.col(f"{TRACK}.chapter_idx").alias("chapter_idx"), "at_ms", "pos")

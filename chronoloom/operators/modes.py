@@ -11,15 +11,22 @@ from . import timeline
 
 
 def _inside(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Points of each span (half-open); an equi-join on track with a range condition."""
+    """Points of each span (half-open); an equi-join on track with a range condition, for the few chapters of a track."""
     s = spans.select(F.col(TRACK).alias("__t"), F.col(key), F.col("start_ms").alias("__s"), F.col("end_ms").alias("__e"))
     return points.join(s, (points[TRACK] == s["__t"]) & (F.col("at_ms") >= F.col("__s")) & (F.col("at_ms") < F.col("__e"))).drop("__t", "__s", "__e")
 
 
-def energy_trend(beats: DataFrame, spans: DataFrame, key: str = "stanza_idx") -> DataFrame:
-    """Beats of each span: count, mean energy, second half's mean and its lead over the first; one beat: trend 0."""
+def in_stanzas(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points of each stanza; stanzas don't overlap, so no join is needed."""
+    out = timeline.tiled(points, spans.withColumnRenamed("stanza_idx", "span_idx"), F.col("at_ms"), [], last=False)
+    return out.where("span_idx is not null").withColumnRenamed("span_idx", "stanza_idx")
+
+
+def energy_trend(beats: DataFrame, spans: DataFrame) -> DataFrame:
+    """Beats of each stanza: count, mean energy, second half's mean and its lead over the first; one beat: trend 0."""
+    key = "stanza_idx"
     w = Window.partitionBy(TRACK, key)
-    b = _inside(beats, spans, key).select("*", (F.row_number().over(w.orderBy("seq")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    b = in_stanzas(beats, spans).select("*", (F.row_number().over(w.orderBy("seq")) - 1).alias("k"), F.count("*").over(w).alias("n"))
     second = F.col("k") >= F.floor(F.col("n") / 2)
     a = b.groupBy(TRACK, key).agg(F.count("*").alias("n_beats"), F.avg("energy").alias("avg_energy"), F.avg(F.when(~second, F.col("energy"))).alias("first"), F.avg(F.when(second, F.col("energy"))).alias("second_avg"))
     return a.select(TRACK, key, "n_beats", "avg_energy", F.coalesce(F.col("second_avg") - F.col("first"), F.lit(0.0)).alias("trend"), "second_avg")
@@ -83,7 +90,7 @@ def stanza_records(beats: DataFrame, spans: DataFrame, chapters: DataFrame | Non
 def action_modes(actions: DataFrame, spans: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """Modes from actions: amplitude, density and growth of each stanza, absolute or against its chapter's amplitude."""
     w = Window.partitionBy(TRACK, "stanza_idx")
-    a = _inside(actions, spans, "stanza_idx").select("*", (F.row_number().over(w.orderBy("at_ms", "seq")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    a = in_stanzas(actions, spans).select("*", (F.row_number().over(w.orderBy("at_ms", "seq")) - 1).alias("k"), F.count("*").over(w).alias("n"))
     second = F.col("k") >= F.floor(F.col("n") / 2)
     width = lambda c: F.max(F.when(c, F.col("pos"))) - F.min(F.when(c, F.col("pos")))
     stats = a.groupBy(TRACK, "stanza_idx").agg(F.count("*").alias("n"), (F.max("pos") - F.min("pos")).alias("amp"), F.coalesce(width(~second), F.lit(0)).alias("first_amp"), F.coalesce(width(second), F.lit(0)).alias("second_amp"))

@@ -14,25 +14,86 @@ def sanitised(stem: Column) -> Column:
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("media"))
 
 
-def clip_name(stem: Column, number: Column) -> Column:
-    return F.concat(sanitised(stem), F.lit(".ch"), F.lpad(number.cast("string"), 3, "0"), F.lit(".mp4"))
+def _parts(path: Column) -> tuple[Column, Column, Column]:
+    """Folder (with its slash), stem and suffix (with its dot) of a path; a leading or closing dot begins no suffix."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), F.left(name, F.length(name) - F.length(suffix)), suffix
 
 
-def clip_plan(media: DataFrame) -> DataFrame:
-    """Clips to make: a deterministic name, 720p for wide sources; those that exist already (an anti-join) are left out."""
-    existing = media.where("p_partkey % 10 = 0").select("p_partkey")
-    todo = media.join(existing, "p_partkey", "left_anti")
-    return todo.select(F.col("p_partkey").alias("id"), clip_name(F.col("p_name"), F.col("p_size")).alias("clip"), F.when(F.col("p_size") > 25, "720p").otherwise("source").alias("encode"))
+#: Kinds of documents beside a recording, in its hidden folder.
+SIDECARS = ("chapters", "audio", "spectrogram", "beats", "stanzas")
+
+
+def project_dir(path: Column) -> Column:
+    """The hidden folder of a recording, beside it."""
+    folder, stem, _ = _parts(path)
+    return F.concat(folder, F.lit("."), stem, F.lit(".forge"))
+
+
+def sidecar_path(path: Column, kind: str) -> Column:
+    if kind not in SIDECARS:
+        raise ValueError(f"unknown sidecar {kind!r}")
+    return F.concat(project_dir(path), F.lit("/"), _parts(path)[1], F.lit(f".{kind}.json"))
+
+
+#: Part of clips' names, so that clips of other encodings aren't found again.
+CLIP_VERSION = "v13"
+#: Sources wider than this are scaled down to 720 lines; sources wider than that aren't played as they are.
+DOWNSCALE_OVER, DIRECT_PLAY_WIDTH = 1920, 2560
+
+
+def clip_path(path: Column, start_ms: Column, end_ms: Column, version: str = CLIP_VERSION) -> Column:
+    """Where a chapter's clip lies; no hash, so that other programs find it too."""
+    _, stem, suffix = _parts(path)
+    kind = F.coalesce(F.nullif(F.lower(F.substring(suffix, 2, 100)), F.lit("")), F.lit("mp4"))
+    name = F.concat_ws("_", sanitised(stem), F.lit(version), start_ms.cast("long"), end_ms.cast("long"))
+    return F.concat(project_dir(path), F.lit("/clips/"), name, F.lit("."), kind)
+
+
+def clip_plan(media: DataFrame, chapters: DataFrame, clips: DataFrame) -> DataFrame:
+    """Each chapter's clip: its path, how to encode it, and whether it is there already.
+
+    ``media(media_id, path, width)``, width null if the probe failed; ``chapters(media_id, chapter_idx, at_ms, end_ms)``;
+    ``clips(path)``: those that exist. Chapters without an end are left out; status is "rejected" where the end doesn't
+    lie behind the start, "cached" or "build".
+    """
+    rows = chapters.where("end_ms is not null").join(media, "media_id")
+    rows = rows.select("media_id", "chapter_idx", "at_ms", "end_ms", "width", clip_path(F.col("path"), F.col("at_ms"), F.col("end_ms")).alias("clip"))
+    there = clips.select(F.col("path").alias("clip"), F.lit(True).alias("there")).distinct()
+    status = F.when(F.col("end_ms") <= F.col("at_ms"), "rejected").when(F.col("there"), "cached").otherwise("build")
+    encode = F.when(F.coalesce(F.col("width") > DOWNSCALE_OVER, F.lit(False)), "720p").otherwise("source")
+    return rows.join(there, "clip", "left").select("media_id", "chapter_idx", "clip", encode.alias("encode"), status.alias("status"))
+
+
+def clip_batch(plan: DataFrame, failed: DataFrame) -> DataFrame:
+    """One line per recording over its clips, once they were made but for ``failed(clip)``."""
+    p = plan.where("status <> 'rejected'").join(failed.select("clip", F.lit(True).alias("bad")).distinct(), "clip", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    g = p.groupBy("media_id").agg(F.count("*").alias("total"), n(F.col("status") == "cached").alias("cached"), n((F.col("status") == "build") & F.col("bad").isNull()).alias("built"))
+    return g.select("*", F.format_string("%d/%d clips ready (%d cached, %d built)", F.col("built") + F.col("cached"), "total", "cached", "built").alias("summary"))
 
 
 def cache_key(path: Column, mtime_ns: Column, size: Column, sr: int = 22050, version: str = "1") -> Column:
-    """Sixteen hex digits over what an extraction depends on."""
-    return F.substring(F.sha2(F.concat_ws("|", path, mtime_ns.cast("string"), size.cast("string"), F.lit(str(sr)), F.lit(version)), 256), 1, 16)
+    """Sixteen hex digits over what an extraction depends on; empty for a file that can't be read (null time or size)."""
+    key = F.substring(F.sha2(F.concat_ws("|", path, mtime_ns.cast("string"), size.cast("string"), F.lit(str(sr)), F.lit(version)), 256), 1, 16)
+    return F.when(mtime_ns.isNull() | size.isNull(), "").otherwise(key)
+
 
+def cache_slot(key: Column, folder: str) -> Column:
+    """Where a key's extracted samples lie; null for no key."""
+    return F.when(key != "", F.concat(F.lit(folder.rstrip("/") + "/fa-"), key, F.lit(".wav")))
 
-def cache_keys(files: DataFrame) -> DataFrame:
-    path = F.concat(F.lit("/media/"), F.col("o_orderkey").cast("string"), F.lit(".mp4"))
-    return files.select(F.col("o_orderkey").alias("id"), cache_key(path, F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000, F.col("o_custkey")).alias("cache_key"))
+
+def cache_lookup(files: DataFrame, slots: DataFrame, *, folder: str, sr: int = 22050) -> DataFrame:
+    """Which of ``files(media_id, path, mtime_ns, size)`` were extracted before.
+
+    ``slots(path, length, meta)``: what lies in the cache folder, meta being the text beside it. A slot counts if it has
+    bytes; an unreadable meta only loses damaged_after_ms. load_path: where to read samples; null: extract first.
+    """
+    f = files.select("media_id", cache_slot(cache_key(F.col("path"), F.col("mtime_ns"), F.col("size"), sr), folder).alias("slot"))
+    s = slots.where("length > 0").select(F.col("path").alias("slot"), F.get_json_object("meta", "$.damaged_after_ms").try_cast("long").alias("damaged_after_ms"), F.lit(True).alias("there"))
+    return f.join(s, "slot", "left").select("media_id", "slot", F.coalesce("there", F.lit(False)).alias("hit"), F.when(F.col("there"), F.col("slot")).alias("load_path"), "damaged_after_ms")
 
 
 def stale(files: DataFrame, now_s: float, max_age_s: float = 3600) -> DataFrame:
@@ -54,8 +115,8 @@ def eta(total: Column, progress: Column, elapsed: Column) -> Column:
 
 
 def constant_rate(real: Column, average: Column) -> Column:
-    """Whether two frame rates agree to one percent."""
-    return F.abs(real - average) <= F.lit(0.01) * real
+    """Whether two frame rates agree to one percent; unknown ones don't."""
+    return F.coalesce((average > 0) & (real > 0) & (F.abs(average - real) <= F.lit(0.01) * real), F.lit(False))
 
 
 def frame_rate(text: Column) -> Column:
@@ -64,11 +125,22 @@ def frame_rate(text: Column) -> Column:
     return F.try_divide(F.expr("1D") * F.get(p, F.lit(0)).try_cast("double"), F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.lit(1.0)))
 
 
+PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,pix_fmt:string,profile:string,width:int,color_transfer:string,color_primaries:string,avg_frame_rate:string,r_frame_rate:string>>>"
+
+
 def direct_play(probes: DataFrame) -> DataFrame:
-    """A probe table's files that need no clip: small enough, a constant frame rate; unknown counts as no."""
-    q = F.col("l_quantity")
-    cfr = constant_rate(q, q / (1 + F.col("l_discount")))
-    return probes.select("l_orderkey", "l_linenumber", cfr.alias("cfr"), F.coalesce((F.col("l_linenumber") <= 3) & (q <= 40) & cfr, F.lit(False)).alias("direct"))
+    """Whether each of ``probes(media_id, probe)`` plays as it is, by the JSON of its streams; no clips are needed then.
+
+    The first video stream counts: H.264 of 8 bits with 4:2:0 colours (an unnamed pixel format passes), no 10-bit, 422 or
+    444 profile, not wider than DIRECT_PLAY_WIDTH (an unknown width passes), no high dynamic range, a constant frame
+    rate. No video, or a probe that can't be read: no.
+    """
+    v = F.get(F.filter(F.from_json("probe", PROBE)["streams"], lambda s: s["codec_type"] == "video"), 0)
+    low = lambda name: F.coalesce(F.lower(v[name]), F.lit(""))
+    cfr = constant_rate(frame_rate(v["r_frame_rate"]), frame_rate(v["avg_frame_rate"]))
+    plain = (low("codec_name") == "h264") & low("pix_fmt").isin("", "yuv420p") & ~low("profile").rlike("10|422|444") & (F.coalesce(v["width"], F.lit(0)) <= DIRECT_PLAY_WIDTH)
+    hdr = low("color_transfer").isin("smpte2084", "arib-std-b67") | (low("color_primaries") == "bt2020")
+    return probes.select("media_id", cfr.alias("cfr"), F.coalesce(plain & ~hdr & cfr, F.lit(False)).alias("direct"))
 
 
 def coverage_shortfall(decoded_ms: Column, source_ms: Column, tolerance: float = 0.02, min_gap_ms: int = 5000) -> Column:

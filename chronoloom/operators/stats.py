@@ -78,19 +78,23 @@ def windowed_profile(pairs: DataFrame, n_windows: int = 12) -> DataFrame:
     s = steps(pairs).withColumns({"t0": F.min("at_ms").over(track), "t1": F.max("at_ms").over(track), "total": F.count("*").over(track)}).where("total >= 2")
     s = s.withColumn("width", F.greatest(F.lit(1), F.floor((F.col("t1") - F.col("t0")) / n_windows)).cast("long"))
     s = s.withColumn("window", F.floor((F.col("at_ms") - F.col("t0")) / F.col("width")).cast("int"))
-    frames = s.select(TRACK, "t0", "width").distinct().select(TRACK, "t0", "width", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("window"))
     inside = s.where(F.col("window") < n_windows).withColumn("same", F.lag("window").over(by_time()) == F.col("window"))
     d = _decile()
     velocity = F.when(F.col("dt") > 0, F.col("stroke") / F.col("dt") * 1000)
-    agg = inside.groupBy(TRACK, "window").agg(
+    agg = inside.groupBy(TRACK, "t0", "width", "window").agg(
         F.count("*").alias("c"), F.min("at_ms").alias("a"), F.max("at_ms").alias("b"), F.count_if(d.isin(0, 9)).alias("rails"), F.count_if(d.between(2, 7)).alias("mid"),
         F.avg(F.when(F.col("same"), F.col("stroke"))).alias("stroke"), F.avg("pos").alias("mean_pos"), F.count(velocity).alias("nv"), ordered_sum(F.coalesce(velocity, F.lit(0.0)), F.col("seq")).alias("sv"),
     )
+    # the track's few windows in a map, so that empty ones need no join; all of it stays partitioned by track
+    own = F.map_from_entries(F.collect_list(F.struct("window", F.struct("c", "a", "b", "rails", "mid", "stroke", "mean_pos", "nv", "sv"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("window")
+    agg = agg.groupBy(TRACK, "t0", "width").agg(own.alias("own")).select(TRACK, "t0", "width", "own", every)
+    agg = agg.select(TRACK, "t0", "width", "window", F.col("own")[F.col("window")].alias("g")).select(TRACK, "t0", "width", "window", "g.*")
     few = F.coalesce(F.col("c"), F.lit(0)) < 2
     span = F.when(F.col("a") == F.col("b"), 1.0).otherwise((F.col("b") - F.col("a")) / 1000)
     num = lambda x, name: F.when(few, 0.0).otherwise(x).alias(name)
     pct = lambda c: F.when(few, 0).otherwise(F.floor(F.col(c) * 100 / F.col("c"))).cast("long").alias(f"{c}_pct")
-    return frames.join(agg, [TRACK, "window"], "left").select(
+    return agg.select(
         TRACK, "window", (F.col("t0") + F.col("window") * F.col("width")).alias("at_ms"), F.coalesce("c", F.lit(0)).cast("long").alias("n"), num(F.col("c") / span, "rate"), pct("rails"), pct("mid"),
         num(F.col("stroke"), "avg_stroke"), num(F.col("mean_pos"), "mean_pos"), num(F.when(F.col("nv") > 0, F.col("sv") / F.col("nv")).otherwise(0.0), "avg_velocity"),
     )

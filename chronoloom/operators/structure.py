@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from chronoloom.functions.exprs import TRACK
 
 
-def silence_islands(frames: DataFrame, *, ratio: float = 0.05, min_frames: int = 64, frame_s: float = 512 / 22050) -> DataFrame:
-    """Runs of ``frames(track_id, frame_idx, rms)`` below ratio times the track's (linear) 95th percentile: their centres."""
+def silence_islands(frames: DataFrame, *, ratio: float = 0.05, min_frames: int = 64, frame_s: float = 512 / 22050, min_s: float = 1.5) -> DataFrame:
+    """Runs of ``frames(track_id, frame_idx, rms)`` below ratio times the track's (linear) 95th percentile: their centres.
+
+    Frames may bring their own distance in a column frame_s; the least run is then ``min_s`` long.
+    """
+    own = "frame_s" in frames.columns
+    if not own:
+        frames = frames.withColumn("frame_s", F.lit(float(frame_s)))
     ref = frames.groupBy(TRACK).agg(F.percentile("rms", F.lit(0.95)).alias("ref")).where("ref > 0")
     w = Window.partitionBy(TRACK).orderBy("frame_idx")
-    f = frames.join(ref, TRACK).select(TRACK, "frame_idx", (F.col("rms") < F.col("ref") * ratio).alias("silent"))
+    f = frames.join(ref, TRACK).select(TRACK, "frame_idx", "frame_s", (F.col("rms") < F.col("ref") * ratio).alias("silent"))
     f = f.select("*", (F.lag("silent").over(w).isNull() | (F.lag("silent").over(w) != F.col("silent"))).cast("int").alias("new"))
     f = f.select("*", F.sum("new").over(w).alias("island")).where("silent")
-    runs = f.groupBy(TRACK, "island").agg(F.min("frame_idx").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_frames)
-    return runs.select(TRACK, F.col("first").alias("first_frame"), F.col("n").alias("n_frames"), ((F.col("first") + F.col("first") + F.col("n")) / 2 * F.lit(frame_s)).alias("centre"))
+    least = F.greatest(F.lit(1), F.floor(F.lit(float(min_s)) / F.col("frame_s"))) if own else F.lit(min_frames)
+    runs = f.groupBy(TRACK, "island").agg(F.min("frame_idx").alias("first"), F.count("*").alias("n"), F.max("frame_s").alias("frame_s")).where(F.col("n") >= least)
+    return runs.select(TRACK, F.col("first").alias("first_frame"), F.col("n").alias("n_frames"), ((F.col("first") + F.col("first") + F.col("n")) / 2 * F.col("frame_s")).alias("centre"))
 
 
 def sessions(points: DataFrame, *, max_gap: float, min_span: float) -> DataFrame:
@@ -94,6 +101,18 @@ def scene_cuts(scores: DataFrame, detector: str = "adaptive", threshold: float |
     return scores.select(TRACK, "frame_idx", cut.alias("cut")).where("cut").select(TRACK, "frame_idx")
 
 
+def scenes(cuts: DataFrame, tracks: DataFrame, fps: float) -> DataFrame:
+    """Scenes (index from 1, start_ms, end_ms, duration_ms) of ``cuts(track_id, frame_idx)`` and ``tracks(track_id, n_frames)``.
+
+    A track without cuts is one scene; frames become milliseconds, rounded half to even.
+    """
+    starts = tracks.select(TRACK, F.lit(0).cast("long").alias("frame_idx")).unionByName(cuts.select(TRACK, F.col("frame_idx").cast("long"))).distinct()
+    w = Window.partitionBy(TRACK).orderBy("frame_idx")
+    s = starts.join(tracks, TRACK).where("frame_idx < n_frames").select(TRACK, F.row_number().over(w).alias("index"), F.col("frame_idx").alias("a"), F.coalesce(F.lead("frame_idx").over(w), "n_frames").alias("b"))
+    ms = lambda c: F.rint(F.col(c) * 1000 / F.lit(float(fps))).cast("long")
+    return s.select(TRACK, "index", ms("a").alias("start_ms"), ms("b").alias("end_ms"), (ms("b") - ms("a")).alias("duration_ms"))
+
+
 def spectral_flux(frames: DataFrame) -> DataFrame:
     """Mean over a track's steps of the mean positive difference of ``frames(track_id, frame_idx, vec)``."""
     w = Window.partitionBy(TRACK).orderBy("frame_idx")

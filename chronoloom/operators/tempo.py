@@ -30,9 +30,9 @@ def p95_normalised(beats: DataFrame) -> DataFrame:
     return b.withColumn("norm", F.when(ref > 0, F.least(F.lit(1.0), F.col("energy") / ref)).otherwise(F.col("energy"))).drop("__p95", "__most")
 
 
-def fold_octaves(beats: DataFrame, tempo: DataFrame, *, ceiling: float = CEILING, floor: float = FLOOR, passes: int = 4) -> DataFrame:
+def fold_octaves(beats: DataFrame, tempo: DataFrame, *, ceiling: float = CEILING, floor: float = FLOOR, passes: int = 9) -> DataFrame:
     """Halve tempos above the ceiling (while half is not below the floor and four beats are left): of the even and odd
-    beats the louder stay, even ones on a tie. ``passes`` halvings take a tempo of up to 16 times the ceiling.
+    beats the louder stay, even ones on a tie. Nine halvings take any tempo of beats at whole milliseconds (60,000).
     """
     out = beats.select(TRACK, "seq", "at_ms", "energy").join(tempo, TRACK)
     w = Window.partitionBy(TRACK)

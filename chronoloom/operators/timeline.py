@@ -82,6 +82,22 @@ def snap_within(points: DataFrame, centres: DataFrame, radius: float) -> DataFra
     return found.select(TRACK, "at", F.when(F.abs(near - at) <= radius, near).otherwise(at).alias("snapped"))
 
 
+def tiled(points: DataFrame, spans: DataFrame, at: Column, columns: list[str], *, last: bool) -> DataFrame:
+    """``containing`` for spans that don't overlap, as stanzas and chunks: one union and running windows by track.
+
+    No join, so a track of very many points and spans costs one sort; each point takes the last span that starts at or
+    before it, if that one reaches it.
+    """
+    s = spans.select(TRACK, F.struct("span_idx", F.coalesce("end_ms", F.lit(1 << 62)).alias("end"), *columns).alias("span"), F.col("start_ms").alias("at"))
+    p = points.select(TRACK, F.struct(*[F.col(c) for c in points.columns]).alias("point"), at.alias("at"))
+    both = s.select(TRACK, "at", "span", F.lit(None).cast(p.schema["point"].dataType).alias("point")).unionByName(p.select(TRACK, "at", F.lit(None).cast(s.schema["span"].dataType).alias("span"), "point"))
+    upto = Window.partitionBy(TRACK).orderBy("at", F.col("point").isNotNull(), "span.span_idx").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("at", "point", F.last("span", True).over(upto).alias("hit"), *([F.max_by("span", "span.span_idx").over(Window.partitionBy(TRACK)).alias("ending")] if last else [])).where("point is not null")
+    hit = F.when(F.col("at") < F.col("hit.end"), F.col("hit"))
+    found = found.select("point", (F.coalesce(hit, F.col("ending")) if last else hit).alias("hit"))
+    return found.select(*[F.col(f"point.{c}").alias(c) for c in points.columns], *[F.col(f"hit.{c}").alias(c) for c in ["span_idx", *columns]])
+
+
 def containing(points: DataFrame, spans: DataFrame, at: Column, columns: list[str], *, last: bool) -> DataFrame:
     """Left interval join on track: for each point the first span (by span_idx) with start_ms <= at < end_ms.
 

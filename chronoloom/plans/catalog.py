@@ -103,7 +103,7 @@ CTE = {
                 count(v) as nv, list_reduce(list(coalesce(v, 0) order by seq), lambda p, q: p + q) as sv
             from (select *, least(9, pos // 10) as d, case when dt > 0 then stroke / dt * 1000 end as v, lag(w) over (partition by track_id order by at_ms, seq) = w as same from (
                 select *, (at_ms - min(at_ms) over t) // greatest(1, (max(at_ms) over t - min(at_ms) over t) // 12) as w from steps window t as (partition by track_id))) where w < 12 group by track_id, w) g on f.track_id = g.track_id and f.w = g.w)""",
-    "talks": """talks as (select conv_id as track_id, cast(turn as int) as seq, turn * 12000 as at_ms, left(text, 40) as name, role as intent from conversations)""",
+    "talks": """talks as (select conv_id as track_id, cast(turn as int) as seq, turn * 12000 as at_ms, text as name, role as intent from conversations)""",
     "chapters": "chapters as (select *, cast(null as bigint) as end_ms from talks)",
     "placed": """placed as (select s.track_id, s.stanza_idx, s.start_ms, s.end_ms, coalesce(min(c.chunk_idx), max(l.last)) as chapter_idx from stanzas s
         left join chunks c on s.track_id = c.track_id and (s.start_ms + s.end_ms) // 2 >= c.at_ms and (s.start_ms + s.end_ms) // 2 < c.end_ms
@@ -114,9 +114,9 @@ CTE = {
 FOLD = """f{j} as (select track_id, cast(case when fold then seq // 2 else seq end as int) as seq, at_ms, energy, case when fold then bpm / 2 else bpm end as bpm from (
     select *, bpm > 165 and bpm / 2 >= 70 and count(*) over w >= 4 as fold, case when sum(case when seq % 2 = 0 then energy else 0 end) over w >= sum(case when seq % 2 = 1 then energy else 0 end) over w then 0 else 1 end as keep
     from f{i} window w as (partition by track_id)) where not fold or seq % 2 = keep)"""
-CTE["b"] = "b as (select track_id, seq, cast(seq * 1000 as varchar) as at_ms, energy, pos from beats where seq < 24)"
+CTE["b"] = "b as (select track_id, seq, cast(seq * 1000 as varchar) as at_ms, energy, pos from beats)"
 DEPENDS["b"] = ("beats",)
-CTE["fold"] = "f0 as (select b.track_id, b.seq, b.at_ms, b.energy, t.bpm from beats b join bpms t using (track_id)),\n" + ",\n".join(FOLD.format(i=i, j=i + 1) for i in range(4))
+CTE["fold"] = "f0 as (select b.track_id, b.seq, b.at_ms, b.energy, t.bpm from beats b join bpms t using (track_id)),\n" + ",\n".join(FOLD.format(i=i, j=i + 1) for i in range(9))
 DEPENDS["fold"] = ("bpms",)
 CTE["lift"] = """x as (select b.*, t.bpm * 0.75e0 as bpm, lead(at_ms) over w as nxt, lead(energy) over w as ne, t.bpm > 0 and count(*) over (partition by b.track_id) >= 4 and t.bpm * 0.75e0 * 2 <= 165 and t.bpm * 1.99e0 / (t.bpm * 0.75e0) between 1.7e0 and 2.3e0 as lift
     from beats b join bpms t using (track_id) window w as (partition by b.track_id order by at_ms, seq))"""
@@ -148,7 +148,7 @@ def _chapters(beats: DataFrame) -> DataFrame:
 def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chapter lists: a turn every 12 s."""
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return t.select(F.col("conv_id").alias(TRACK), F.col("turn").cast("int").alias("seq"), (F.col("turn") * 12_000).alias("at_ms"), F.left("text", F.lit(40)).alias("name"), F.col("role").alias("intent"), F.lit(None).cast("long").alias("end_ms"))
+    return t.select(F.col("conv_id").alias(TRACK), F.col("turn").cast("int").alias("seq"), (F.col("turn") * 12_000).alias("at_ms"), F.col("text").alias("name"), F.col("role").alias("intent"), F.lit(None).cast("long").alias("end_ms"))
 
 
 @query("select track_id, seq, at_ms, energy, pos from beats", "beats")
@@ -327,7 +327,7 @@ def energy_p95_norm(spark, sf_dir):
     return tempo.p95_normalised(_beats(spark, sf_dir))
 
 
-@query("select * from f4", "bpms", "fold")
+@query("select * from f9", "bpms", "fold")
 def octave_fold(spark, sf_dir):
     b = _beats(spark, sf_dir)
     return tempo.fold_octaves(b, tempo.bpm(b))
@@ -426,10 +426,10 @@ def density_arc_curve(spark, sf_dir):
     return curve.density_arc(_beats(spark, sf_dir)).drop("pos")
 
 
-@query("select b.track_id, b.seq, b.at_ms, b.energy, b.pos, greatest(0, least(1, coalesce(min(c.chunk_idx) * 0.25e0, 0.55e0))) as arc from beats b left join (select * from chunks where chunk_idx < 2) c on b.track_id = c.track_id and b.at_ms >= c.at_ms and b.at_ms < c.end_ms group by all", "chunks")
+@query("select b.track_id, b.seq, b.at_ms, b.energy, b.pos, greatest(0, least(1, coalesce(min(c.chunk_idx) * 0.25e0, 0.55e0))) as arc from beats b left join chunks c on b.track_id = c.track_id and b.at_ms >= c.at_ms and b.at_ms < c.end_ms group by all", "chunks")
 def density_arc_levels(spark, sf_dir):
     b = _beats(spark, sf_dir)
-    levels = _chunks(b).where("chunk_idx < 2").select(TRACK, F.col("chunk_idx").alias("span_idx"), F.col("at_ms").alias("start_ms"), "end_ms", (F.col("chunk_idx") * 0.25).alias("level"))
+    levels = _chunks(b).select(TRACK, F.col("chunk_idx").alias("span_idx"), F.col("at_ms").alias("start_ms"), "end_ms", (F.col("chunk_idx") * 0.25).alias("level"))
     return curve.density_arc_from_levels(b, levels)
 
 
@@ -543,7 +543,8 @@ PER_CHAPTER_CURVE = f"""with {CTE["beats"].replace("beats as", "beats0 as", 1)},
 @query(PER_CHAPTER_CURVE)
 def generate_per_chapter(spark, sf_dir):
     b = _beats(spark, sf_dir)
-    return curve.generate_per_chapter(b, _chapters(b), {0: {}, 1: {"stroke_density": "4", "center": 45}})
+    bundle = _chapters(b).select(TRACK, "chapter_idx", (F.col("chapter_idx") % 2).alias("recipe"))  # one for every chapter
+    return curve.generate_per_chapter(b, _chapters(b), [{}, {"stroke_density": "4", "center": 45}], bundle)
 
 
 @query(f"select track_id, '{{\"version\":\"1.0\",\"inverted\":false,\"range\":90,\"actions\":[' || string_agg('{{\"at\":' || at_ms || ',\"pos\":' || pos || '}}', ',' order by at_ms) || '],\"metadata\":{{}}}}' as doc from (select track_id, at_ms, min(pos) as pos from ({ARC_POINTS}) group by track_id, at_ms) group by track_id", "fixed", "fire")
@@ -604,7 +605,7 @@ def _records(beats: DataFrame, kept: F.Column, **fields: F.Column) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    b = _beats(spark, sf_dir).where("seq < 24").withColumn("at_ms", F.col("seq") * 1000)
+    b = _beats(spark, sf_dir).withColumn("at_ms", F.col("seq") * 1000)
     old = _records(b, F.col("seq") % 3 != 2, name=F.concat(F.lit("n"), F.col("seq")), confidence=(F.col("energy") * 1024).cast("int"), tone=F.when(F.col("seq") % 2 == 0, "rise"), auto_generated=F.when(F.col(TRACK) % 3 == 0, "false"))
     new = _records(b, F.col("seq") % 2 == 0, name=F.concat(F.lit("m"), F.col("seq")), confidence=F.col("pos"), tone=F.when(F.col("seq") % 4 == 0, "fall"), end_ms=F.lit("7"), vendor=F.lit("v"))
     out = merge.merge_records(old, new, merge.CHAPTER, mode)
@@ -701,6 +702,17 @@ def scene_cuts_adaptive(spark, sf_dir):
     return structure.scene_cuts(_scores(spark, sf_dir), "adaptive")
 
 
+@query(
+    """select track_id, cast(row_number() over w as int) as index, cast(round_even(a * 1000 / 24e0, 0) as bigint) as start_ms, cast(round_even(b * 1000 / 24e0, 0) as bigint) as end_ms, cast(round_even(b * 1000 / 24e0, 0) - round_even(a * 1000 / 24e0, 0) as bigint) as duration_ms
+    from (select track_id, f as a, coalesce(lead(f) over (partition by track_id order by f), n) as b from (select distinct track_id, f from (select track_id, 0 as f from beats union all
+        select track_id, seq from (select *, lag(pos) over (partition by track_id order by seq) as p from beats) where abs(pos - p) >= 27)) join (select track_id, count(*) as n from beats group by track_id) using (track_id)) window w as (partition by track_id order by a)""",
+    "beats",
+)
+def scene_list(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return structure.scenes(structure.scene_cuts(s, "content"), s.groupBy(TRACK).agg(F.count("*").alias("n_frames")), fps=24.0)
+
+
 @query("select track_id, frame_idx, list_reduce(list_transform(range(1, len(v) + 1), lambda i: greatest(0e0, cast(v[i] as double) - cast(p[i] as double))), lambda a, b: a + b) / len(v) as flux from (select label as track_id, vec_id as frame_idx, embedding as v, lag(embedding) over (partition by label order by vec_id) as p from embeddings) where p is not null")
 def spectral_flux(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -737,10 +749,85 @@ def _shell(name: str, sql: str, f: Callable[[SparkSession, str], DataFrame]) ->
     QUERIES[name], ORACLE_SQL[name] = f, sql
 
 
-_shell("clip_plan", "select p_partkey as id, coalesce(nullif(regexp_replace(trim(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), '', ''), ''), 'media') || '.ch' || lpad(cast(p_size as varchar), 3, '0') || '.mp4' as clip, case when p_size > 25 then '720p' else 'source' end as encode from part where p_partkey % 10 <> 0", lambda spark, d: shell.clip_plan(spark.read.parquet(f"{d}/part.parquet")))
-_shell("cache_key", "select o_orderkey as id, substr(sha256(concat_ws('|', '/media/' || o_orderkey || '.mp4', cast(epoch_us(o_orderdate) * 1000 as varchar), cast(o_custkey as varchar), '22050', '1')), 1, 16) as cache_key from orders", lambda spark, d: shell.cache_keys(spark.read.parquet(f"{d}/orders.parquet")))
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recordings with names of every sort: (media_id, path, width)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    suffix = F.when(F.col("p_size") % 3 == 0, ".MKV").when(F.col("p_size") % 3 == 1, ".mp4").otherwise("")
+    path = F.concat(F.lit("/media/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string"), suffix)
+    return part.select(F.col("p_partkey").alias("media_id"), path.alias("path"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") * 80).cast("int").alias("width"))
+
+
+def _clip_chapters(media: DataFrame) -> DataFrame:
+    """Four chapters each: one without an end, one that ends where it begins, two good ones."""
+    c = media.select("media_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chapter_idx"))
+    at = F.col("chapter_idx").cast("long") * 60_000
+    end = F.when(F.col("chapter_idx") == 3, F.lit(None)).when(F.col("chapter_idx") == 2, at).otherwise(at + 1000 + F.col("media_id") % 100)
+    return c.select("media_id", "chapter_idx", at.alias("at_ms"), end.cast("long").alias("end_ms"))
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = _recordings(spark, sf_dir)
+    chapters = _clip_chapters(media)
+    there = chapters.where("chapter_idx = 1").join(media, "media_id").where("media_id % 10 = 0").select(shell.clip_path(F.col("path"), F.col("at_ms"), F.col("end_ms")).alias("path"))
+    return shell.clip_plan(media, chapters, there)
+
+
+RECORDINGS = """media as (select p_partkey as media_id, '/media/' || p_size || '/' as folder, p_name || ' #' || p_partkey as stem,
+        case p_size % 3 when 0 then 'mkv' else 'mp4' end as kind, case when p_size % 7 <> 0 then p_size * 80 end as width from part),
+    clips as (select media_id, cast(i as int) as chapter_idx, folder || '.' || stem || '.forge/clips/' || coalesce(nullif(trim(regexp_replace(stem, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), ''), 'media') || '_v13_' || i * 60000 || '_'
+            || case i when 2 then 120000 else i * 60000 + 1000 + media_id % 100 end || '.' || kind as clip, case when width > 1920 then '720p' else 'source' end as encode,
+        case when i = 2 then 'rejected' when i = 1 and media_id % 10 = 0 then 'cached' else 'build' end as status from media, range(3) r(i))"""
+_shell("clip_plan", f"with {RECORDINGS} select * from clips", _clips)
+_shell("clip_batch", f"with {RECORDINGS} select media_id, total, cached, built, (built + cached) || '/' || total || ' clips ready (' || cached || ' cached, ' || built || ' built)' as summary from (select media_id, count(*) as total, count(*) filter (status = 'cached') as cached, count(*) filter (status = 'build' and not (chapter_idx = 0 and media_id % 4 = 0)) as built from clips where status <> 'rejected' group by media_id)", lambda spark, d: shell.clip_batch(_clips(spark, d), _clips(spark, d).where("chapter_idx = 0 and media_id % 4 = 0 and status = 'build'").select("clip")))
+_shell("sidecar_paths", f"with {RECORDINGS} select media_id, folder || '.' || stem || '.forge/' || stem || '.chapters.json' as chapters, folder || '.' || stem || '.forge/' || stem || '.beats.json' as beats from media", lambda spark, d: _recordings(spark, d).select("media_id", shell.sidecar_path(F.col("path"), "chapters").alias("chapters"), shell.sidecar_path(F.col("path"), "beats").alias("beats")))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files, some of them unreadable: (media_id, path, mtime_ns, size)."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("media_id"), F.concat(F.lit("/media/"), F.col("o_orderkey").cast("string"), F.lit(".mp4")).alias("path"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("mtime_ns"), F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey")).alias("size"))
+
+
+def _cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    slot = shell.cache_slot(shell.cache_key(F.col("path"), F.col("mtime_ns"), F.col("size")), "/tmp/audio")
+    meta = F.when(F.col("media_id") % 4 == 0, F.format_string('{"damaged_after_ms": %d, "sr": 22050}', F.col("media_id") * 10)).when(F.col("media_id") % 4 == 1, '{"damaged_after_ms": null}').when(F.col("media_id") % 4 == 2, '{"damaged')
+    slots = files.where("media_id % 3 = 0").select(slot.alias("path"), (F.col("media_id") % 7).alias("length"), meta.alias("meta")).where("path is not null")
+    return shell.cache_lookup(files, slots, folder="/tmp/audio")
+
+
+CACHE_KEY = "select o_orderkey as media_id, case when o_orderkey % 50 = 0 then '' else substr(sha256(concat_ws('|', '/media/' || o_orderkey || '.mp4', cast(epoch_us(o_orderdate) * 1000 as varchar), cast(o_custkey as varchar), '22050', '1')), 1, 16) end as cache_key from orders"
+_shell("cache_key", CACHE_KEY, lambda spark, d: _files(spark, d).select("media_id", shell.cache_key(F.col("path"), F.col("mtime_ns"), F.col("size")).alias("cache_key")))
+_shell("cache_lookup", f"select media_id, slot, hit, case when hit then slot end as load_path, case when hit and media_id % 4 = 0 then media_id * 10 end as damaged_after_ms from (select media_id, case when cache_key <> '' then '/tmp/audio/fa-' || cache_key || '.wav' end as slot, cache_key <> '' and media_id % 3 = 0 and media_id % 7 > 0 as hit from ({CACHE_KEY}))", _cache_lookup)
 _shell("eta_ema", f"with recursive {CTE['beats']}, e as (select track_id, seq, cast(at_ms as double) as ema from beats where seq = 0 union all select b.track_id, b.seq, 0.3e0 * b.at_ms + (1e0 - 0.3e0) * e.ema from e join beats b on b.track_id = e.track_id and b.seq = e.seq + 1) select track_id, arg_max(ema, seq) as ema from e group by track_id", lambda spark, d: shell.ema(load_beats(spark, d)))
-_shell("cfr_direct_play", "select l_orderkey, l_linenumber, abs(l_quantity - l_quantity / (1 + l_discount)) <= 0.01e0 * l_quantity as cfr, l_linenumber <= 3 and l_quantity <= 40 and abs(l_quantity - l_quantity / (1 + l_discount)) <= 0.01e0 * l_quantity as direct from lineitem", lambda spark, d: shell.direct_play(spark.read.parquet(f"{d}/lineitem.parquet")))
+#: Columns of line items as what a probe says of a video stream; written once here, and once for each engine below.
+STREAM = {
+    "codec_name": "case l_linenumber when 6 then 'hevc' when 7 then null else 'H264' end", "pix_fmt": "case l_returnflag when 'A' then 'yuv420p' when 'R' then 'yuv420p10le' end",
+    "profile": "case l_partkey % 5 when 0 then 'High 10' when 1 then 'High422' else 'High' end", "width": "case when l_suppkey % 11 <> 0 then cast(floor(l_quantity * 80) as int) end",
+    "color_transfer": "case l_suppkey % 13 when 0 then 'smpte2084' when 1 then 'ARIB-STD-B67' else 'bt709' end", "color_primaries": "case when l_suppkey % 17 = 0 then 'bt2020' end",
+    "avg_frame_rate": "case when l_tax = 0 then '0/0' else concat('30000/', cast(1000 + cast(floor(l_discount * 300) as int) as string)) end", "r_frame_rate": "case when l_suppkey % 19 = 0 then 'unknown' else '30/1' end",
+}
+
+
+def _probe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe's JSON per line item: sound, then a video stream, then another; some have sound only, or are cut off."""
+    fields = [F.expr(v).alias(k) for k, v in STREAM.items()]
+    stream = lambda kind, *own: F.to_json(F.struct(F.lit(kind).alias("codec_type"), *own))
+    sound, video, cover = stream("audio", F.lit("aac").alias("codec_name")), stream("video", *fields), stream("video", F.lit("mjpeg").alias("codec_name"))
+    doc = F.when((F.col("l_linenumber") == 5) & (F.col("l_orderkey") % 2 == 1), F.concat(F.lit('{"streams":['), sound, F.lit("]}"))).otherwise(F.concat(F.lit('{"streams":['), sound, F.lit(","), video, F.lit(","), cover, F.lit("]}")))
+    doc = F.when(F.col("l_partkey") % 97 == 0, F.left(doc, F.lit(20))).otherwise(doc)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(F.struct("l_orderkey", "l_linenumber").alias("media_id"), doc.alias("probe"))
+
+
+_shell(
+    "cfr_direct_play",
+    f"""select l_orderkey, l_linenumber, coalesce(cfr, false) as cfr, coalesce(cfr, false) and coalesce(lower(codec_name), '') = 'h264' and coalesce(pix_fmt, '') in ('', 'yuv420p') and profile not like '%10%' and profile not like '%422%' and profile not like '%444%'
+        and coalesce(width, 0) <= 2560 and lower(color_transfer) not in ('smpte2084', 'arib-std-b67') and coalesce(color_primaries, '') <> 'bt2020' as direct
+    from (select *, there and avg_frame_rate <> '0/0' and r_frame_rate = '30/1' and abs(30000e0 / try_cast(split_part(avg_frame_rate, '/', 2) as double) - 30e0) <= 0.01e0 * 30e0 as cfr from (
+        select *, l_partkey % 97 <> 0 and not (l_linenumber = 5 and l_orderkey % 2 = 1) as there from (select *, {", ".join(f"{v} as {k}" for k, v in STREAM.items())} from lineitem)))""",
+    lambda spark, d: shell.direct_play(_probe_documents(spark, d)).select("media_id.*", "cfr", "direct"),
+)
 
 
 def _signals(spark: SparkSession, sf_dir: str, sr: int = 2205) -> DataFrame:

@@ -229,10 +229,101 @@ def test_curves(spark):
 
 def test_generate_per_chapter_keeps_each_chapters_beats(spark):
     b = beats(spark, range(0, 60_000, 500), [0.2] * 60 + [0.9] * 60)
-    got = curve.generate_per_chapter(b, chapters(spark, (0, 30_000), (30_000, None)), {0: {}, 1: {"stroke_density": 8}})
+    recipes = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "track_id long, chapter_idx int, recipe int")
+    ch = chapters(spark, (0, 30_000), (30_000, None))
+    got = curve.generate_per_chapter(b, ch, [{}, {"stroke_density": 8}], recipes)
     n = {r.chapter_idx: r.n for r in got.groupBy("chapter_idx").agg(F.count("*").alias("n")).collect()}
     assert n[1] > 3 * n[0] > 0
     assert got.where("chapter_idx = 0").agg(F.max("at_ms")).first()[0] < 30_500
+    for wrong in (recipes.where("chapter_idx = 0"), recipes.union(spark.createDataFrame([(1, 2, 0)], recipes.schema))):
+        with pytest.raises(Exception, match="differ in number"):
+            curve.pair_recipes(ch, wrong).collect()
+    with pytest.raises(ValueError):
+        curve.generate_per_chapter(b, ch, [{}])
+
+
+def test_spans_that_do_not_overlap(spark):
+    """The window form gives what the join gives, with ties, empty spans, points outside and other tracks."""
+    rng = random.Random(6)
+    points = [(t, i, rng.randrange(-5, 60)) for t in (1, 2, 3) for i in range(40)]
+    spans = [(t, k, a, b) for t in (1, 2) for k, (a, b) in enumerate([(0, 7), (7, 7), (7, 20), (25, 40), (40, None) if t == 1 else (40, 45)])]
+    p = spark.createDataFrame([(*x, x[1]) for x in points], "track_id long, point_id int, at_ms long, seq int")
+    s = spark.createDataFrame([(*x, f"s{x[1]}") for x in spans], "track_id long, span_idx int, start_ms long, end_ms long, name string")
+    for last in (False, True):
+        a, b = (sorted(map(str, f(p, s, F.col("at_ms"), ["name"], last=last).collect())) for f in (timeline.containing, timeline.tiled))
+        assert a == b
+
+
+def test_fired_passes_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(2)
+    rows = [(t, i, i * 10, rng.choice([0.0, 0.1, 0.3, 0.44, 0.45, 0.9])) for t in range(5) for i in range(60)]
+    want = []
+    for t in range(5):
+        acc = 0.0
+        for _, i, _, arc in (r for r in rows if r[0] == t):
+            acc += min(1.0, arc / 0.45)
+            if acc >= 1:
+                acc -= 1
+                want.append((t, i))
+    df = spark.createDataFrame(rows, "track_id long, seq int, at_ms long, arc double").repartition(3, "at_ms")
+    assert sorted((r.track_id, r.seq) for r in curve.fired(df).collect()) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_octaves_fold_to_the_end(spark):
+    b = beats(spark, range(0, 4096), [0.5] * 4096)
+    r = tempo.fold_octaves(b, spark.createDataFrame([(1, 60_000.0)], "track_id long, bpm double")).collect()
+    assert {x.bpm for x in r} == {60_000 / 2**9} and len(r) == 8
+
+
+def test_scenes(spark):
+    cuts = spark.createDataFrame([(1, 100), (1, 234), (3, 0)], "track_id long, frame_idx int")
+    tracks = spark.createDataFrame([(1, 300), (2, 48), (3, 24), (4, 0)], "track_id long, n_frames long")
+    got = [tuple(r) for r in structure.scenes(cuts, tracks, 24.0).orderBy("track_id", "index").collect()]
+    assert got == [(1, 1, 0, 4167, 4167), (1, 2, 4167, 9750, 5583), (1, 3, 9750, 12_500, 2750), (2, 1, 0, 2000, 2000), (3, 1, 0, 1000, 1000)]
+
+
+def test_direct_play(spark):
+    import json
+
+    good = {"codec_type": "video", "codec_name": "h264", "pix_fmt": "yuv420p", "profile": "High", "width": 2560, "color_transfer": "bt709", "avg_frame_rate": "30000/1001", "r_frame_rate": "30/1"}
+    changes = [({}, True), ({"codec_name": "H264"}, True), ({"codec_name": "hevc"}, False), ({"codec_name": None}, False), ({"pix_fmt": None}, True), ({"pix_fmt": "yuv420p10le"}, False), ({"profile": "High 10"}, False), ({"profile": "High 4:2:2 (422)"}, False),
+               ({"width": 2561}, False), ({"width": None}, True), ({"color_transfer": "SMPTE2084"}, False), ({"color_transfer": "arib-std-b67"}, False), ({"color_primaries": "bt2020"}, False), ({"avg_frame_rate": "29.6"}, False), ({"avg_frame_rate": "29.71"}, True), ({"avg_frame_rate": "0/0"}, False), ({"r_frame_rate": "x"}, False), ({"r_frame_rate": None}, False)]
+    sound = {"codec_type": "audio", "codec_name": "aac"}
+    rows = [(i, json.dumps({"streams": [sound, {**good, **c}, {**good, "codec_name": "mjpeg"}]})) for i, (c, _) in enumerate(changes)]
+    rows += [(100, json.dumps({"streams": [sound]})), (101, "{}"), (102, rows[0][1][:40]), (103, None), (104, "")]
+    got = {r.media_id: r.direct for r in shell.direct_play(spark.createDataFrame(rows, "media_id long, probe string")).collect()}
+    assert got == {**{i: ok for i, (_, ok) in enumerate(changes)}, **dict.fromkeys(range(100, 105), False)}
+
+
+def test_clips_and_paths(spark):
+    names = {"/a/b/My Film!.MKV": "/a/b/.My Film!.forge/clips/My_Film_v13_5_90.mkv", "track": ".track.forge/clips/track_v13_5_90.mp4", "/x/.hidden": "/x/..hidden.forge/clips/hidden_v13_5_90.mp4", "/x/???.mp4": "/x/.???.forge/clips/media_v13_5_90.mp4", "a.b.webm": ".a.b.forge/clips/a.b_v13_5_90.webm", "/x/end.": "/x/.end..forge/clips/end_v13_5_90.mp4"}
+    media = spark.createDataFrame([(i, p, w) for i, (p, w) in enumerate(zip(names, [1920, 1921, None, 3840, 0, 640]))], "media_id int, path string, width int")
+    ch = spark.createDataFrame([(i, k, a, b) for i in range(6) for k, (a, b) in enumerate([(5, 90), (90, None), (90, 90)])], "media_id int, chapter_idx int, at_ms long, end_ms long")
+    plan = shell.clip_plan(media, ch, spark.createDataFrame([(names["track"],), (names["track"],)], "path string"))
+    got = sorted(tuple(r) for r in plan.collect())
+    assert [(r[2], r[3], r[4]) for r in got if r[1] == 0] == [(c, "720p" if i in (1, 3) else "source", "cached" if i == 1 else "build") for i, c in enumerate(names.values())]
+    assert len(got) == 12 and all(r[4] == "rejected" for r in got if r[1] == 2)
+    summary = {r.media_id: r.summary for r in shell.clip_batch(plan, plan.where("media_id = 3").select("clip")).collect()}
+    assert (summary[0], summary[1], summary[3]) == ("1/1 clips ready (0 cached, 1 built)", "1/1 clips ready (1 cached, 0 built)", "0/1 clips ready (0 cached, 0 built)")
+    side = media.select(shell.sidecar_path(F.col("path"), "chapters").alias("p")).collect()
+    assert side[0].p == "/a/b/.My Film!.forge/My Film!.chapters.json"
+    with pytest.raises(ValueError):
+        shell.sidecar_path(F.col("path"), "pictures")
+
+
+def test_cache(spark):
+    import hashlib
+
+    key = hashlib.sha256(b"/m/a.mp4|123456789|42|22050|1").hexdigest()[:16]
+    files = spark.createDataFrame([(1, "/m/a.mp4", 123456789, 42), (2, "/m/b.mp4", None, None), (3, "/m/c.mp4", 1, 1)], "media_id int, path string, mtime_ns long, size long")
+    slot = f"/tmp/x/fa-{key}.wav"
+    look = lambda length, meta: {r.media_id: (r.hit, r.load_path, r.damaged_after_ms) for r in shell.cache_lookup(files, spark.createDataFrame([(slot, length, meta)], "path string, length long, meta string"), folder="/tmp/x/").collect()}
+    missed = (False, None, None)
+    assert look(9, '{"damaged_after_ms": 77}') == {1: (True, slot, 77), 2: missed, 3: missed}
+    assert look(9, "{broken")[1] == look(9, None)[1] == (True, slot, None) and look(0, None)[1] == missed
+    assert look(9, None) != {} and spark.range(1).select(shell.cache_key(F.lit("/m/a.mp4"), F.lit(1), F.lit(2), 16000).alias("k")).first().k != key
 
 
 def test_energy_per_chapter(spark):
