@@ -45,34 +45,57 @@ def mel_matrix(sr: int, n_mels: int, fmax: float, size: int = FRAME) -> np.ndarr
     return (np.maximum(0, np.minimum(up, down)) * (2.0 / (points[2:] - points[:-2]))[:, None]).astype(np.float32)
 
 
+#: Below this power nothing is told apart.
+LEAST_POWER = 1e-10
+
+
+def mel_level(y: np.ndarray, sr: int, n_mels: int = 64, fmax: float = 8000.0, hop: int = HOP) -> np.ndarray:
+    """Mel power in dB, one row per frame."""
+    power = magnitudes(y, hop=hop) ** 2 @ mel_matrix(sr, n_mels, min(fmax, sr / 2)).T
+    return 10.0 * np.log10(np.maximum(power, LEAST_POWER))
+
+
 def mel_db(y: np.ndarray, sr: int, n_mels: int = 64, fmax: float = 8000.0, hop: int = HOP) -> np.ndarray:
     """Mel power in dB below the loudest cell, one row per frame."""
-    power = magnitudes(y, hop=hop) ** 2 @ mel_matrix(sr, n_mels, min(fmax, sr / 2)).T
-    return 10.0 * np.log10(np.maximum(power, 1e-10)) - 10.0 * np.log10(max(float(power.max(initial=0.0)), 1e-10))
+    level = mel_level(y, sr, n_mels, fmax, hop)
+    return level - level.max(initial=10.0 * np.log10(LEAST_POWER))
 
 
-def spectrogram_cells(y: np.ndarray, sr: int, n_mels: int = 64, fmax: float = 8000.0, floor: float = -80.0, ceiling: float = 0.0) -> np.ndarray:
-    """Mel dB as unsigned bytes, time-major; silence is all zero."""
-    if len(y) == 0 or float(np.max(np.abs(y))) < 1e-12:
-        return np.zeros((1 + len(y) // HOP, n_mels), np.uint8)
-    norm = (np.clip(mel_db(y, sr, n_mels, fmax), floor, ceiling) - floor) / (ceiling - floor)
+def cells_of(level: np.ndarray, loudest: float, floor: float = -80.0, ceiling: float = 0.0) -> np.ndarray:
+    """Levels in dB as unsigned bytes, time-major, below ``loudest``; all zero where that is silence."""
+    if loudest <= 10.0 * np.log10(LEAST_POWER) + 1e-6:
+        return np.zeros(level.shape, np.uint8)
+    norm = (np.clip(level - loudest, floor, ceiling) - floor) / (ceiling - floor)
     return (norm * 255 + 0.5).astype(np.uint8)
 
 
+def spectrogram_cells(y: np.ndarray, sr: int, n_mels: int = 64, fmax: float = 8000.0, floor: float = -80.0, ceiling: float = 0.0) -> np.ndarray:
+    """``cells_of`` a whole buffer, below its own loudest cell."""
+    if len(y) == 0:
+        return np.zeros((1, n_mels), np.uint8)
+    level = mel_level(y, sr, n_mels, fmax)
+    return cells_of(level, float(level.max()), floor, ceiling)
+
+
 def exact_hop(sr: int, hop: int = HOP) -> dict[str, int]:
     return {"hop_us": round(hop * 1e6 / sr), "hop_ms": round(hop * 1e3 / sr)}
 
 
-def hop_peaks(y: np.ndarray, sr: int, hop_ms: float = 10.0) -> np.ndarray:
-    """Root mean square of hops with edges rint(i hop), over the loudest; four decimals."""
+def hop_rms(y: np.ndarray, sr: int, hop_ms: float = 10.0) -> np.ndarray:
+    """Root mean square of hops with edges rint(i hop)."""
     hop = sr * hop_ms / 1000.0
     n = int(len(y) / hop)
     if n == 0:
         return np.zeros(0)
     edges = np.rint(np.arange(n + 1) * hop).astype(np.int64)
     y = np.asarray(y[: edges[-1]], np.float32)
-    rms = np.sqrt(np.add.reduceat(y * y, edges[:-1]) / np.diff(edges))
-    return np.round(rms / rms.max() if rms.max() > 0 else rms, 4)
+    return np.sqrt(np.add.reduceat(y * y, edges[:-1]) / np.diff(edges))
+
+
+def hop_peaks(y: np.ndarray, sr: int, hop_ms: float = 10.0) -> np.ndarray:
+    """``hop_rms`` over the loudest; four decimals."""
+    rms = hop_rms(y, sr, hop_ms)
+    return np.round(rms / rms.max() if len(rms) and rms.max() > 0 else rms, 4)
 
 
 def _median_along(x: np.ndarray, size: int, axis: int) -> np.ndarray:
@@ -299,7 +322,13 @@ def texture(y: np.ndarray, sr: int) -> dict:
 
 
 def resample(y: np.ndarray, sr: int, to: int = 16_000) -> np.ndarray:
+    """Samples at another rate, by straight lines; before a lower rate, what it can't hold is filtered off."""
     if sr == to or len(y) == 0:
         return y
+    if sr > to:
+        half = 16 * -(-sr // to)
+        x = np.arange(-half, half + 1)
+        taps = np.sinc(0.9 * to / sr * x) * np.hanning(2 * half + 3)[1:-1]
+        y = np.convolve(y, (taps / taps.sum()).astype(np.float32), "same")[: len(y)] if len(y) > 2 * half else y
     n = int(len(y) * to / sr)
     return np.interp(np.arange(n) * sr / to, np.arange(len(y)), y).astype(np.float32)

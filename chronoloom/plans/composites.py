@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.dsp import plans as dsp
@@ -26,12 +26,14 @@ class Run:
     spectrograms: DataFrame
 
 
-def analyse_beats(samples: DataFrame, *, tracker: str = "auto", locked_bpm: float | None = None, source: str = "full") -> DataFrame:
+def analyse_beats(samples: DataFrame, *, tracker: str = "auto", locked_bpm: float | None = None, source: str = "full", spans: DataFrame | None = None) -> DataFrame:
     """Beats of every chunk with its tempo corrected (halves lifted, then octaves folded), numbered over the track.
 
-    A chunk is normalised and corrected by itself; the track's tempo is the chunks' mean by duration. A locked tempo
-    is not corrected.
+    A chunk, or each of ``spans(track_id, span_idx, start_ms, end_ms)`` such as chapters, is normalised and corrected by
+    itself; the track's tempo is the chunks' mean by duration. A locked tempo is not corrected.
     """
+    if spans is not None:
+        samples = dsp.slices(samples, spans)
     raw = dsp.beats(samples, tracker=tracker, locked_bpm=locked_bpm, source=source)
     key = F.struct(TRACK, "chunk_idx")
     b = raw.select(key.alias(TRACK), "at_ms", "energy", "bpm", "ref_bpm").withColumn("seq", (F.row_number().over(Window.partitionBy(TRACK).orderBy("at_ms")) - 1).cast("int"))
@@ -48,10 +50,7 @@ def detect_chapters(samples: DataFrame, *, target_s: float = 330.0) -> DataFrame
     """Chapters (track_id, chapter_idx, at_ms, end_ms) of tracks: one for those under eight minutes, else cuts by sound and silence."""
     n = F.length("data") / 4 / F.col("sr")
     tracks = samples.where("data is not null").groupBy(TRACK).agg(F.max(F.col("start_ms") / 1000 + n).alias("duration"))
-    frames = dsp.frame_features(samples)
-    silences = structure.silence_islands(frames.select(F.struct(TRACK, "chunk_idx").alias(TRACK), "frame_idx", "rms"))
-    starts = samples.select(F.struct(TRACK, "chunk_idx").alias("__k"), F.col("start_ms"))
-    centres = silences.join(starts, F.col(TRACK) == F.col("__k")).select(F.col(f"{TRACK}.{TRACK}").alias(TRACK), (F.col("centre") + F.col("start_ms") / 1000).alias("centre"))
+    centres = structure.silence_islands(dsp.frame_features(samples).select(TRACK, "frame_idx", "rms", "frame_s")).select(TRACK, "centre")
     long = tracks.where(F.col("duration") >= WHOLE_FILE_S)
     bounds = dsp.track_segments(samples.join(F.broadcast(long.select(TRACK)), TRACK, "left_semi").withColumns({} if "track_s" in samples.columns else {"track_s": F.max(F.col("start_ms") / 1000 + n).over(Window.partitionBy(TRACK))}), target_s)
     cuts = structure.chapter_cuts(long, bounds, centres, target=target_s).unionByName(tracks.where(F.col("duration") < WHOLE_FILE_S).select(TRACK, F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("cut")))
@@ -60,6 +59,22 @@ def detect_chapters(samples: DataFrame, *, target_s: float = 330.0) -> DataFrame
     return spans.where("end_ms is not null")
 
 
+def texture_name(label: str) -> Column:
+    """A texture by its present name; what is neither is varied."""
+    return F.when(F.col(label) == "music", "driving").when(F.col(label) == "ambient", "calm").otherwise("varied")
+
+
+def classified(samples: DataFrame, chapters: DataFrame, probability=None) -> DataFrame:
+    """``chapters`` with content_type and confidence by each one's own sound, and voice_label; under a second: unlabelled."""
+    own = dsp.slices(samples, chapters.select(TRACK, F.col("chapter_idx").alias("span_idx"), F.col("at_ms").alias("start_ms"), "end_ms"))
+    key = F.struct(TRACK, "chunk_idx")
+    label = modes.content_label(dsp.textures(own).where("rms_cv is not null").withColumn(TRACK, key).drop("chunk_idx")).select(F.col(f"{TRACK}.{TRACK}").alias(TRACK), F.col(f"{TRACK}.chunk_idx").alias("chapter_idx"), texture_name("label").alias("content_type"), F.round("confidence", 3).alias("confidence"))
+    voice = voice_ratio(own, probability).select(TRACK, F.col("chunk_idx").alias("chapter_idx"), "voice_label")
+    out = chapters.withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
+    out = out.join(label, [TRACK, "chapter_idx"], "left").join(voice, [TRACK, "chapter_idx"], "left")
+    return out.withColumns({**{c: F.coalesce(c, F.lit("")) for c in ("content_type", "voice_label")}, "confidence": F.coalesce("confidence", F.lit(0.0))})
+
+
 def auto_chapter(samples: DataFrame, *, target_minutes: float = 5.5, tracker: str = "auto") -> Run:
     """Chapters, beats, stanza modes, energy per chapter, peaks and spectrograms of all tracks.
 
@@ -67,7 +82,7 @@ def auto_chapter(samples: DataFrame, *, target_minutes: float = 5.5, tracker: st
     """
     beats, chapters = analyse_beats(samples, tracker=tracker), detect_chapters(samples, target_s=target_minutes * 60)
     spans = timeline.stanzas(beats)
-    return Run(beats, chapters, modes.stanza_records(beats, spans, chapters), tempo.energy_per_chapter(beats, chapters), dsp.peaks(samples), dsp.spectrograms(samples))
+    return Run(beats, classified(samples, chapters), modes.stanza_records(beats, spans, chapters), tempo.energy_per_chapter(beats, chapters), dsp.peaks(samples), dsp.spectrograms(samples))
 
 
 def voice_ratio(samples: DataFrame, probability=None) -> DataFrame:

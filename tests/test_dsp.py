@@ -110,6 +110,65 @@ def test_structural_run(spark):
     assert len(b) > 2 and b[0].at_ms == 0 and all(x.end_ms == y.at_ms for x, y in zip(b, b[1:])) and all(r.end_ms - r.at_ms <= 180_001 for r in b)
     beats = run.beats.where("track_id = 'a'").orderBy("seq").collect()
     assert 38 <= len(beats) <= 42 and [r.seq for r in beats] == list(range(len(beats)))
+    assert {(r.voice_label, r.content_type in ("", "driving", "calm", "varied")) for r in ch} == {("", True)} and all(r.confidence > 0 for r in ch)
     assert run.stanzas.count() > 3 and run.energy.where("track_id = 'a'").first().bpm > 100
     assert composites.voice_ratio(s).first().voice_ratio == 0.0
     assert composites.voice_ratio(s, lambda block: 1.0).first().voice_label == "talk"
+
+
+def test_resampling_keeps_what_fits_and_drops_the_rest():
+    t = np.arange(44_100) / 44_100
+    low, high = (np.sin(2 * np.pi * hz * t).astype(np.float32) for hz in (440, 15_000))
+    a, b = K.resample(low, 44_100, SR), K.resample(high, 44_100, SR)
+    assert len(a) == len(b) == SR and np.abs(b[500:-500]).max() < 0.05
+    want = np.sin(2 * np.pi * 440 * np.arange(SR) / SR)
+    assert np.abs(a[500:-500] - want[500:-500]).max() < 0.02
+
+
+def test_chunks():
+    aligned = 441 * 512
+    assert plans.chunk_cuts(0, SR, 180) == [0] and plans.chunk_cuts(5 * SR, SR, 180) == [0]
+    step = 180 * SR // aligned * aligned
+    assert plans.chunk_cuts(2 * step + step // 2, SR, 180) == [0, step, 2 * step]
+    assert plans.chunk_cuts(2 * step + step // 2 - 1, SR, 180) == [0, step]  # the runt joins the one before
+
+
+def test_chunks_give_what_whole_tracks_give(spark):
+    """Levels are normalised over the track, frames and hops run on over the cuts, at any recorded rate."""
+    rng = np.random.default_rng(3)
+    y = np.concatenate([0.05 * rng.normal(size=12 * SR), np.zeros(4 * SR), 0.5 * rng.normal(size=20 * SR)]).clip(-1, 1).astype(np.float32)
+    files = spark.createDataFrame([("a", wav_bytes(y)), ("z", wav_bytes(np.zeros(12 * SR, np.float32)))], "path string, content binary")
+    whole, cut = plans.read_samples(files), plans.read_samples(files, chunk_s=11.0)
+    assert cut.where("track_id = 'a'").count() == 4
+
+    def joined(df, column, to=lambda x: x):
+        out = {}
+        for r in df.orderBy("track_id", "chunk_idx").collect():
+            out.setdefault(r.track_id, []).extend(to(r[column]))
+        return out
+
+    a, b = (joined(plans.peaks(s), "peaks") for s in (whole, cut))
+    assert a == b and len(a["a"]) == 3600 and max(a["a"]) == 1.0
+    a, b = (joined(plans.spectrograms(s, n_mels=16), "cells") for s in (whole, cut))
+    assert {k: len(v) for k, v in a.items()} == {k: len(v) for k, v in b.items()} and max(b["z"]) == 0
+    assert np.mean(np.abs(np.array(a["a"]) - np.array(b["a"])) > 1) < 0.01  # frames at the cuts see zeros beyond
+    frames = plans.frame_features(cut).where("track_id = 'a'").collect()
+    assert sorted(r.frame_idx for r in frames) == list(range(1 + len(y) // 512))
+    from chronoloom.operators import structure
+
+    # the quiet part is no silence beside its own chunk, but it is beside the track
+    (centre,) = (r.centre for r in structure.silence_islands(plans.frame_features(cut).where("track_id = 'a'")).collect())
+    assert abs(centre - 14.0) < 0.3
+
+
+def test_slices(spark):
+    y = (np.arange(20 * SR) / (20 * SR)).astype(np.float32)
+    s = plans.read_samples(spark.createDataFrame([("a", wav_bytes(y))], "path string, content binary"), chunk_s=6.0)
+    spans = spark.createDataFrame([("a", 0, 0, 5000), ("a", 1, 5000, 13_500), ("a", 2, 13_500, None), ("a", 3, 30_000, 31_000), ("b", 0, 0, 1)], "track_id string, span_idx int, start_ms long, end_ms long")
+    got = {r.chunk_idx: r for r in plans.slices(s, spans).collect()}
+    assert sorted(got) == [0, 1, 2] and sum(len(r.data) for r in got.values()) == 4 * len(y)
+    for k, (a, e) in enumerate([(0, 5 * SR), (5 * SR, int(13.5 * SR)), (int(13.5 * SR), len(y))]):
+        assert np.abs(np.frombuffer(got[k].data, "<f4") - y[a:e]).max() < 1e-3
+    assert plans.beats(s.limit(0)).count() == 0
+    short = spans.where("span_idx = 0").selectExpr("track_id", "span_idx", "start_ms", "900L as end_ms")
+    assert plans.beats(plans.slices(s, short)).count() == 0
