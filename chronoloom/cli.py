@@ -44,8 +44,11 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--tone", default="flat", choices=["flat", "rise", "fall", "auto"])
     g.add_argument("--density-arc", default="default", choices=["default", "none"])
     g.add_argument("--title", default="")
+    g.add_argument("--center-trajectory", help="two centres, as 30,70: from the first beat to the last")
+    g.add_argument("--bundle", help="folder of recipe bundles (JSON; track_id in a column of its own), one curve per chapter")
     y = sub.add_parser("chapters-to-youtube-description", help="chapters parquet (track_id, seq, at_ms, name, intent)")
     y.add_argument("chapters")
+    y.add_argument("--sources", action="store_true", help="chapters are (track_id, priority, source, chapters): the first source counts")
     m = sub.add_parser("chapters-write-sidecar", help="records parquet (track_id, ord, fields): existing, incoming")
     m.add_argument("existing")
     m.add_argument("incoming")
@@ -95,10 +98,42 @@ def plan(spark, a):
             knobs["center_trajectory"] = (30, 70) if a.tone == "rise" else (70, 30)
         elif a.tone == "auto":
             knobs["tone"] = curve.auto_tone(beats, timeline.stanzas(beats))
+        elif a.center_trajectory:
+            knobs["center_trajectory"] = tuple(int(x) for x in a.center_trajectory.split(","))
+        if a.bundle:
+            return bundle_curves(spark, beats, a.bundle)
         return documents.curve_documents(curve.generate(beats, density_arc_default=a.density_arc == "default", **knobs), title=a.title)
     if a.command == "chapters-to-youtube-description":
-        return documents.youtube_block(spark.read.parquet(a.chapters))
-    return merge.merge_records(spark.read.parquet(a.existing), spark.read.parquet(a.incoming), merge.CHAPTER, a.mode)
+        chapters = spark.read.parquet(a.chapters)
+        if a.sources:
+            from chronoloom.sources.timeline import resolve_chapters
+
+            rows = resolve_chapters(chapters).select("track_id", F.posexplode("chapters").alias("seq", "c"))
+            chapters = rows.select("track_id", "seq", "c.at_ms", "c.end_ms", "c.name", "c.intent")
+        return documents.youtube_block(chapters)
+    incoming = spark.read.parquet(a.incoming)
+    if a.mode == "edit":  # an author's chapters: later analyses leave them alone
+        latch = F.create_map(F.lit("auto_generated"), F.lit("false"))
+        incoming = incoming.withColumn("fields", F.map_concat(F.map_filter("fields", lambda k, _: k != "auto_generated"), latch))
+    return merge.merge_records(spark.read.parquet(a.existing), incoming, merge.CHAPTER, a.mode)
+
+
+def bundle_curves(spark, beats, folder):
+    """Curves of recipe bundles: ``folder`` holds parquet (track_id, doc); every chapter has its own recipe."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.operators import curve
+    from chronoloom.sources.timeline import recipe_bundles
+
+    rows = recipe_bundles(spark.read.parquet(folder)).persist()
+    if wrong := rows.where("mismatched").select("track_id").first():
+        raise ValueError(f"chapters and recipes differ in number: track {wrong.track_id}")
+    kinds = [(r.stroke_density or "half", r.tone or "") for r in rows.select("stroke_density", "tone").distinct().orderBy("stroke_density", "tone").collect()]
+    tones = {"rise": {"center_trajectory": (30, 70)}, "fall": {"center_trajectory": (70, 30)}}
+    knobs = [{"stroke_density": density, **tones.get(tone, {})} for density, tone in kinds]
+    of = F.array_position(F.array(*[F.lit("|".join(k)) for k in kinds]), F.concat_ws("|", F.coalesce("stroke_density", F.lit("half")), F.coalesce("tone", F.lit("")))) - 1
+    recipes = rows.select("track_id", "chapter_idx", of.cast("int").alias("recipe"))
+    return curve.generate_per_chapter(beats, rows.select("track_id", "chapter_idx", "at_ms", "end_ms"), knobs, recipes)
 
 
 def main(argv: list[str] | None = None) -> int:

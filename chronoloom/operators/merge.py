@@ -94,6 +94,37 @@ def normalise_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"schema": F.coalesce("schema", F.lit(SCHEMA)), "version": F.coalesce("version", F.lit("1.0"))})
 
 
+_KNOWN = ("schema", "version", "analyzer_version", "auto_generated", "generated_by", "energy", "chapters", "stanzas", "provenance")
+
+
+def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs(track_id, doc)``, JSON of any version, as (documents, records, rejects).
+
+    documents: DOCUMENT rows with defaults filled in, unknown fields as JSON in extras. records: (track_id, kind, ord,
+    fields) of chapters and stanzas, in ``normalise_records``' form; fields are text, nested ones JSON. A bare list is the
+    oldest form, a document of chapters alone. rejects: (track_id, error) for text that is no JSON object or list, and
+    for blocks of the wrong kind; they give no other rows.
+    """
+    text = F.btrim("doc", F.lit(" \t\r\n"))
+    whole = F.when(text.startswith("["), F.concat(F.lit('{"chapters":'), text, F.lit("}"))).otherwise(text)
+    top = docs.select(TRACK, F.when(text.startswith("[") | text.startswith("{"), F.from_json(whole, "map<string,string>", {"mode": "PERMISSIVE"})).alias("m"))
+    lists = [F.col("m")[k] for k in ("chapters", "stanzas", "provenance")]
+    not_list = lambda x: F.coalesce(~F.ltrim(x).startswith("["), F.lit(False))
+    error = F.when(F.col("m").isNull(), "not a JSON object or list")
+    for name, x in zip(("chapters", "stanzas", "provenance"), lists):
+        error = error.when(not_list(x), f"'{name}' must be a list")
+    error = error.when(F.coalesce(~F.ltrim(F.col("m")["energy"]).startswith("{"), F.lit(False)), "'energy' must be an object")
+    top = top.withColumn("error", error)
+    good = top.where("error is null")
+    documents = good.select(
+        TRACK, F.coalesce(F.col("m")["schema"], F.lit(SCHEMA)).alias("schema"), F.coalesce(F.col("m")["version"], F.lit("1.0")).alias("version"), F.col("m")["analyzer_version"].alias("analyzer_version"),
+        F.col("m")["auto_generated"].try_cast("boolean").alias("auto_generated"), F.col("m")["generated_by"].alias("generated_by"), F.col("m")["energy"].alias("energy"), F.map_filter("m", lambda k, _: ~k.isin(*_KNOWN)).alias("extras"),
+    )
+    kinds = F.explode(F.array(*[F.struct(F.lit(k[:-1]).alias("kind"), F.from_json(F.col("m")[k], "array<map<string,string>>").alias("list")) for k in ("chapters", "stanzas")]))
+    each = good.select(TRACK, kinds.alias("k")).select(TRACK, "k.kind", F.posexplode("k.list").alias("ord", "fields")).where("fields is not null")
+    return documents, normalise_records(each, documents), top.where("error is not null").select(TRACK, "error")
+
+
 def normalise_records(records: DataFrame, docs: DataFrame) -> DataFrame:
     """Old user-edited documents (auto_generated false at the top) latch each record that says nothing itself; tone "none" is none."""
     latched = docs.where(~F.col("auto_generated")).select(TRACK, F.lit(True).alias("__edited")).distinct()

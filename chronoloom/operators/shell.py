@@ -96,6 +96,18 @@ def cache_lookup(files: DataFrame, slots: DataFrame, *, folder: str, sr: int = 2
     return f.join(s, "slot", "left").select("media_id", "slot", F.coalesce("there", F.lit(False)).alias("hit"), F.when(F.col("there"), F.col("slot")).alias("load_path"), "damaged_after_ms")
 
 
+AUDIO = ("wav", "mp3", "flac", "ogg", "m4a", "aac", "opus")
+
+
+def load_paths(files: DataFrame, lookup: DataFrame) -> DataFrame:
+    """How each of ``files(media_id, path)`` is read: sound files as they are, others from the cache (``cache_lookup``), the
+    rest after an extraction into their slot (null: no slot, so a scratch file)."""
+    kind = F.lower(F.substring(_parts(F.col("path"))[2], 2, 20))
+    f = files.select("media_id", "path", kind.isin(*AUDIO).alias("sound")).join(lookup.select("media_id", "slot", "hit", "damaged_after_ms"), "media_id", "left")
+    how = F.when(F.col("sound"), "as is").when(F.col("hit"), "cached").otherwise("extract")
+    return f.select("media_id", how.alias("how"), F.when(F.col("sound"), F.col("path")).otherwise(F.col("slot")).alias("load_path"), F.when(~F.col("sound"), F.col("damaged_after_ms")).alias("damaged_after_ms"))
+
+
 def stale(files: DataFrame, now_s: float, max_age_s: float = 3600) -> DataFrame:
     """Files (path, modificationTime, length) older than max_age_s: how many, how many bytes."""
     old = files.where(F.unix_micros("modificationTime") / 1e6 < now_s - max_age_s)

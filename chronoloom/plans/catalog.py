@@ -668,7 +668,7 @@ def enforce_max(spark, sf_dir):
     return structure.enforce_max(_cuts(_beats(spark, sf_dir)), 2.0)
 
 
-@query()
+@query()  # its SQL: more_queries
 def chapter_cuts(spark, sf_dir):
     b = _beats(spark, sf_dir)
     tracks = timeline.durations(b).select(TRACK, (F.col("duration_ms") / 1000).alias("duration"))
@@ -874,3 +874,5 @@ def dsp_spectrograms(spark, sf_dir):
 
 QUERIES["patterns_catalog"] = lambda spark, d: shell.patterns(spark)
 _shell("detectors", "select * from (values " + ", ".join(f"('{k}', {a}::double, {b}::double, {c}::double)" for k, (a, b, c) in shell.DETECTORS.items()) + ") t(detector, threshold_default, threshold_min, threshold_max)", lambda spark, d: shell.detectors(spark))
+
+from chronoloom.plans import more_queries  # noqa: E402,F401 - adds to QUERIES and ORACLE_SQL

@@ -69,3 +69,26 @@ def write_json_atomic(path: str, value, indent: int | None = 2) -> None:
         if os.path.exists(name):
             os.unlink(name)
         raise
+
+
+def publish(staged: str, slot: str | None, meta: dict) -> str:
+    """Move a finished extraction into its cache slot and write its meta beside it; returns where to read from.
+
+    A cache that can't be written never fails a run: without a slot, or if the move fails, that is the staged file.
+    """
+    try:
+        if not slot:
+            return staged
+        os.replace(staged, slot)
+    except OSError:
+        return staged
+    try:
+        write_json_atomic(os.path.splitext(slot)[0] + ".json", meta)
+    except OSError:
+        pass  # the samples are what matters
+    return slot
+
+
+def owned_by_cache(path: str | None, folder: str) -> bool:
+    """Whether a path is a cache slot, which the sweep owns, and no scratch file of this run."""
+    return bool(path) and os.path.dirname(path) == folder.rstrip("/") and os.path.basename(path).startswith("fa-")

@@ -89,3 +89,23 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main(["generate-curve", str(tmp_path / "b"), "--tone", tone, "--title", "t"]) == 0
         doc = json.loads(json.loads(capsys.readouterr().out)["doc"])
         assert doc["metadata"]["title"] == "t" and doc["actions"]
+
+
+def test_bundles_and_sources_of_the_command_line(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, i, i * 500, 0.5) for i in range(80)], "track_id long, seq int, at_ms long, energy double").write.parquet(str(tmp_path / "b"))
+    bundle = {"chapters": [{"at_ms": 0, "end_ms": 20_000}, {"at_ms": 20_000}], "recipes": [{"stroke_density": "half", "tone": "rise"}, {"stroke_density": "8"}]}
+    spark.createDataFrame([(1, json.dumps(bundle))], "track_id long, doc string").write.parquet(str(tmp_path / "r"))
+    capsys.readouterr()
+    assert cli.main(["generate-curve", str(tmp_path / "b"), "--bundle", str(tmp_path / "r")]) == 0
+    points = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    n = [sum(p["chapter_idx"] == k for p in points) for k in (0, 1)]
+    assert n[1] > 3 * n[0] > 0
+    spark.createDataFrame([(1, json.dumps({**bundle, "recipes": []}))], "track_id long, doc string").write.parquet(str(tmp_path / "w"))
+    assert cli.main(["generate-curve", str(tmp_path / "b"), "--bundle", str(tmp_path / "w")]) == 1
+    assert cli.main(["generate-curve", str(tmp_path / "b"), "--center-trajectory", "30,70"]) == 0
+    chapter = "array<struct<at_ms:bigint,end_ms:bigint,name:string,intent:string>>"
+    rows = [(1, 1, "mp4", [(0, None, "B", ""), (20_000, None, "C", ""), (40_000, None, "D", "")]), (1, 0, "sidecar", [(0, None, "A", ""), (15_000, None, "", "talk"), (30_000, None, "", "")])]
+    spark.createDataFrame(rows, f"track_id long, priority int, source string, chapters {chapter}").write.parquet(str(tmp_path / "s"))
+    capsys.readouterr()
+    assert cli.main(["chapters-to-youtube-description", str(tmp_path / "s"), "--sources"]) == 0
+    assert json.loads(capsys.readouterr().out)["block"] == "0:00 A\n0:15 talk\n0:30 Chapter 3\n"

@@ -83,3 +83,51 @@ def test_sinks_and_loading(spark, tmp_path):
     assert [(r.width, r.height) for r in d] == [(1920, 1080), (None, None)]
     one = spark.range(1).select(sinks.omit(F.lit(True), True).alias("a"), sinks.omit(F.lit(False), True).alias("b")).first()
     assert (one.a, one.b) == (None, False)
+
+
+def test_reporter_pairs_events_and_learns(tmp_path):
+    from chronoloom.streaming.reporter import Durations, Reporter, append_to
+
+    now, events = [0.0], []
+    log = tmp_path / "log.jsonl"
+
+    def broken(_):
+        raise OSError
+
+    known = Durations(str(tmp_path / "d.json"))
+    r = Reporter(broken, events.append, append_to(str(log)), durations=known, clock=lambda: now[0])
+    r.progress(0.5)  # outside every stage: nothing
+    try:
+        with r.stage("run"):
+            now[0] = 1.0
+            with r.stage("load"):
+                now[0] = 5.0
+                r.progress(1.5 / 2, "three quarters")
+                r.message("still here")
+                r.summary("done")
+            raise KeyError
+    except KeyError:
+        pass
+    kinds = [(e["kind"], "/".join(e["stage_path"]), e["progress"], e["elapsed_s"], e["eta_s"]) for e in events]
+    assert kinds == [("start", "run", None, None, None), ("start", "run/load", None, None, None), ("progress", "run/load", 0.75, 4.0, 4.0 / 3), ("progress", "run/load", None, None, None), ("complete", "run/load", None, 4.0, None), ("complete", "run", None, 5.0, None)]
+    assert events[4]["summary"] == "done" and events[5]["summary"] is None and events[3]["message"] == "still here"
+    assert len(log.read_text().splitlines()) == 6
+    known.save()
+    again = Durations(str(tmp_path / "d.json"))
+    assert again.left("run/load") == 4.0 and again.left("run/load", 0.5) == 2.0
+    again.learn("run/load", 14.0)
+    assert abs(again.left("run/load") - 7.0) < 1e-9
+    (tmp_path / "d.json").write_text("{broken")
+    assert Durations(str(tmp_path / "d.json")).left("run") is None
+
+
+def test_publish_never_fails_a_run(tmp_path):
+    from chronoloom.sources import sinks
+
+    staged, slot = tmp_path / "x.wav", tmp_path / "fa-1.wav"
+    staged.write_bytes(b"abc")
+    assert sinks.publish(str(staged), str(slot), {"damaged_after_ms": None}) == str(slot)
+    assert slot.read_bytes() == b"abc" and not staged.exists() and (tmp_path / "fa-1.json").exists()
+    assert sinks.owned_by_cache(str(slot), str(tmp_path)) and not sinks.owned_by_cache(str(staged), str(tmp_path)) and not sinks.owned_by_cache(None, str(tmp_path))
+    staged.write_bytes(b"abc")
+    assert sinks.publish(str(staged), None, {}) == str(staged) == sinks.publish(str(staged), str(tmp_path / "no" / "fa-2.wav"), {})
