@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be megabytes long, so batches stay short.
 ARROW_ROWS = "512"
-#: Rows up to which a counted side may be broadcast: about 50 MB as a hash table of keys and places.
-BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a set join with prefix filters, which lose nothing."""
+"""Near-duplicates at a similarity of word shingles: SimHash by multi-index hashing first, then what its radius can't see.
+
+Texts at 0.8 differ in some ten of 64 bits, so a small Hamming ball finds the closest copies only, and a ball that covers
+0.8 has no selective segments. What the fingerprints link (verified by the sets themselves) is one component from then on;
+a set join with prefix filters, which lose nothing, finds every other pair.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_ROWS, WordHashes, batch, map_batches, materialize, shingle_hashes
+from . import simhash
+from .base import WordHashes, batch, join_hot, map_batches, materialize, shingle_hashes
 from .simhash import _UPPER, components, name_members, one_of_each
 
 SHINGLE = 5
@@ -19,7 +25,7 @@ PART, WHOLE = 4, 5
 #: One text in SAMPLE is counted to find common shingles; they go last in the order, which affects time only.
 SAMPLE, COMMON, MOST_COMMON = 64, 8, 100_000
 
-_FP = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_FP = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sim", pa.int64())])
 _SET = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 _TOKEN = pa.schema([("token", pa.int64())])
 
@@ -33,6 +39,14 @@ def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
+def _fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 16):  # blocks bound the unpacked bits of a very long text
+        counts += np.unpackbits(own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own)).view(np.int64)[0])
+
+
 def _common(docs: DataFrame, sample: int, common: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sampled texts have, by value, and their counts."""
 
@@ -49,24 +63,25 @@ def _common(docs: DataFrame, sample: int, common: int) -> tuple[np.ndarray, np.n
 
 
 def _prefixes(docs: DataFrame, sample: int, common: int) -> DataFrame:
-    """(doc_id, tie, fp, size, prefix) of each row: fp names its set of shingles, prefix are the set's first in order."""
+    """(doc_id, tie, fp, size, prefix, sim) of each row: fp names its set of shingles, prefix are the set's first in order."""
     values, counts = _common(docs, sample, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, prefixes, sims = [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingle_set(t, hashes)
                 fps.append(_set_id(own))
                 sizes.append(len(own))
+                sims.append(_fingerprint(own))
                 if len(values):
                     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                     own = own[np.argsort(np.where(values[at] == own, counts[at], 0), kind="stable")]
                 prefixes.append(own[: len(own) * (WHOLE - PART) // WHOLE + 1])
-            yield batch(_FP, {"doc_id": b.column(0), "tie": b.column(2), "fp": fps, "size": sizes, "prefix": prefixes})
+            yield batch(_FP, {"doc_id": b.column(0), "tie": b.column(2), "fp": fps, "size": sizes, "prefix": prefixes, "sim": sims})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")), run, "doc_id long, tie long, fp long, size long, prefix array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")), run, "doc_id long, tie long, fp long, size long, prefix array<long>, sim long")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
@@ -80,7 +95,7 @@ def _possible(pairs: DataFrame) -> DataFrame:
     return met.where((PART + WHOLE) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= PART * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     """Those ``pairs(a, b)`` whose sets reach 0.8; sets are made again from the texts of these pairs alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +107,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFra
     pairs = materialize(pairs, "possible-pairs")
     if pairs.isEmpty():
         return pairs
-    ties = materialize(distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("own.tie"), "possible-texts")
-    if ties.count() <= BROADCAST_ROWS:
-        ties = F.broadcast(ties)
-    texts = docs.select("text", F.xxhash64("text").alias("tie")).join(ties, "tie", "left_semi").select("text")
+    ties = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").groupBy("own.tie").agg(F.sum("n").alias("n"))
+    texts = join_hot(docs.select("text", F.xxhash64("text").alias("tie")), materialize(ties, "possible-texts"), "tie", "n", total).select("text")
     sets = materialize(map_batches(texts, run, "fp long, shingles array<long>").dropDuplicates(["fp"]), "possible-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -106,33 +119,46 @@ def _alike(n: Column, m: Column) -> Column:
     return WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``distinct(fp, own)`` with a similarity of 0.8 or more, enough of them to connect all that such pairs connect.
+def _by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHash fingerprints are equal or within two bits: each through its fingerprint's first."""
+    sims = distinct.select("fp", F.col("own.size").alias("size"), F.col("own.sim").alias("sim"))
+    first = materialize(sims.groupBy("sim").agg(F.min(F.struct("fp", "size")).alias("one"), F.count("*").alias("n")), "fingerprints")
+    same = sims.join(first.where("n > 1"), "sim").where("fp <> one.fp").select(F.col("one.fp").alias("a"), F.col("fp").alias("b"), F.col("one.size").alias("na"), F.col("size").alias("nb"))
+    met = simhash.links(first.select(F.col("sim").alias("fp")))
+    a, b = first.select(F.col("sim").alias("a"), F.col("one").alias("x")), first.select(F.col("sim").alias("b"), F.col("one").alias("y"))
+    near = met.join(a, "a").join(b, "b").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb"))
+    return same.unionByName(near).where(_alike(F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of ``distinct(fp, own, n)`` with a similarity of 0.8 or more, enough of them to connect all that such pairs connect.
 
-    Two such sets share one of their first |set| / 5 + 1 shingles in any common order. First each set meets the least
-    of each of its prefix's shingles (stars); then all pairs that share one, but for those that stars have connected:
-    a large cluster of near copies doesn't make all its pairs.
+    First what the fingerprints link. Then: two such sets share one of their first |set| / 5 + 1 shingles in any common
+    order, so each set meets the least of each of its prefix's shingles (stars); then all pairs that share one, but for
+    those already connected: a large cluster of near copies doesn't make all its pairs.
     """
-    rows = materialize(distinct.select("fp", "own.size", F.explode("own.prefix").alias("token")), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.struct("fp", "size")).alias("least")).where("lo <> hi").select("token", "least")
+    near = _verified(_by_fingerprint(distinct), docs, distinct, total)
+    rooted = lambda df, edges: df.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialize(rooted(distinct.select("fp", "own.size", "own.prefix"), near).select("fp", "size", "root", F.explode("prefix").alias("token")), "prefixes")
+    shared = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("fp", "size", "root")).alias("least")).where("lo <> hi").select("token", "least")
     met = materialize(rows.join(shared, "token"), "shared-prefixes")
-    stars = met.where("least.fp <> fp").select(F.col("least.fp").alias("a"), F.col("fp").alias("b"), F.col("least.size").alias("na"), F.col("size").alias("nb"))
-    first = _verified(_possible(stars.where(_alike(F.col("na"), F.col("nb")))), docs, distinct)
-    root = components(first).withColumnRenamed("node", "fp")
-    left = met.select("token", "fp", "size").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stars = met.where("least.root <> root").select(F.col("least.fp").alias("a"), F.col("fp").alias("b"), F.col("least.size").alias("na"), F.col("size").alias("nb"))
+    first = near.unionByName(_verified(_possible(stars.where(_alike(F.col("na"), F.col("nb")))), docs, distinct, total))
+    left = rooted(met.select("token", "fp", "size"), first)
     several = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     left = materialize(left.join(several, "token", "left_semi"), "unconnected")
-    a, b = left.toDF("token", "a", "na", "ra"), left.toDF("token", "b", "nb", "rb")
+    a, b = left.select("token", F.col("fp").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra")), left.select("token", F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     rest = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(F.col("na"), F.col("nb")))
-    return first.unionByName(_verified(_possible(rest), docs, distinct))
+    return first.unionByName(_verified(_possible(rest), docs, distinct, total))
 
 
 def keep_one(docs: DataFrame, *, sample: int = SAMPLE, common: int = COMMON) -> DataFrame:
     """One document of each component of near-duplicates, with all its columns; which one: as ``simhash.keep_one``.
 
     Linked: a Jaccard similarity of 0.8 or more of the sets of five-word shingles (by 64-bit hashes). A text of fewer
-    words is one shingle; null and wordless texts are equal to each other.
+    words is one shingle; null and wordless texts are equal to each other. Very long texts are taken whole; other columns
+    pass, whatever their names. Empty table: no rows.
     """
     fps = materialize(_prefixes(docs, sample, common), "shingle-prefixes")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("tie", "size", "prefix")).alias("own")), "distinct-sets")
-    return one_of_each(docs, name_members(fps.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), links(docs, distinct)))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("tie", "size", "prefix", "sim")).alias("own")), "distinct-sets")
+    return one_of_each(docs, name_members(fps.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), links(docs, distinct, fps.count())))

@@ -2,7 +2,10 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from chronoloom.llm import neardup, simhash
+from chronoloom.llm.base import WordHashes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -60,6 +63,19 @@ def test_loses_nothing(spark):
         assert sorted(r.doc_id for r in got.collect()) == expected
 
 
+def test_fingerprints_alone_link_close_copies(spark):
+    """Two long texts but for a word: within two bits, and joined through their fingerprints; the verdict is the sets'."""
+    base = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(reversed(base))]
+    rows = [neardup.shingle_set(t, WordHashes()) for t in texts]
+    assert (neardup._fingerprint(rows[0]) ^ neardup._fingerprint(rows[1])).bit_count() <= 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = neardup._prefixes(docs, 64, 8)
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("tie", "size", "prefix", "sim")).alias("own"))
+    names = {r.fp: r["first"] for r in distinct.collect()}
+    assert {frozenset((names[r.a], names[r.b])) for r in neardup._by_fingerprint(distinct).collect()} == {frozenset((0, 1))}
+
+
 def test_stage_links_beyond_two_bits(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:30], "other", *base[31:]])), (3, " ".join(f"v{i}" for i in range(60)))]
