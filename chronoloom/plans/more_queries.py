@@ -191,7 +191,7 @@ def _decodes(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "decode_reports",
     """select l_orderkey, l_linenumber, case when l_linenumber % 3 <> 0 then us end as out_us, case when rc <> 0 and us >= 30000000 and us / 1e6 - 8 > 1 then us / 1e6 - 8 end as salvage_to,
-        case when source_ms > 0 and us / 1000 < source_ms * 0.98e0 and source_ms - us / 1000 >= 5000 then 'decoded ' || us // 1000 || ' of ' || source_ms || ' ms' end as warning, case when l_linenumber <> 1 and us // 50000 >= 10 then cast(us // 50000 as int) end as width, case when l_linenumber <> 1 and us // 50000 >= 10 then 720 end as height
+        case when source_ms > 0 and us / 1000 < source_ms * 0.98e0 and source_ms - us / 1000 >= 5000 then 'decoded ' || us // 1000 || ' of ' || source_ms || ' ms' end as warning, case when l_linenumber <> 1 and us // 50000 >= 100 then cast(us // 50000 as int) end as width, case when l_linenumber <> 1 and us // 50000 >= 100 then 720 end as height
     from (select l_orderkey, l_linenumber, cast(l_quantity * 2000000 as bigint) as us, l_suppkey % 3 as rc, l_partkey % 100 * 1000 as source_ms from lineitem)""",
     _decodes,
 )

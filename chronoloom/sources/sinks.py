@@ -44,9 +44,14 @@ def peak_documents(peaks: DataFrame, by: str = "chronoloom") -> DataFrame:
     return p.select(TRACK, F.to_json(F.struct(F.lit("1.1").alias("version"), "hop_ms", F.rint(F.size("peaks") * F.col("hop_ms")).cast("long").alias("duration_ms"), "peaks", F.size("peaks").alias("peak_count"), F.lit(by).alias("generated_by"))).alias("doc"))
 
 
-def spectrogram_documents(spectrograms: DataFrame) -> DataFrame:
-    """One document per chunk: cells as base64, with their exact hop."""
-    return spectrograms.select(TRACK, "chunk_idx", F.to_json(F.struct(F.lit("1.2").alias("version"), "hop_ms", "hop_us", "n_mels", "n_frames", F.rint(F.col("n_frames") * F.col("hop_us") / 1000).cast("long").alias("duration_ms"), "cells_b64")).alias("doc"))
+def spectrogram_documents(spectrograms: DataFrame, fmax: float = 8000.0, floor: float = -80.0, ceiling: float = 0.0, by: str = "chronoloom") -> DataFrame:
+    """One document per track: its chunks' cells in order, as base64, with their exact hop and levels."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_idx", "n_frames", "cells")))
+    g = spectrograms.groupBy(TRACK, "n_mels", "hop_us", "hop_ms").agg(parts.alias("p"))
+    g = g.select("*", F.aggregate("p", F.lit(0), lambda n, x: n + x["n_frames"]).alias("n_frames"), F.base64(F.aggregate("p", F.lit(b""), lambda c, x: F.concat(c, x["cells"]))).alias("cells_b64"))
+    duration = F.rint(F.col("n_frames") * F.col("hop_us") / 1000).cast("long").alias("duration_ms")
+    levels = [F.lit(float(v)).alias(k) for k, v in (("fmax", fmax), ("db_floor", floor), ("db_ceiling", ceiling))]
+    return g.select(TRACK, F.to_json(F.struct(F.lit("1.2").alias("version"), "hop_ms", "hop_us", "n_mels", "n_frames", duration, *levels, "cells_b64", F.lit(by).alias("generated_by"))).alias("doc"))
 
 
 def latest(documents: DataFrame, version: str) -> DataFrame:

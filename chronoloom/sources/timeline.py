@@ -121,5 +121,5 @@ def load_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def probe_dimensions(lines: DataFrame) -> DataFrame:
     """Width and height from a probe's text (column line), null where it names none."""
-    size = lambda i: F.regexp_extract("line", r"Video:.*?\b(\d{2,5})x(\d{2,5})\b", i).try_cast("int")
+    size = lambda i: F.regexp_extract("line", r"Video:[^\n]*?\b(\d{3,5})x(\d{3,5})\b", i).try_cast("int")
     return lines.select("*", size(1).alias("width"), size(2).alias("height"))

@@ -1,5 +1,6 @@
 """Documents: spellings, forms, bundles, top-level merge."""
 
+import base64
 import json
 
 from chronoloom.operators import merge
@@ -131,3 +132,21 @@ def test_publish_never_fails_a_run(tmp_path):
     assert sinks.owned_by_cache(str(slot), str(tmp_path)) and not sinks.owned_by_cache(str(staged), str(tmp_path)) and not sinks.owned_by_cache(None, str(tmp_path))
     staged.write_bytes(b"abc")
     assert sinks.publish(str(staged), None, {}) == str(staged) == sinks.publish(str(staged), str(tmp_path / "no" / "fa-2.wav"), {})
+
+
+def test_sidecar_documents(spark):
+    """Peaks, spectrograms and stanzas as documents, read again as plain JSON."""
+    from chronoloom.sources import sinks
+
+    peaks = spark.createDataFrame([("a", 1, 10.0, [0.5]), ("a", 0, 10.0, [1.0, 0.25]), ("b", 0, 10.0, [])], "track_id string, chunk_idx int, hop_ms double, peaks array<double>")
+    got = {r.track_id: json.loads(r.doc) for r in sinks.peak_documents(peaks).collect()}
+    assert got["a"]["peaks"] == [1.0, 0.25, 0.5] and (got["a"]["peak_count"], got["a"]["duration_ms"], got["a"]["version"]) == (3, 30, "1.1")
+    assert got["b"]["peaks"] == [] and got["b"]["duration_ms"] == 0
+    schema = "track_id string, chunk_idx int, n_mels int, n_frames int, hop_us long, hop_ms long, cells binary"
+    cells = spark.createDataFrame([("a", 1, 2, 3, 23220, 23, bytearray(range(80, 86))), ("a", 0, 2, 40, 23220, 23, bytearray(range(80)))], schema)
+    doc = json.loads(sinks.spectrogram_documents(cells).first().doc)
+    assert base64.b64decode(doc["cells_b64"]) == bytes(range(86)) and (doc["hop_us"], doc["n_mels"], doc["n_frames"], doc["duration_ms"], doc["version"]) == (23220, 2, 43, 998, "1.2")
+    assert (doc["fmax"], doc["db_floor"], doc["db_ceiling"]) == (8000.0, -80.0, 0.0)
+    stanza = spark.createDataFrame([(0, 5, 9, "slow", "", "rise", True), (1, 9, 12, "fast", "x", "", False)], "chapter_idx int, at_ms long, end_ms long, mode string, source string, tone string, auto_generated boolean")
+    texts = [json.loads(r.t) for r in stanza.select(sinks.stanza_text().alias("t")).collect()]
+    assert texts == [{"chapter_idx": 0, "at_ms": 5, "end_ms": 9, "mode": "slow", "tone": "rise"}, {"chapter_idx": 1, "at_ms": 9, "end_ms": 12, "mode": "fast", "source": "x", "auto_generated": False}]
