@@ -41,12 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner then clears it
             return
 
@@ -78,7 +81,15 @@ def write(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    return write(df, new_path(df.sparkSession, tag))
+    path = new_path(df.sparkSession, tag)
+    out = write(df, path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once all that was made of it is written itself."""
+    _delete(df.sparkSession, df.stored_path)
 
 
 #: A key with more than one in so many of all rows is hot; there are at most as many hot keys, whatever the table's size.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .base import WordHashes, batch, join_hot, map_batches, materialize, shingle_hashes
+from .base import WordHashes, batch, discard, join_hot, map_batches, materialize, shingle_hashes
 from .simhash import _UPPER, components, name_members, one_of_each
 
 SHINGLE = 5
@@ -140,13 +140,18 @@ def links(docs: DataFrame, distinct: DataFrame, total: int) -> DataFrame:
     near = _verified(_by_fingerprint(distinct), docs, distinct, total)
     rooted = lambda df, edges: df.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rows = materialize(rooted(distinct.select("fp", "own.size", "own.prefix"), near).select("fp", "size", "root", F.explode("prefix").alias("token")), "prefixes")
-    shared = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("fp", "size", "root")).alias("least")).where("lo <> hi").select("token", "least")
-    met = materialize(rows.join(shared, "token"), "shared-prefixes")
+    # which tokens join several components is learnt first, on two longs a row; few rows are left for the rest
+    spread = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    some = materialize(rows.join(materialize(spread, "spread-tokens"), "token", "left_semi"), "spread-prefixes")
+    discard(rows)
+    met = materialize(some.join(some.groupBy("token").agg(F.min(F.struct("fp", "size", "root")).alias("least")), "token"), "shared-prefixes")
+    discard(some)
     stars = met.where("least.root <> root").select(F.col("least.fp").alias("a"), F.col("fp").alias("b"), F.col("least.size").alias("na"), F.col("size").alias("nb"))
     first = near.unionByName(_verified(_possible(stars.where(_alike(F.col("na"), F.col("nb")))), docs, distinct, total))
     left = rooted(met.select("token", "fp", "size"), first)
     several = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     left = materialize(left.join(several, "token", "left_semi"), "unconnected")
+    discard(met)
     a, b = left.select("token", F.col("fp").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra")), left.select("token", F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     rest = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(F.col("na"), F.col("nb")))
     return first.unionByName(_verified(_possible(rest), docs, distinct, total))
@@ -161,4 +166,6 @@ def keep_one(docs: DataFrame, *, sample: int = SAMPLE, common: int = COMMON) ->
     """
     fps = materialize(_prefixes(docs, sample, common), "shingle-prefixes")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("tie", "size", "prefix", "sim")).alias("own")), "distinct-sets")
-    return one_of_each(docs, name_members(fps.select("doc_id", "tie", "fp"), distinct.select("fp", "first", "n"), links(docs, distinct, fps.count())))
+    members = materialize(fps.select("doc_id", "tie", "fp"), "set-members")
+    discard(fps)
+    return one_of_each(docs, name_members(members, distinct.select("fp", "first", "n"), links(docs, distinct, members.count())))
