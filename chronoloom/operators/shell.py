@@ -140,19 +140,23 @@ def frame_rate(text: Column) -> Column:
 PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,pix_fmt:string,profile:string,width:int,color_transfer:string,color_primaries:string,avg_frame_rate:string,r_frame_rate:string>>>"
 
 
-def direct_play(probes: DataFrame) -> DataFrame:
-    """Whether each of ``probes(media_id, probe)`` plays as it is, by the JSON of its streams; no clips are needed then.
+def first_video(probe: Column) -> Column:
+    """The first video stream of a probe's JSON, as a struct; null if there is none or the text can't be read."""
+    return F.get(F.filter(F.from_json(probe, PROBE)["streams"], lambda s: s["codec_type"] == "video"), 0)
 
-    The first video stream counts: H.264 of 8 bits with 4:2:0 colours (an unnamed pixel format passes), no 10-bit, 422 or
-    444 profile, not wider than DIRECT_PLAY_WIDTH (an unknown width passes), no high dynamic range, a constant frame
-    rate. No video, or a probe that can't be read: no.
+
+def direct_play(media: DataFrame) -> DataFrame:
+    """Whether each of ``media(media_id, video)`` plays as it is; no clips are needed then. video: see ``first_video``.
+
+    H.264 of 8 bits with 4:2:0 colours (an unnamed pixel format passes), no 10-bit, 422 or 444 profile, not wider than
+    DIRECT_PLAY_WIDTH (an unknown width passes), no high dynamic range, a constant frame rate. No video: no.
     """
-    v = F.get(F.filter(F.from_json("probe", PROBE)["streams"], lambda s: s["codec_type"] == "video"), 0)
+    v = F.col("video")
     low = lambda name: F.coalesce(F.lower(v[name]), F.lit(""))
     cfr = constant_rate(frame_rate(v["r_frame_rate"]), frame_rate(v["avg_frame_rate"]))
-    plain = (low("codec_name") == "h264") & low("pix_fmt").isin("", "yuv420p") & ~low("profile").rlike("10|422|444") & (F.coalesce(v["width"], F.lit(0)) <= DIRECT_PLAY_WIDTH)
+    plain = (low("codec_name") == "h264") & low("pix_fmt").isin("", "yuv420p") & ~(low("profile").contains("10") | low("profile").contains("422") | low("profile").contains("444")) & (F.coalesce(v["width"], F.lit(0)) <= DIRECT_PLAY_WIDTH)
     hdr = low("color_transfer").isin("smpte2084", "arib-std-b67") | (low("color_primaries") == "bt2020")
-    return probes.select("media_id", cfr.alias("cfr"), F.coalesce(plain & ~hdr & cfr, F.lit(False)).alias("direct"))
+    return media.select("media_id", cfr.alias("cfr"), F.coalesce(plain & ~hdr & cfr, F.lit(False)).alias("direct"))
 
 
 def coverage_shortfall(decoded_ms: Column, source_ms: Column, tolerance: float = 0.02, min_gap_ms: int = 5000) -> Column:

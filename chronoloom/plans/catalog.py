@@ -809,15 +809,12 @@ STREAM = {
 }
 
 
-def _probe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe's JSON per line item: sound, then a video stream, then another; some have sound only, or are cut off."""
-    fields = [F.expr(v).alias(k) for k, v in STREAM.items()]
-    stream = lambda kind, *own: F.to_json(F.struct(F.lit(kind).alias("codec_type"), *own))
-    sound, video, cover = stream("audio", F.lit("aac").alias("codec_name")), stream("video", *fields), stream("video", F.lit("mjpeg").alias("codec_name"))
-    doc = F.when((F.col("l_linenumber") == 5) & (F.col("l_orderkey") % 2 == 1), F.concat(F.lit('{"streams":['), sound, F.lit("]}"))).otherwise(F.concat(F.lit('{"streams":['), sound, F.lit(","), video, F.lit(","), cover, F.lit("]}")))
-    doc = F.when(F.col("l_partkey") % 97 == 0, F.left(doc, F.lit(20))).otherwise(doc)
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as recordings and their video streams; some have none."""
+    video = F.struct(*[F.expr(v).alias(k) for k, v in STREAM.items()])
+    there = (F.col("l_partkey") % 97 != 0) & ~((F.col("l_linenumber") == 5) & (F.col("l_orderkey") % 2 == 1))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.select(F.struct("l_orderkey", "l_linenumber").alias("media_id"), doc.alias("probe"))
+    return lines.select(F.struct("l_orderkey", "l_linenumber").alias("media_id"), F.when(there, video).alias("video"))
 
 
 _shell(
@@ -826,7 +823,7 @@ _shell(
         and coalesce(width, 0) <= 2560 and lower(color_transfer) not in ('smpte2084', 'arib-std-b67') and coalesce(color_primaries, '') <> 'bt2020' as direct
     from (select *, there and avg_frame_rate <> '0/0' and r_frame_rate = '30/1' and abs(30000e0 / try_cast(split_part(avg_frame_rate, '/', 2) as double) - 30e0) <= 0.01e0 * 30e0 as cfr from (
         select *, l_partkey % 97 <> 0 and not (l_linenumber = 5 and l_orderkey % 2 = 1) as there from (select *, {", ".join(f"{v} as {k}" for k, v in STREAM.items())} from lineitem)))""",
-    lambda spark, d: shell.direct_play(_probe_documents(spark, d)).select("media_id.*", "cfr", "direct"),
+    lambda spark, d: shell.direct_play(_probed(spark, d)).select("media_id.*", "cfr", "direct"),
 )
 
 

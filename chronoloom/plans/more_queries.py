@@ -195,3 +195,22 @@ _add(
     from (select l_orderkey, l_linenumber, cast(l_quantity * 2000000 as bigint) as us, l_suppkey % 3 as rc, l_partkey % 100 * 1000 as source_ms from lineitem)""",
     _decodes,
 )
+
+
+def _probe_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of parts: sound, a video stream, a cover picture; some have sound only, some are cut off."""
+    stream = lambda kind, *own: F.to_json(F.struct(F.lit(kind).alias("codec_type"), *own))
+    codec = F.when(F.col("p_size") % 4 == 0, "hevc").otherwise("H264").alias("codec_name")
+    video = stream("video", codec, (F.col("p_size") * 64).alias("width"), F.lit("30/1").alias("r_frame_rate"), F.when(F.col("p_size") % 5 == 0, "2080658801/99461181").otherwise("30000/1001").alias("avg_frame_rate"))
+    parts = [F.lit('{"streams":['), stream("audio", F.lit("aac").alias("codec_name"))]
+    doc = F.when(F.col("p_size") % 7 == 0, F.concat(*parts, F.lit("]}"))).otherwise(F.concat(*parts, F.lit(","), video, F.lit(","), stream("video", F.lit("mjpeg").alias("codec_name")), F.lit("]}")))
+    doc = F.when(F.col("p_size") % 11 == 0, F.left(doc, F.lit(25))).otherwise(doc)
+    media = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("media_id"), doc.alias("probe"))
+    return shell.direct_play(media.select("media_id", shell.first_video(F.col("probe")).alias("video")))
+
+
+_add(
+    "direct_play_probes",
+    "select p_partkey as media_id, there and p_size % 5 <> 0 as cfr, there and p_size % 5 <> 0 and p_size % 4 <> 0 and p_size * 64 <= 2560 as direct from (select *, p_size % 7 <> 0 and p_size % 11 <> 0 as there from part)",
+    _probe_texts,
+)

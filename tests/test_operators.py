@@ -293,7 +293,7 @@ def test_direct_play(spark):
     sound = {"codec_type": "audio", "codec_name": "aac"}
     rows = [(i, json.dumps({"streams": [sound, {**good, **c}, {**good, "codec_name": "mjpeg"}]})) for i, (c, _) in enumerate(changes)]
     rows += [(100, json.dumps({"streams": [sound]})), (101, "{}"), (102, rows[0][1][:40]), (103, None), (104, "")]
-    got = {r.media_id: r.direct for r in shell.direct_play(spark.createDataFrame(rows, "media_id long, probe string")).collect()}
+    got = {r.media_id: r.direct for r in shell.direct_play(spark.createDataFrame(rows, "media_id long, probe string").select("media_id", shell.first_video(F.col("probe")).alias("video"))).collect()}
     assert got == {**{i: ok for i, (_, ok) in enumerate(changes)}, **dict.fromkeys(range(100, 105), False)}
 
 
