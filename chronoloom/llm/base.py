@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,40 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
+_REMEMBERED: dict[Hashable, object] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], object]) -> object:
+    """What this process keeps from task to task under ``key``, one thing at a time: Spark's workers live through all of a
+    job's stages, and what an earlier stage has learnt goes when another one's is asked for."""
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """Let go of what is remembered, and give memory that is free back to the system: an idle worker keeps it otherwise."""
+    _REMEMBERED.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # glibc only
+        pass
+
+
+def forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks that leave nothing behind in their worker, and begin without what others have left."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return task
+
+
 class WordHashes(dict):
     """Word -> its XXH64 as 8 little-endian bytes; forgets all when it holds too many."""
 

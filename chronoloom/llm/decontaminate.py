@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordHashes, batch, map_batches, shingle_hashes, words_of
+from .base import WordHashes, batch, forgetting, map_batches, shingle_hashes, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -154,7 +154,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, size: int = SHINGLE, containm
                 if found:
                     yield batch(_OUT, dict(zip(_OUT.names, map(list, zip(*found)))))
 
-        part = map_batches(rows, run, OUT)
+        part = map_batches(rows, forgetting(run), OUT)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("item_id", "doc_id").agg(F.max("containment").alias("containment"))
 
@@ -171,5 +171,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, size: int = SHIN
                 split = [words(t) for t in b.column(text).to_pylist()]
                 yield b.filter(pa.array([not index.search(w, hashes.array(w)) for w in split], pa.bool_()))
 
-        docs = map_batches(docs, run, docs.schema)
+        docs = map_batches(docs, forgetting(run), docs.schema)
     return docs

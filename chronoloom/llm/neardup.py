@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .base import WordHashes, batch, discard, join_hot, map_batches, materialize, shingle_hashes
+from .base import WordHashes, batch, discard, forgetting, join_hot, map_batches, materialize, shingle_hashes
 from .simhash import _UPPER, components, name_members, one_of_each
 
 SHINGLE = 5
@@ -57,7 +57,7 @@ def _common(docs: DataFrame, sample: int, common: int) -> tuple[np.ndarray, np.n
                 yield batch(_TOKEN, {"token": shingle_set(t, hashes)})
 
     some = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(sample)) == 0).select("text").distinct()
-    counted = map_batches(some, run, "token long").groupBy("token").count().where(F.col("count") >= common)
+    counted = map_batches(some, forgetting(run), "token long").groupBy("token").count().where(F.col("count") >= common)
     rows = sorted((r[0], r[1]) for r in counted.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
@@ -81,7 +81,7 @@ def _prefixes(docs: DataFrame, sample: int, common: int) -> DataFrame:
                 prefixes.append(own[: len(own) * (WHOLE - PART) // WHOLE + 1])
             yield batch(_FP, {"doc_id": b.column(0), "tie": b.column(2), "fp": fps, "size": sizes, "prefix": prefixes, "sim": sims})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")), run, "doc_id long, tie long, fp long, size long, prefix array<long>, sim long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")), forgetting(run), "doc_id long, tie long, fp long, size long, prefix array<long>, sim long")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, total: int
         return pairs
     ties = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").groupBy("own.tie").agg(F.sum("n").alias("n"))
     texts = join_hot(docs.select("text", F.xxhash64("text").alias("tie")), materialize(ties, "possible-texts"), "tie", "n", total).select("text")
-    sets = materialize(map_batches(texts, run, "fp long, shingles array<long>").dropDuplicates(["fp"]), "possible-sets")
+    sets = materialize(map_batches(texts, forgetting(run), "fp long, shingles array<long>").dropDuplicates(["fp"]), "possible-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return materialize(both.where((PART + WHOLE) * shared >= PART * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-pairs")

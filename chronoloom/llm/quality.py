@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WordHashes, batch, map_batches, materialize
+from .base import WordHashes, batch, forgetting, map_batches, materialize, remembered
 
 BITS = 20
 #: Labelled rows that a model is fitted on at most; which ones depends on their ids' hashes alone.
@@ -21,13 +22,12 @@ MOST_ROWS = 20_000
 MOST_CHARS = 256_000_000
 ACCEPT = 0.7
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
-_SEEN = WordHashes(seed=7)
 
 
 def features(text: str | None) -> np.ndarray:
     """Places (with repeats) of the text's word 1- and 2-grams among 2**BITS; words and runs of signs, lower-cased."""
     words = _TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    h = _SEEN.array(words)
+    h = remembered("quality", lambda: WordHashes(seed=7)).array(words)
     if not len(h):
         return np.zeros(0, np.int64)
     two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
@@ -56,19 +56,24 @@ class Model:
 def train(rows: Iterable[tuple[str | None, int]], *, updates: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.0005, seed: int = 5) -> Model:
     """Per-coordinate FTRL-proximal over the rows, in a fixed shuffled order, in 1 to 20 passes that make ``updates`` updates.
 
-    Texts are let go as they are read; places and values take 8 bytes a feature.
+    Texts are let go as they are read; places and values take 8 bytes a feature, in three arrays that go as a whole.
     """
     n = np.zeros(1 << BITS)
     z = np.zeros(1 << BITS)
     bias_n = bias_z = bias = 0.0
-    prepared = []
+    places, values, ends, wanted = array("i"), array("f"), array("q", [0]), []
     for text, y in rows:
         at, counts = np.unique(features(text), return_counts=True)
-        prepared.append((at.astype(np.int32), (Model.SCALE * counts / max(1, counts.sum())).astype(np.float32), y))
+        places.frombytes(at.astype(np.int32).tobytes())
+        values.frombytes((Model.SCALE * counts / max(1, counts.sum())).astype(np.float32).tobytes())
+        ends.append(len(places))
+        wanted.append(y)
+    places, values = np.frombuffer(places, np.int32), np.frombuffer(values, np.float32)
     order = np.random.default_rng(seed)
-    for _ in range(max(1, min(20, round(updates / max(1, len(prepared)))))):
-        for i in order.permutation(len(prepared)):
-            at, x, y = prepared[i]
+    for _ in range(max(1, min(20, round(updates / max(1, len(wanted)))))):
+        for i in order.permutation(len(wanted)):
+            own = slice(ends[i], ends[i + 1])
+            at, x, y = places[own], values[own], wanted[i]
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, most_
             at = np.flatnonzero(model.weights)
             yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([model.weights[at].astype("<f4").tobytes()], pa.binary())], names=["bias", "at", "weights"])
 
-    got = map_batches(ordered, run, "bias double, at binary, weights binary").collect()
+    got = map_batches(ordered, forgetting(run), "bias double, at binary, weights binary").collect()
     weights = np.zeros(1 << BITS, np.float32)
     for r in got:
         weights[np.frombuffer(bytes(r["at"]), "<i4")] = np.frombuffer(bytes(r["weights"]), "<f4")
@@ -147,7 +152,7 @@ def score(docs: DataFrame, model: Model, *, accept: float = ACCEPT) -> DataFrame
             yield batch(_OUT, {"doc_id": b.column(0), "held_out": b.column(2), "score": scores, "predicted": [int(s >= accept) for s in scores]})
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 4 == 2, F.lit(False))
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")), run, OUT)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")), forgetting(run), OUT)
 
 
 def keep_good(docs: DataFrame, model: Model, *, accept: float = ACCEPT) -> DataFrame:
@@ -159,4 +164,4 @@ def keep_good(docs: DataFrame, model: Model, *, accept: float = ACCEPT) -> DataF
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) >= accept for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, forgetting(run), docs.schema)

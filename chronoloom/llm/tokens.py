@@ -6,6 +6,8 @@ import os
 import re
 from array import array
 
+from .base import remembered
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
@@ -25,7 +27,6 @@ _HIGH = re.compile("[^\x00-\u02ff]")
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level pre-tokenizers show bytes as characters: visible ones as themselves, the others from 256 on.
 _STAND_INS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -52,10 +53,8 @@ class ChunkEncoder:
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
-        """One encoder for this process: what a worker has learnt serves its later tasks."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        """One encoder for this process: what a worker has learnt serves its later tasks, until it serves another operator."""
+        return remembered(("chunks", path), lambda: cls(path))
 
     def _learn(self, chunks: set[str], long: dict[str, bytes]) -> None:
         known, cut, whole = self.known, [], set()
