@@ -1,8 +1,12 @@
+import shutil
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
+from chronoloom.llm import packing
 from chronoloom.llm.tokens import ChunkEncoder, vocabulary_path
 
 
@@ -49,3 +53,19 @@ def test_rows_keep_their_order(library, encoder):
     texts = [None, "", "a, b. " * 50_000, "last, one.", None, ("x" * 100 + ", y. ") * 20]
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert encoder.encode([]) == [] and not encoder.known.long
+
+
+def test_packing_learns_a_word_once(spark, tmp_path):
+    path = str(shutil.copy(vocabulary_path(), tmp_path / "own.json"))  # workers' encoders of other tests aren't met
+    docs = spark.createDataFrame([(i, "Quoblich, quoblich. quoblich") for i in range(16)], "doc_id long, text string").repartition(4)
+    packing.pack(docs, path).write.format("noop").mode("overwrite").save()
+
+    def run(batches):
+        from chronoloom.llm.base import _REMEMBERED
+
+        for _ in batches:
+            encoder = _REMEMBERED.get(("chunks", path))
+            yield pa.RecordBatch.from_pydict({"chunks": [sorted(encoder.known) if encoder else None]})
+
+    rows = spark.range(64).repartition(16).mapInArrow(run, "chunks array<string>").collect()
+    assert {tuple(r.chunks) for r in rows if r.chunks} == {("", ",", ".", "quoblich")}
