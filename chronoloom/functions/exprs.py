@@ -26,6 +26,13 @@ def floor_div(a: Column, b: Column | int) -> Column:
     return F.floor(a / b).cast("long")
 
 
+def nearest_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a time in microseconds: the nearest, halves away from 0 (``unix_millis`` cuts them off)."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    up = F.abs(us) + 500
+    return (F.signum(us) * ((up - up % 1000) / 1000)).cast("long")
+
+
 def rank_a(n: Column, q: float) -> Column:
     """Zero-based rank min(n - 1, int(n q))."""
     return F.least(n - 1, F.floor(n * F.lit(float(q))))

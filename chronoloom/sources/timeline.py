@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.functions.exprs import nearest_millis
+
 #: One minute of the event table is one millisecond of a track.
 COMPRESSION_MS = 60_000
 
@@ -18,7 +20,7 @@ BEAT_MAP = T.StructType([
 
 def canonical_beats(events: DataFrame, *, compression_ms: int = COMPRESSION_MS) -> DataFrame:
     """Each user's events as one track: seq, at_ms from its first event, energy in 1024ths of its loudest, pos 0 to 100."""
-    raw = events.select(F.col("user_id").alias("track_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value", "event_type", "props")
+    raw = events.select(F.col("user_id").alias("track_id"), "event_id", nearest_millis(F.col("ts")).alias("ms"), "value", "event_type", "props")
     track = Window.partitionBy("track_id")
     ordered = raw.select("*", F.min("ms").over(track).alias("m0"), F.max("value").over(track).alias("mx"), (F.row_number().over(track.orderBy("ms", "event_id")) - 1).cast("int").alias("seq"))
     energy = F.when(F.col("mx") > 0, F.floor(F.col("value") / F.col("mx") * 1024) / F.lit(1024.0)).otherwise(0.0)

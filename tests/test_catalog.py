@@ -31,6 +31,19 @@ def test_equal_to_sql(spark, engine, name):
     assert rows(catalog.QUERIES[name](spark, SF).toArrow()) == rows(engine.sql(catalog.ORACLE_SQL[name]).to_arrow_table())
 
 
+def test_halves_of_a_millisecond(spark, tmp_path):
+    """Times whose millisecond, cut off instead of rounded, lies in another minute of the track, before 1970 too."""
+    starts = [datetime.datetime(1969, 12, 31, 23, 40), datetime.datetime(1970, 1, 1), datetime.datetime(2024, 1, 1, 0, 0, 7, 179_000), datetime.datetime(2024, 1, 30)]
+    micros = lambda track, i: (-501, -500, -499, -1, 0, 499, 500)[i * 3 % 7] if i else (0, 500)[track % 2]
+    events = [(40 * t + i, start + datetime.timedelta(minutes=i, microseconds=micros(t, i)), t, "click", 1.0 + i * 7 % 13, '{"k": 1}') for t, start in enumerate(starts) for i in range(40)]
+    own = duckdb.connect()
+    own.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    own.executemany("insert into events values (?, ?, ?, ?, ?, ?)", events)
+    own.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    for name in ("canonical_beats_", "action_stanzas", "action_modes", "auto_tone", "beat_documents", "chapter_index_at", "curve_energy_legacy"):
+        assert rows(catalog.QUERIES[name](spark, str(tmp_path)).toArrow()) == rows(own.sql(catalog.ORACLE_SQL[name]).to_arrow_table()), name
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
