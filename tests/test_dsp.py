@@ -1,6 +1,8 @@
 """Kernels on synthetic signals."""
 
 import io
+import time
+import tracemalloc
 import wave
 
 import numpy as np
@@ -67,6 +69,46 @@ def test_peaks_and_spectrogram():
     assert K.spectrogram_cells(sine(1), SR).max() == 255
 
 
+def _median_by_windows(x, size, axis):
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (size // 2, size // 2)
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, pad, mode="edge"), size, axis=axis), axis=-1)
+
+
+def test_running_medians():
+    rng = np.random.default_rng(0)
+    for size in (3, 5, 7, 11, 19, 31, 35):
+        for shape in ((1, 1), (3, 40), (90, 5), (5, 2100)):
+            for x in (rng.random(shape, np.float32), rng.integers(0, 9, shape).astype(np.float32) - 4):
+                for axis in (0, 1):
+                    assert np.array_equal(K._median_along(x, size, axis), _median_by_windows(x, size, axis)), (size, shape, axis)
+    x = rng.random((40, 50), np.float32)
+    x[7, 9] = np.nan
+    assert np.array_equal(K._median_along(x, 31, 0), _median_by_windows(x, 31, 0), equal_nan=True)
+
+
+def test_medians_take_a_part_of_the_time_of_sorting_each_window():
+    x = np.random.default_rng(0).random((186, 1025), np.float32)
+
+    def took(f):
+        t = time.process_time()
+        f(x, 31, 1)
+        return time.process_time() - t
+
+    assert min(took(K._median_along) for _ in range(5)) < 0.5 * min(took(_median_by_windows) for _ in range(3))
+
+
+def test_transform_holds_little_besides_its_result():
+    y = np.zeros(512 * 4000, np.float32)
+    tracemalloc.start()
+    try:
+        result = K.magnitudes(y).nbytes
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < result + 2 * y.nbytes
+
+
 def test_segments_and_texture():
     assert K.segment(np.r_[np.zeros((10, 2)), np.ones((7, 2)), np.zeros((5, 2))], 3) == [0, 10, 17]
     y = np.concatenate([sine(20, hz=200), np.random.default_rng(0).normal(0, 0.2, 20 * SR).astype(np.float32)])
