@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 
@@ -91,26 +93,69 @@ def slices(samples: DataFrame, spans: DataFrame) -> DataFrame:
     return g.select("track_id", F.col("span_idx").cast("int").alias("chunk_idx"), "sr", F.col("a").alias("start_ms"), data.alias("data"), "track_s")
 
 
-def _per_chunk(samples: DataFrame, rows, schema: str) -> DataFrame:
-    """rows(y, sr, start_ms, track_s) gives dicts of a chunk's result; null chunks give none."""
+@dataclass(frozen=True)
+class Made:
+    """Samples that a worker makes of ``rows`` (which have a track_id) as it needs them: none pass between processes.
+
+    make(batch) gives (track_id, chunk_idx, sr, start_ms, samples, track_s) for each chunk of a batch of rows. The operators
+    that go chunk by chunk take it in place of a table of samples.
+    """
+
+    rows: DataFrame
+    make: Callable[[pa.RecordBatch], Iterator[tuple]]
+
+
+def _stored(samples: DataFrame) -> Made:
+    """The chunks of a table, read where they lie in a batch; null ones are left out."""
     if "track_s" not in samples.columns:
         samples = samples.withColumn("track_s", F.length("data") / 4 / F.col("sr"))
-    key = samples.schema["track_id"].dataType.simpleString()
-    full = f"track_id {key}, chunk_idx int, {schema}"
 
-    def run(frames):
-        import pandas as pd
+    def make(b: pa.RecordBatch) -> Iterator[tuple]:
+        for track, k, sr, at, data, s in zip(*b.columns):
+            if data.is_valid:
+                yield track.as_py(), k.as_py(), int(sr.as_py()), int(at.as_py()), np.frombuffer(data.as_buffer(), "<f4"), s.as_py()
+
+    return Made(samples.select("track_id", "chunk_idx", "sr", "start_ms", "data", "track_s"), make)
+
+
+def _key(samples: DataFrame | Made) -> str:
+    rows = samples.rows if isinstance(samples, Made) else samples
+    return rows.schema["track_id"].dataType.simpleString()
+
 
-        for f in frames:
-            out = [{"track_id": t, "chunk_idx": k, **row} for t, k, sr, at, data, s in zip(f.track_id, f.chunk_idx, f.sr, f.start_ms, f.data, f.track_s) if data is not None for row in rows(np.frombuffer(data, "<f4"), int(sr), int(at), s)]
+#: Rows of results, and samples looked at, after which a worker hands on what it has.
+MOST_ROWS, MOST_SAMPLES = 4096, 1 << 22
+
+
+def _per_chunk(samples: DataFrame | Made, rows, schema: str) -> DataFrame:
+    """rows(y, sr, start_ms, track_s) gives dicts of a chunk's result; null chunks give none."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = samples if isinstance(samples, Made) else _stored(samples)
+    make = made.make
+    full = f"track_id {_key(made)}, chunk_idx int, {schema}"
+    form = to_arrow_schema(T.StructType.fromDDL(full))
+
+    def packed(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type, from_pandas=True) for f in form], schema=form)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, seen = [], 0
+            for track, k, sr, at, y, s in make(b):
+                out += [{"track_id": track, "chunk_idx": k, **row} for row in rows(y, sr, at, s)]
+                seen += len(y)
+                if out and (len(out) >= MOST_ROWS or seen >= MOST_SAMPLES):
+                    yield packed(out)
+                    out, seen = [], 0
             if out:
-                yield pd.DataFrame(out)
+                yield packed(out)
 
-    samples.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return samples.select("track_id", "chunk_idx", "sr", "start_ms", "data", "track_s").mapInPandas(run, full)
+    made.rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return made.rows.mapInArrow(run, full)
 
 
-def beats(samples: DataFrame, *, tracker: str = "auto", locked_bpm: float | None = None, source: str = "full") -> DataFrame:
+def beats(samples: DataFrame | Made, *, tracker: str = "auto", locked_bpm: float | None = None, source: str = "full") -> DataFrame:
     """Beats of each chunk of a second or more, by its own sound; shorter ones say nothing of a tempo."""
 
     def rows(y, sr, at, track_s):
@@ -135,7 +180,7 @@ def _own_frames(y: np.ndarray, sr: int, at: int, track_s: float) -> tuple[int, i
     return round(at * sr / 1000 / kernels.HOP), len(y) // kernels.HOP + (1 if ends else 0)
 
 
-def frame_features(samples: DataFrame) -> DataFrame:
+def frame_features(samples: DataFrame | Made) -> DataFrame:
     """Loudness of each frame; frames are numbered over the track, frame_s is their distance in seconds."""
 
     def rows(y, sr, at, track_s):
@@ -145,7 +190,7 @@ def frame_features(samples: DataFrame) -> DataFrame:
     return _per_chunk(samples, rows, "frame_idx int, rms double, frame_s double")
 
 
-def peaks(samples: DataFrame, hop_ms: float = 10.0) -> DataFrame:
+def peaks(samples: DataFrame | Made, hop_ms: float = 10.0) -> DataFrame:
     """Peaks of each chunk over the loudest hop of its whole track; four decimals."""
     if hop_ms <= 0:
         raise ValueError("hop_ms must be positive")
@@ -154,7 +199,7 @@ def peaks(samples: DataFrame, hop_ms: float = 10.0) -> DataFrame:
     return raw.withColumn("most", most).select("track_id", "chunk_idx", "hop_ms", F.transform("raw", lambda x: F.when(F.col("most") > 0, F.round(x / F.col("most"), 4)).otherwise(x)).alias("peaks"))
 
 
-def spectrograms(samples: DataFrame, n_mels: int = 64, fmax: float = 8000.0, floor: float = -80.0, ceiling: float = 0.0) -> DataFrame:
+def spectrograms(samples: DataFrame | Made, n_mels: int = 64, fmax: float = 8000.0, floor: float = -80.0, ceiling: float = 0.0) -> DataFrame:
     """Cells of each chunk's frames, in dB below the loudest cell of the whole track.
 
     Levels go through one window by track (a twelfth of the samples' bytes) to learn the loudest, then become bytes.
@@ -167,32 +212,33 @@ def spectrograms(samples: DataFrame, n_mels: int = 64, fmax: float = 8000.0, flo
         level = kernels.mel_level(y, sr, n_mels, fmax)[:n].astype("<f4")
         return [{"n_mels": n_mels, "n_frames": len(level), **kernels.exact_hop(sr), "top": float(level.max(initial=-100.0)), "level": level.tobytes()}]
 
-    key = samples.schema["track_id"].dataType.simpleString()
     levels = _per_chunk(samples, rows, "n_mels int, n_frames int, hop_us long, hop_ms long, top double, level binary")
     levels = levels.withColumn("top", F.max("top").over(Window.partitionBy("track_id")))
 
-    def cells(frames):
-        for f in frames:
-            f["cells"] = [kernels.cells_of(np.frombuffer(x, "<f4").reshape(-1, n_mels), top, floor, ceiling).tobytes() for x, top in zip(f.level, f.top)]
-            yield f[["track_id", "chunk_idx", "n_mels", "n_frames", "hop_us", "hop_ms", "cells"]]
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["track_id", "chunk_idx", "n_mels", "n_frames", "hop_us", "hop_ms"]
+        for b in batches:
+            level = (np.frombuffer(x.as_buffer(), "<f4").reshape(-1, n_mels) for x in b.column("level"))
+            found = [kernels.cells_of(x, top, floor, ceiling).tobytes() for x, top in zip(level, b.column("top").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(found, pa.binary())], [*names, "cells"])
 
-    return levels.mapInPandas(cells, f"track_id {key}, chunk_idx int, n_mels int, n_frames int, hop_us long, hop_ms long, cells binary").withColumn("cells_b64", F.base64("cells"))
+    return levels.mapInArrow(cells, f"track_id {_key(samples)}, chunk_idx int, n_mels int, n_frames int, hop_us long, hop_ms long, cells binary").withColumn("cells_b64", F.base64("cells"))
 
 
-def limited(samples: DataFrame) -> DataFrame:
+def limited(samples: DataFrame | Made) -> DataFrame:
     """Regions where the limiter works."""
     return _per_chunk(samples, lambda y, sr, at, track_s: [{**r, "start_s": r["start_s"] + at / 1000, "end_s": r["end_s"] + at / 1000} for r in kernels.limit(y, sr)[1]], "start_s double, end_s double, peak_amp double, max_gr_db double")
 
 
-def textures(samples: DataFrame) -> DataFrame:
+def textures(samples: DataFrame | Made) -> DataFrame:
     return _per_chunk(samples, lambda y, sr, at, track_s: [kernels.texture(y, sr)], "rms_cv double, percussive double, flux double")
 
 
-def segments(samples: DataFrame, target_s: float = 330.0) -> DataFrame:
+def segments(samples: DataFrame | Made, target_s: float = 330.0) -> DataFrame:
     return _per_chunk(samples, lambda y, sr, at, track_s: [{"at": b + at / 1000} for b in kernels.boundaries(y, sr, target_s)], "at double")
 
 
-def track_segments(samples: DataFrame, target_s: float = 330.0) -> DataFrame:
+def track_segments(samples: DataFrame | Made, target_s: float = 330.0) -> DataFrame:
     """(track_id, at): seconds at which about duration / target segments of a whole track begin, without 0.
 
     Only one row of features a second is gathered per track.
@@ -208,5 +254,4 @@ def track_segments(samples: DataFrame, target_s: float = 330.0) -> DataFrame:
         at = f["at"].to_numpy()[[i for i in kernels.segment(np.array(f["features"].tolist()), n) if i]]
         return pd.DataFrame({"track_id": [key[0]] * len(at), "at": at})
 
-    key = samples.schema["track_id"].dataType.simpleString()
-    return _per_chunk(samples, rows, "at double, track_s double, features array<double>").groupBy("track_id").applyInPandas(cut, f"track_id {key}, at double")
+    return _per_chunk(samples, rows, "at double, track_s double, features array<double>").groupBy("track_id").applyInPandas(cut, f"track_id {_key(samples)}, at double")

@@ -827,25 +827,24 @@ _shell(
 )
 
 
-def _signals(spark: SparkSession, sf_dir: str, sr: int = 2205) -> DataFrame:
+def _signals(spark: SparkSession, sf_dir: str, sr: int = 2205):
     """A click per beat of each track, as loud as its energy: one chunk of samples a track (there are no recordings)."""
     import numpy as np
-    import pandas as pd
+
+    from chronoloom.dsp.plans import Made
 
     b = load_beats(spark, sf_dir).groupBy(TRACK).agg(F.array_sort(F.collect_list(F.struct("at_ms", "energy"))).alias("b"))
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for track, beats in zip(f[TRACK], f.b):
-                y = np.zeros(int((beats[-1]["at_ms"] + 500) * sr / 1000), np.float32)
-                for x in beats:
-                    i = int(x["at_ms"] * sr / 1000)
-                    y[i : i + 11] += np.linspace(x["energy"], 0, 11, dtype=np.float32)
-                rows.append((track, 0, sr, 0, y.tobytes()))
-            yield pd.DataFrame(rows, columns=[TRACK, "chunk_idx", "sr", "start_ms", "data"])
-
-    return b.mapInPandas(run, "track_id long, chunk_idx int, sr int, start_ms long, data binary")
+    def make(batch):
+        for track, beats in zip(batch.column(TRACK).to_pylist(), batch.column("b")):
+            at, energy = (beats.values.field(name).to_numpy(zero_copy_only=False) for name in ("at_ms", "energy"))
+            y = np.zeros(int((int(at[-1]) + 500) * sr / 1000), np.float32)
+            click = np.arange(11.0) * (-energy / 10)[:, None] + energy[:, None]
+            click[:, -1] = 0
+            np.add.at(y, (at * sr / 1000).astype(np.int64)[:, None] + np.arange(11), click.astype(np.float32))
+            yield track, 0, sr, 0, y, len(y) / sr
+
+    return Made(b, make)
 
 
 @query()

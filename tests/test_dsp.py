@@ -6,6 +6,7 @@ import tracemalloc
 import wave
 
 import numpy as np
+import pyarrow as pa
 
 from chronoloom.dsp import kernels as K
 from chronoloom.dsp import plans
@@ -126,6 +127,21 @@ def wav_bytes(y):
     return out.getvalue()
 
 
+def test_signals_are_made_where_they_are_analysed(spark):
+    """Samples never pass from one Python worker to another; made ones give what a table of the same ones gives."""
+    from chronoloom.plans import catalog
+
+    for name, workers in (("dsp_beats", 1), ("dsp_textures", 1), ("dsp_spectrograms", 2)):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapIn") == workers and "sr#" not in plan, name
+    made = plans.Made(spark.range(1, 9, 1, 1).withColumnRenamed("id", "track_id"), lambda b: ((i, 0, SR, 0, np.full(SR * i, 0.5, np.float32), float(i)) for i in b.column(0).to_pylist()))
+    make = made.make
+    table = made.rows.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"track_id": [t], "chunk_idx": pa.array([k], pa.int32()), "sr": pa.array([sr], pa.int32()), "start_ms": [at], "data": pa.array([y.tobytes()], pa.binary())}) for b in bs for t, k, sr, at, y, _ in make(b)), "track_id long, chunk_idx int, sr int, start_ms long, data binary")
+    for operator in (plans.frame_features, plans.spectrograms, plans.textures):
+        one, other = (sorted(map(repr, operator(x).collect())) for x in (made, table))
+        assert one == other and len(one) >= 8
+
+
 def test_plans(spark):
     files = spark.createDataFrame([("a", wav_bytes(clicks(120, 12))), ("b", b"no wave"), ("c", wav_bytes(sine(4)))], "path string, content binary")
     s = plans.read_samples(files, chunk_s=6.0)
