@@ -88,6 +88,18 @@ def test_running_medians():
     assert np.array_equal(K._median_along(x, 31, 0), _median_by_windows(x, 31, 0), equal_nan=True)
 
 
+def test_louder_across_frequency_than_along_time():
+    """Upper bits decide most cells; ties of them, zeros, and numbers beyond them as the whole medians do."""
+    rng = np.random.default_rng(0)
+    close = (1 + rng.random((60, 50)) / 100) * rng.choice([1, 2], (60, 50))
+    for x in (rng.random((60, 50)), np.exp2(rng.integers(-3, 4, (60, 50))), close, rng.random((60, 50)) * rng.integers(0, 2, (60, 50)), rng.random((60, 50)) * 1e-38, rng.random((60, 50)) * 3e38, np.zeros((60, 50))):
+        x = x.astype(np.float32)
+        for margin in (2.0, 1.5):
+            with np.errstate(over="ignore"):
+                want = _median_by_windows(x, 31, 1) > margin * _median_by_windows(x, 31, 0)
+                assert np.array_equal(K._louder_across(x, 31, margin), want)
+
+
 def test_medians_take_a_part_of_the_time_of_sorting_each_window():
     x = np.random.default_rng(0).random((186, 1025), np.float32)
 
